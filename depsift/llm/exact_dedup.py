@@ -8,7 +8,10 @@ sorting whole values and never from hashing, so equal names mean equal texts.
 Documents leave as soon as they are identified: one whose length and two border
 blocks occur nowhere else is equal to nothing, and one whose names have shrunk to
 a single one is done.  So the texts that are cut up are those with a possible
-partner only.
+partner only.  Length and borders are compared by one 64-bit number: where it
+differs, the texts do, and where it is the same by chance, the names decide.  The
+table of such numbers that occur twice is written, so that Spark broadcasts it
+below ``spark.sql.autoBroadcastJoinThreshold`` and shuffles otherwise.
 
 Skew: the distinct blocks and pairs come from partially aggregated ``distinct``s,
 and the joins that hand names back are plain sort-merge joins, which adaptive
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from depsift.llm.shared import ascii_lower, keep
 
-_KEY = ["__len", "__head", "__tail"]
+_KEY = "__key"
 
 
 def name_in_order(values: DataFrame, name: str) -> DataFrame:
@@ -75,14 +78,12 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         F.struct(*carry).alias("__row"),
         F.col(id_col).alias("__id"),
         text.alias("__text"),
-        F.octet_length(raw).alias("__len"),
-        ascii_lower(F.left(raw, F.lit(border_chars))).alias("__head"),
-        ascii_lower(F.right(raw, F.lit(border_chars))).alias("__tail"),
+        F.xxhash64(F.octet_length(raw), *(ascii_lower(f(raw, F.lit(border_chars))) for f in (F.left, F.right))).alias(_KEY),
     )
-    tied = keep(rows.groupBy(*_KEY).count().where("count > 1").select(*_KEY), "tied")
+    tied = keep(rows.groupBy(_KEY).count().where("count > 1").select(_KEY), "tied")
     sha = F.sha2("__text", 256).alias("text_sha256")
 
-    alone = rows.select("__row", "__id", *_KEY, sha).join(tied, _KEY, "left_anti")
+    alone = rows.select("__row", "__id", _KEY, sha).join(tied, _KEY, "left_anti")
     alone = alone.select("__row", F.struct(F.col("__id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256").alias("dedup"))
 
     close = keep(rows.join(tied, _KEY, "left_semi").withColumn("__uid", F.monotonically_increasing_id()), "close")
