@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from depsift.llm import exact_dedup, source_mix
+from depsift.llm import exact_dedup, ngram_join, packing, quality_rules, source_mix
 
-QUERIES = {
-    "op1_source_mix": source_mix.query,
-    "op3_exact_dedup": exact_dedup.query,
-}
-SQL = {
-    "op1_source_mix": source_mix.SQL,
-    "op3_exact_dedup": exact_dedup.SQL,
+_MODULES = {
+    "op1_source_mix": source_mix,
+    "op3_exact_dedup": exact_dedup,
+    "op5_quality_rules": quality_rules,
+    "op8_best_fit_packing": packing,
+    "op10_ngram_jaccard_join": ngram_join,
 }
+QUERIES = {name: module.query for name, module in _MODULES.items()}
+SQL = {name: module.SQL for name, module in _MODULES.items() if module.SQL}
