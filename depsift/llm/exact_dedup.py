@@ -70,7 +70,7 @@ def identify(texts: DataFrame, block_chars: int) -> DataFrame:
 
 def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 2048, border_chars: int = 32, carry: list[str] | None = None) -> DataFrame:
     """Return the ``carry`` columns (all, if none are named) of every row with
-    ``keep_id``, ``group_size``, ``kept`` and ``text_sha256`` in a struct ``dedup``."""
+    ``keep_id``, ``group_size``, ``kept`` and ``text_sha256`` in a struct ``__dedup``."""
     carry = docs.columns if carry is None else carry
     text = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
     raw = F.coalesce(F.col(text_col), F.lit(""))
@@ -84,7 +84,7 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     sha = F.sha2("__text", 256).alias("text_sha256")
 
     alone = rows.select("__row", "__id", _KEY, sha).join(tied, _KEY, "left_anti")
-    alone = alone.select("__row", F.struct(F.col("__id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256").alias("dedup"))
+    alone = alone.select("__row", F.struct(F.col("__id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256").alias("__dedup"))
 
     close = keep(rows.join(tied, _KEY, "left_semi").withColumn("__uid", F.monotonically_increasing_id()), "close")
     ident = keep(identify(close.select("__uid", "__text"), block_chars), "ident")
@@ -96,14 +96,14 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     )
     grouped = named.join(groups, ["__level", "__name"]).select(
         "__row",
-        F.struct(F.col("__best.__id").alias("keep_id"), "group_size", (F.col("__uid") == F.col("__best.__uid")).alias("kept"), "text_sha256").alias("dedup"),
+        F.struct(F.col("__best.__id").alias("keep_id"), "group_size", (F.col("__uid") == F.col("__best.__uid")).alias("kept"), "text_sha256").alias("__dedup"),
     )
-    return alone.unionByName(grouped).select("__row.*", "dedup")
+    return alone.unionByName(grouped).select("__row.*", "__dedup")
 
 
 def query(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return exact_dedup(docs, carry=["doc_id"]).select("doc_id", "dedup.*")
+    return exact_dedup(docs, carry=["doc_id"]).select("doc_id", "__dedup.*")
 
 
 SQL = """

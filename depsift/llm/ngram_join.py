@@ -216,10 +216,10 @@ def links(groups: DataFrame, sets: DataFrame) -> DataFrame | None:
         low, width = low + width, max(1, low + width)
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """The ``carry`` columns (all, if none are named) of every row with a struct
-    ``near``: n_shingles, component_id."""
-    carry = docs.columns if carry is None else carry
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for every row of ``docs``: its id as ``__row`` and a struct ``__near`` of
+    n_shingles and component_id, the least id that links reach.  The id may be of any
+    type that has an order."""
     texts = docs.select(F.col(text_col).alias("__text"))
     rows = docs.select(F.col(id_col).alias("__row"), F.col(text_col).alias("__text"))
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -242,12 +242,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         joined = members.join(roots.withColumnRenamed("node", "__node"), "__node", "left").withColumn("__c", F.coalesce("root", "__node"))
     least = joined.where("__n > 0").groupBy("__c").agg(F.min("__row").alias("__least"))
     component = F.when(F.col("__n") > 0, F.col("__least")).otherwise(F.col("__row"))
-    return joined.join(least, "__c", "left").select("__row", F.struct(F.col("__n").alias("n_shingles"), component.alias("component_id")).alias("near"))
+    return joined.join(least, "__c", "left").select("__row", F.struct(F.col("__n").alias("n_shingles"), component.alias("component_id")).alias("__near"))
 
 
 def query(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return near_duplicates(docs).select(F.col("__row").alias("doc_id"), "near.*")
+    return near_duplicates(docs).select(F.col("__row").alias("doc_id"), "__near.*")
 
 
 SQL = rf"""

@@ -136,7 +136,7 @@ def cutoffs(measured: DataFrame, labels: DataFrame, *, risk: float, error: float
 
 def quality_rules(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", stratum_col="lang", carry: list[str] | None = None, risk=0.02, error=0.05) -> DataFrame:
     """The ``carry`` columns (all, if none are named) of every row of ``docs`` with a
-    struct ``quality``: the features, ``base_failed`` and ``kept``.  The carried columns
+    struct ``__quality``: the features, ``base_failed`` and ``kept``.  The carried columns
     are written once with the features, so every text is measured once."""
     carry = docs.columns if carry is None else carry
     measured = keep(features(docs, text_col).select(F.struct(*carry).alias("__row"), F.col(id_col).alias("__id"), F.col(stratum_col).alias("__stratum"), "__f"), "features")
@@ -145,12 +145,12 @@ def quality_rules(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_c
     for rule in RULES:
         passed = passed & ~F.coalesce(_above(rule, F.col(f"__cut_{rule}")), F.lit(False))
     joined = measured.join(cuts, F.col("__stratum").eqNullSafe(F.col("__s")), "left")
-    return joined.select("__row.*", F.struct("__f.*", base_failed().alias("base_failed"), passed.alias("kept")).alias("quality"))
+    return joined.select("__row.*", F.struct("__f.*", base_failed().alias("base_failed"), passed.alias("kept")).alias("__quality"))
 
 
 def query(spark, sf_dir):
     rows = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carry=["doc_id"])
-    return rows.select("doc_id", *(f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
+    return rows.select("doc_id", *(f"__quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
 
 
 def _sql() -> str:

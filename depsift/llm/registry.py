@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from depsift.llm import exact_dedup, ngram_join, packing, quality_rules, source_mix
+from depsift.llm import exact_dedup, ngram_join, packing, quality_rules, source_mix, token_files, toxicity
 
 _MODULES = {
     "op1_source_mix": source_mix,
     "op3_exact_dedup": exact_dedup,
+    "op4_toxicity": toxicity,
     "op5_quality_rules": quality_rules,
+    "op7_token_files": token_files,
     "op8_best_fit_packing": packing,
     "op10_ngram_jaccard_join": ngram_join,
 }
