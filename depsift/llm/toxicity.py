@@ -8,9 +8,10 @@ that one class has hardly seen is judged by what both know.  With discount D,
 
     P(x | h) = (max(c(hx) - D, 0) + D types(h) Q(x | h')) / c(h),   Q likewise below.
 
-A document's value is the difference of its two log-likelihoods over its number of
-events.  A logistic curve turns it into a score; it is fitted on training documents
-that the models have not seen.
+A document's values are the difference of its two log-likelihoods over its number
+of events, and over the root of that number (how far the first is from chance).  A
+logistic curve turns them into a score; it is fitted on training documents that the
+models have not seen, ``FITTED`` at most, the first by a hash of their ids.
 
 All labelled documents are counted, in the mappers first and then by n-gram, and the
 probabilities are joined as tables.  What scoring needs is the log ratio of each
@@ -18,9 +19,9 @@ seen n-gram, and of each context for unseen ones.  These go to slots of two tabl
 of fixed size (a slot holds its most frequent n-gram and 16 more bits of its hash),
 which are broadcast: 18 MB at most, whatever the corpus.
 
-Defined cases: null or blank texts have no events and the value 0; a document with
+Defined cases: null or blank texts have no events and the values 0; a document with
 several labels is toxic if one of them is; null labels don't count; without
-training documents of both classes every score is the share of toxic ones (0 without
+documents of both classes to train on and to fit, every score is the share of toxic ones (0 without
 any).  Rows that repeat are scored alike.
 """
 
@@ -33,7 +34,9 @@ from pyspark.sql import functions as F
 
 from depsift.llm.shared import keep, table
 
-ORDER, DISCOUNT = 5, 0.75
+ORDER, DISCOUNT = 4, 0.75
+#: Labelled documents at most that the logistic curve is fitted on.
+FITTED = 50_000
 GRAM_BITS, CONTEXT_BITS = 21, 20
 #: Bytes of text that a task holds as events at once (one document at least).
 CHUNK = 1 << 20
@@ -161,25 +164,25 @@ def _values(model):
                 known, other = look(gram >> 8, context_tags, context_ratios, CONTEXT_BITS)
                 value = np.where(hit, value, np.where(known, other, 0)).astype(np.float64)
                 n = np.bincount(doc, minlength=part.num_rows)
-                mean = np.bincount(doc, value, part.num_rows) / np.maximum(n, 1)
-                yield pa.RecordBatch.from_arrays([part.column("__row"), pa.array(mean)], ["__row", "__value"])
+                total, n = np.bincount(doc, value, part.num_rows), np.maximum(n, 1)
+                yield pa.RecordBatch.from_arrays([part.column("__row"), pa.array(total / n), pa.array(total / np.sqrt(n))], ["__row", "__mean", "__far"])
 
     return run
 
 
-def _logistic(values: np.ndarray, toxic: np.ndarray, n: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept by Newton's method, on standardised values with a slight ridge."""
-    mid = np.average(values, weights=n)
-    spread = np.sqrt(np.average((values - mid) ** 2, weights=n)) or 1.0
-    x = np.stack([(values - mid) / spread, np.ones(len(values))], 1)
-    w = np.zeros(2)
+def _logistic(values: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, float]:
+    """Slopes and intercept by Newton's method, on standardised values with a slight ridge."""
+    mid, spread = values.mean(0), values.std(0)
+    spread = np.where(spread > 0, spread, 1.0)
+    x = np.column_stack([(values - mid) / spread, np.ones(len(values))])
+    ridge = np.array([*[1e-2] * values.shape[1], 1e-9])
+    w = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (n * (p - toxic)) + [1e-2 * w[0], 0]
-        hess = (x * (n * p * (1 - p))[:, None]).T @ x + np.diag([1e-2, 1e-9])
-        step = np.linalg.solve(hess, grad)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (p - toxic) + ridge * w)
         w -= step * min(1.0, 4 / max(1e-9, np.abs(step).max()))
-    return w[0] / spread, w[1] - w[0] * mid / spread
+    slopes = w[:-1] / spread
+    return slopes, float(w[-1] - slopes @ mid)
 
 
 def fold(id_col: str):
@@ -187,29 +190,29 @@ def fold(id_col: str):
 
 
 def score(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
-    """(``__row``: the id, ``__value``, ``held_out``, ``score``) of every row."""
+    """(``__row``: the id, ``held_out``, ``score``) of every row."""
     id_type = docs.schema[id_col].dataType.simpleString()
     toxic = labels.where("toxic IS NOT NULL").groupBy(F.col("doc_id").alias("__row")).agg(F.max("toxic").cast("int").alias("__toxic"))
     rows = docs.select(F.col(id_col).alias("__row"), F.col(text_col).alias("__text"))
     held = F.coalesce(fold("__row"), F.lit(0)) == 0
     training = rows.join(toxic, "__row").withColumn("__fold", fold("__row")).where("__fold > 0")
-    schema = f"__row {id_type}, __value double"
+    schema = f"__row {id_type}, __mean double, __far double"
     spark = docs.sparkSession
     tables = train(training.where("__fold <= 3").select("__text", "__toxic"))
-    curve = shape = None
+    curve = None
     if tables:
         model = spark.sparkContext.broadcast(tables)
         values = rows.mapInArrow(_values(model), schema)
         tried = training.where("__fold = 4").select("__row", "__text").mapInArrow(_values(model), schema).join(toxic, "__row")
-        shape = tried.groupBy(F.round("__value", 3).alias("v"), "__toxic").agg(F.count(F.lit(1)).alias("n")).toArrow()
-        v, t, n = (shape.column(c).to_numpy() for c in ("v", "__toxic", "n"))
-        if len(set(t.tolist())) == 2:
-            curve = _logistic(v, t.astype(float), n.astype(float))
+        found = tried.orderBy(F.xxhash64("__row"), "__row").limit(FITTED).select("__mean", "__far", "__toxic").toArrow()
+        mean, far, flag = (found.column(c).to_numpy() for c in ("__mean", "__far", "__toxic"))
+        if len(set((flag > 0).tolist())) == 2:
+            curve = _logistic(np.column_stack([mean, far]), (flag > 0).astype(float))
     if not curve:
         share = training.agg(F.avg("__toxic")).first()[0] or 0.0
-        return rows.select("__row", F.lit(0.0).alias("__value"), held.alias("held_out"), F.lit(float(share)).alias("score"))
-    slope, intercept = map(float, curve)
-    return values.select("__row", "__value", held.alias("held_out"), (1 / (1 + F.exp(-(slope * F.col("__value") + intercept)))).alias("score"))
+        return rows.select("__row", held.alias("held_out"), F.lit(float(share)).alias("score"))
+    (a, b), c = curve
+    return values.select("__row", held.alias("held_out"), (1 / (1 + F.exp(-(float(a) * F.col("__mean") + float(b) * F.col("__far") + c)))).alias("score"))
 
 
 def query(spark, sf_dir):
