@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from depsift.llm import exact_dedup, ngram_join, packing, quality_rules, source_mix, token_files, toxicity
+from depsift.llm import exact_dedup, html_extract, ngram_join, packing, quality_rules, source_mix, token_files, toxicity
 
 _MODULES = {
     "op1_source_mix": source_mix,
@@ -11,6 +11,7 @@ _MODULES = {
     "op5_quality_rules": quality_rules,
     "op7_token_files": token_files,
     "op8_best_fit_packing": packing,
+    "op9_html_extract": html_extract,
     "op10_ngram_jaccard_join": ngram_join,
 }
 QUERIES = {name: module.query for name, module in _MODULES.items()}
