@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from depsift.llm import exact_dedup, html_extract, ngram_join, packing, quality_rules, source_mix, token_files, toxicity
+from depsift.llm import exact_dedup, html_extract, ngram_join, packing, quality_rules, repeats, source_mix, token_files, toxicity
 
 _MODULES = {
     "op1_source_mix": source_mix,
+    "op2_suffix_array_dedup": repeats,
     "op3_exact_dedup": exact_dedup,
     "op4_toxicity": toxicity,
     "op5_quality_rules": quality_rules,
