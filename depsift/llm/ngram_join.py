@@ -14,12 +14,16 @@ for both sets.  A choice of two empty sub-parts says nothing and is left out, wh
 is safe as long as a set has at most ``SPARE`` parts with such a choice (then
 another of the agreeing parts is not empty); a set with more of them emits all.
 
-Candidates.  A signature's sets are compared in rounds: in the first, each with
-the first set of the group; in later ones, with the next 1, 2, 4, ... sets, and
-only where the two are in different components by then.  A group of near copies
-is thus resolved by a star, never by all its pairs, and no link that matters is
-missed: the rounds go on until no group holds two components that were not
-compared.  Every candidate is checked on the whole sets.
+Candidates.  Each set that shares a signature gets a parity sketch: a bit for each
+bucket of hashes, telling whether it holds an odd number of elements.  Sets differ in
+at least as many elements as their sketches differ in bits, so a pair whose sketches
+differ in more than k bits is no link.  Sketches are compared within a signature's
+group, in blocks of ``BLOCK`` sets, and what passes is checked on the whole sets, in
+two rounds.  The first round checks each set with the first one in its group that
+passes, a link a set and group at most; this joins nearly all that belongs together.
+The second checks all passing pairs whose sets are still in different components.  So
+a large group of near copies gives no square of pairs, and no link between different
+components is missed.
 
 Shuffles: signature rows (hash, node, size) once; one map task emits each set once,
 however many copies it has read.  Texts are read twice for sets and signatures and
@@ -41,11 +45,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from depsift.llm.components import components
-from depsift.llm.shared import drop_kept, keep
+from depsift.llm.shared import keep
 
 #: Words of a shingle; similarity as a fraction.
 WORDS, NUM, DEN = 4, 85, 100
 SPARE = 1
+#: Sets of a signature's group that are compared at once.
+BLOCK = 4096
 #: Bytes of text that a task holds as words at once (one document at least).
 CHUNK = 1 << 20
 _U = np.uint64
@@ -170,6 +176,13 @@ def _signature_batches(batches):
             yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(nodes[of]), pa.array(sizes[of])], ["sig", "node", "n"])
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """A parity bit for each of 2^j buckets of hashes, at least as many as elements."""
+    bits = max(64, 1 << (len(s) - 1).bit_length())
+    odd = np.bincount((mix(s ^ _U(0x8CB92BA72F3D8DD7)) & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
 def _set_batches(batches):
     for batch in batches:
         for part in _chunks(batch, "__text"):
@@ -177,11 +190,95 @@ def _set_batches(batches):
             flat = np.concatenate(sets) if sets else np.empty(0, _U)
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
             yield pa.RecordBatch.from_arrays(
-                [pa.array([node_of(s) for s in sets], pa.int64()), pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(flat.view(np.int64))).cast(pa.list_(pa.int64()))],
-                ["node", "shingles"],
+                [
+                    pa.array([node_of(s) for s in sets], pa.int64()),
+                    pa.array([sketch(s) if len(s) else b"" for s in sets], pa.binary()),
+                    pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(flat.view(np.int64))).cast(pa.list_(pa.int64())),
+                ],
+                ["node", "sketch", "shingles"],
             )
 
 
+def _folded(sketches: list[bytes], words: int) -> np.ndarray:
+    """Sketches as rows of ``words`` 64-bit words; longer ones fold onto that many buckets."""
+    out = np.zeros((len(sketches), words), _U)
+    for i, raw in enumerate(sketches):
+        out[i] = np.bitwise_xor.reduce(np.frombuffer(raw, "<u8").reshape(-1, words), 0)
+    return out
+
+
+def _passing(key: np.ndarray, block: np.ndarray, node: np.ndarray, n: np.ndarray, c: np.ndarray, sketches: list[bytes], every: bool):
+    """Pairs of rows with the same key that may be links: the first for each row, or
+    every one in different components."""
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    group = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(key)))
+    words = np.minimum.reduceat(np.array([len(x) // 8 for x in sketches]), starts)[group]
+    two = block != block[starts][group]  # the second block of a pair of blocks
+    paired = np.add.reduceat(two.astype(np.int64), starts)[group] > 0
+    out_a, out_b = [], []
+    for width in np.unique(words).tolist():
+        rows = np.flatnonzero(words == width)
+        x, g = _folded([sketches[i] for i in rows.tolist()], width), group[rows]
+        best = np.full(len(rows), -1)
+        alive, d = np.arange(len(rows)), 1
+        while True:
+            alive = alive[alive + d < len(rows)]
+            alive = alive[g[alive] == g[alive + d]]
+            if not len(alive):
+                break
+            i, j = rows[alive], rows[alive + d]
+            size_a, size_b = n[i], n[j]
+            near = (DEN * np.minimum(size_a, size_b) >= NUM * np.maximum(size_a, size_b)) & (c[i] != c[j]) & (~paired[i] | (two[i] != two[j]))
+            p = alive[near]
+            for q in np.array_split(p, max(1, len(p) * width >> 20)):
+                differ = np.bitwise_count(x[q] ^ x[q + d]).sum(1, dtype=np.int64)
+                ok = q[differ * (DEN + NUM) <= (n[rows[q]] + n[rows[q + d]]) * (DEN - NUM)]
+                if every:
+                    out_a.append(rows[ok])
+                    out_b.append(rows[ok + d])
+                else:
+                    best[ok + d] = ok
+            d += 1
+        if not every:
+            found = np.flatnonzero(best >= 0)
+            out_a.append(rows[best[found]])
+            out_b.append(rows[found])
+    a, b = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (out_a, out_b))
+    return np.unique(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])], 1), axis=0)
+
+
+def _pair_batches(every: bool):
+    def run(batches):
+        held: pa.Table | None = None
+
+        def compare(rows: pa.Table):
+            rows = rows.combine_chunks()
+            sig, lo, hi, block, node, n, c = (rows.column(x).to_numpy() for x in ("sig", "lo", "hi", "block", "node", "n", "c"))
+            _, key = np.unique(np.stack([sig, lo, hi], 1), axis=0, return_inverse=True)
+            order = np.lexsort((node, block, key))
+            sketches = rows.column("sketch").to_pylist()
+            pairs = _passing(key[order], block[order], node[order], n[order].astype(np.int64), c[order], [sketches[i] for i in order.tolist()], every)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+        for batch in batches:
+            new = pa.Table.from_batches([batch])
+            rows = new if held is None else pa.concat_tables([held, new])
+            if not rows.num_rows:
+                continue
+            same = np.ones(rows.num_rows, bool)
+            for x in ("sig", "lo", "hi"):
+                v = rows.column(x).to_numpy()
+                same &= v == v[-1]
+            cut = rows.num_rows - int(np.argmin(same[::-1]) or (rows.num_rows if same.all() else 0))
+            if cut:
+                yield compare(rows.slice(0, cut))
+            held = rows.slice(cut)
+        if held is not None and held.num_rows:
+            yield compare(held)
+
+    return run
+
+
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of (a, b), the pairs of nodes whose sets reach the similarity."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
@@ -193,27 +290,28 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def links(groups: DataFrame, sets: DataFrame) -> DataFrame | None:
     """(sig, rank, node, n) of all signatures that two sets or more share -> (node,
     root) of linked sets, None if there are none."""
-    live, found, roots, low, width = groups, None, None, 0, 1
-    while True:
-        sized = live if roots is None else live.join(roots, "node", "left")
-        sized = sized.withColumn("c", F.col("node") if roots is None else F.coalesce("root", "node")).select("sig", "rank", "node", "n", "c")
-        open_groups = sized.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.max("rank").alias("last"))
-        open_groups = open_groups.where(f"c0 <> c1 AND last > {low + 1}").select("sig")
-        live = keep(sized.join(open_groups, "sig", "left_semi"), "live")
-        first = live.where((F.col("rank") > low) & (F.col("rank") <= low + width))
-        first = first.select("sig", F.col("rank").alias("r"), F.col("node").alias("a"), F.col("n").alias("m"), F.col("c").alias("d"))
-        near = DEN * F.least("n", "m") >= NUM * F.greatest("n", "m")
-        pairs = live.join(first, "sig").where(near & (F.col("rank") > F.col("r")) & (F.col("c") != F.col("d")))
-        pairs = keep(pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "pairs")
-        if live.isEmpty():
-            return roots
-        new = keep(similar(pairs, sets), "linked")
-        drop_kept(pairs)
+    roots = checked = found = None
+    for every in (False, True):
+        rows = groups.withColumn("c", F.col("node"))
+        if roots is not None:
+            rows = groups.join(roots, "node", "left").withColumn("c", F.coalesce("root", "node")).drop("root")
+        size = rows.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.max("rank").alias("last"))
+        rows = rows.join(size.where("c0 <> c1").select("sig", "last"), "sig")
+        block = F.floor((F.col("rank") - 1) / BLOCK).cast("int")
+        rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.floor((F.col("last") - 1) / BLOCK).cast("int"))))
+        # Block meets block, and itself.
+        rows = rows.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+        rows = rows.join(sets.select("node", "sketch"), "node").select("sig", "lo", "hi", "block", "node", "n", "c", "sketch")
+        rows = rows.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi")
+        pairs = rows.mapInArrow(_pair_batches(every), "a long, b long").distinct()
+        if checked is not None:
+            pairs = pairs.join(checked, ["a", "b"], "left_anti")
+        checked = keep(pairs, "pairs")
+        new = keep(similar(checked, sets), "linked")
         found = new if found is None else found.unionByName(new)
         if not new.isEmpty():
             roots = keep(components(found), "roots")
-        live = live.select("sig", "rank", "node", "n")
-        low, width = low + width, max(1, low + width)
+    return roots
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -233,7 +331,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     wanted = groups.select(F.col("node").alias("__node")).distinct()
     firsts = keep(members.join(wanted, "__node", "left_semi").groupBy("__node").agg(F.min("__row").alias("__row")).select("__row").distinct(), "firsts")
     some = rows.join(firsts.withColumnRenamed("__row", "__r"), F.col("__row").eqNullSafe(F.col("__r")), "left_semi")
-    sets = keep(some.select("__text").mapInArrow(_set_batches, "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
+    sets = keep(some.select("__text").mapInArrow(_set_batches, "node long, sketch binary, shingles array<long>").dropDuplicates(["node"]), "sets")
 
     roots = links(groups, sets)
     if roots is None:
