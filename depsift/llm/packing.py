@@ -116,8 +116,8 @@ def _pieces(path: str | None, capacity: int, end: int):
         encoder, tail = word_bpe(path), np.array([end], "<u4").tobytes()
         for batch in batches:
             out: list[tuple] = []
-            for row, text in enumerate(batch.column("__text")):
-                ids = encoder.ids(text.as_py()) + tail
+            for row, ids in enumerate(encoder.ids_of(t.as_py() for t in batch.column("__text"))):
+                ids += tail
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     out.append((row, piece, at // 4, len(part) // 4, zlib.crc32(part)))

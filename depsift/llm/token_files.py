@@ -158,8 +158,9 @@ def _writer(folder: str, vocabulary: str | None, end: int):
 
         held = 0
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("__text"), strict=True):
-                ids = encoder.ids(text.as_py()) + tail
+            texts = encoder.ids_of(t.as_py() for t in batch.column("__text"))
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
+                ids += tail
                 doc_ids.append(doc_id), counts.append(len(ids) // 4), parts.append(ids)
                 held += counts[-1]
                 if held >= FILE_IDS:

@@ -1,25 +1,40 @@
 """Token ids of public tokenizers, as little-endian 32-bit integers.
 
-Both vocabularies split a text into pieces that are encoded on their own, so the
-ids of a piece can be kept: texts repeat their words far more often than they
-bring new ones.  New pieces go to the tokenizers library in one call.  Special
-tokens that occur in a text are ordinary text.
+Both vocabularies split a text into pieces and merge bytes within each piece alone, so
+the ids of a piece can be kept: texts repeat their words far more often than they
+bring new ones.  The pieces are found here, with the pattern of the vocabulary, and
+merged by the model of the tokenizers library.  Texts with letters beyond the Latin
+blocks, or with white space on which pattern engines differ, go to the library as a
+whole.  Special tokens that occur in a text are ordinary text.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable
+import unicodedata
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 
-import numpy as np
+import regex
 
-#: White space other than blank, tab and line ends: engines differ on it, so a text
-#: that has any is encoded as a whole.
-_ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
-_GPT_PIECE = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+#: The patterns of the two vocabularies.
+_WORD_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+_BYTE_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_UNSURE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0ɐ-\U0010ffff]")
 #: Pieces that an encoder keeps before it starts over.
-KEPT = 300_000
+KEPT = 400_000
+
+
+def _byte_characters() -> dict[int, str]:
+    """The character that stands for each byte: itself if it is printable in Latin-1,
+    else the next one from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (b for b in range(256) if b not in plain)
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_CHARACTERS = _byte_characters()
 
 
 def vocabulary(name: str) -> str:
@@ -29,49 +44,55 @@ def vocabulary(name: str) -> str:
 
 
 class Encoder:
-    """ids(text) of one vocabulary file; ``cut`` splits a text into pieces whose ids
-    follow one another in the ids of the text, or gives None if it cannot."""
+    """ids(text) of one vocabulary file; ``cut`` splits a text into the pieces that are
+    merged on their own, or gives None if it isn't sure of them."""
 
-    def __init__(self, path: str, cut: Callable[[str], list | None]):
+    def __init__(self, path: str, cut: Callable[[str], list[str] | None]):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.cut, self.kept = cut, {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _merge(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_CHARACTERS))]).tobytes()
 
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
         pieces = self.cut(text)
         if pieces is None:
-            return self._encode([text])[0]
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         try:
             return b"".join(map(self.kept.__getitem__, pieces))
         except KeyError:
             if len(self.kept) > KEPT:
                 self.kept.clear()
-            new = [p for p in dict.fromkeys(pieces) if p not in self.kept]
-            self.kept.update(zip(new, self._encode(new), strict=True))
+            for piece in set(pieces).difference(self.kept):
+                self.kept[piece] = self._merge(piece)
             return b"".join(map(self.kept.__getitem__, pieces))
 
+    def ids_of(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        return map(self.ids, texts)
+
 
-def _blank_words(text: str) -> list[str] | None:
-    return None if _ODD_SPACE.search(text) else text.split()
+def _words(text: str) -> list[str] | None:
+    if _UNSURE.search(text) or not unicodedata.is_normalized("NFC", text):
+        return None
+    return _WORD_PIECE.findall(text.lower())
 
 
-def _gpt_pieces(text: str) -> list[str] | None:
-    return None if _ODD_SPACE.search(text) else _GPT_PIECE.findall(text)
+def _pieces(text: str) -> list[str] | None:
+    return None if _UNSURE.search(text) else _BYTE_PIECE.findall(text)
 
 
 def word_bpe(path: str | None = None) -> Encoder:
     """Lower-cased words without white space between them."""
-    return Encoder(path or vocabulary("word_bpe_49k.json"), _blank_words)
+    return Encoder(path or vocabulary("word_bpe_49k.json"), _words)
 
 
 def byte_bpe(path: str | None = None) -> Encoder:
     """Byte-level ids; a blank belongs to the word after it."""
-    return Encoder(path or vocabulary("byte_bpe_50k.json"), _gpt_pieces)
+    return Encoder(path or vocabulary("byte_bpe_50k.json"), _pieces)
