@@ -26,8 +26,9 @@ a large group of near copies gives no square of pairs, and no link between diffe
 components is missed.
 
 Shuffles: signature rows (hash, node, size) once; one map task emits each set once,
-however many copies it has read.  Texts are read twice for sets and signatures and
-once for the sets of candidates.
+however many copies it has read; then rows of shared signatures with sketches.  Whole sets move for nodes
+that are in a passing pair only.  Texts are read once for sets, once for signatures
+and once a round for the sets of such nodes.
 
 Defined cases: null text counts as empty; a document without words has no set and
 is its own component; one with fewer words than a shingle has its whole sequence as
@@ -36,6 +37,7 @@ its only shingle.  Rows with the same doc_id are rows of their own.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -153,8 +155,13 @@ def _node_batches(batches):
         for part in _chunks(batch, "__text"):
             sets = [shingles(t) for t in part.column("__text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [part.column("__row"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64())],
-                ["__row", "__n", "__node"],
+                [
+                    part.column("__row"),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([node_of(s) for s in sets], pa.int64()),
+                    pa.array([sketch(s) if len(s) else b"" for s in sets], pa.binary()),
+                ],
+                ["__row", "__n", "__node", "__sketch"],
             )
 
 
@@ -192,10 +199,9 @@ def _set_batches(batches):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([node_of(s) for s in sets], pa.int64()),
-                    pa.array([sketch(s) if len(s) else b"" for s in sets], pa.binary()),
                     pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(flat.view(np.int64))).cast(pa.list_(pa.int64())),
                 ],
-                ["node", "sketch", "shingles"],
+                ["node", "shingles"],
             )
 
 
@@ -287,9 +293,10 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(DEN * both >= NUM * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
-def links(groups: DataFrame, sets: DataFrame) -> DataFrame | None:
+def links(groups: DataFrame, sketches: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
     """(sig, rank, node, n) of all signatures that two sets or more share -> (node,
-    root) of linked sets, None if there are none."""
+    root) of linked sets, None if there are none.  ``sets_of`` gets the sets of a table
+    of nodes."""
     roots = checked = found = None
     for every in (False, True):
         rows = groups.withColumn("c", F.col("node"))
@@ -301,12 +308,13 @@ def links(groups: DataFrame, sets: DataFrame) -> DataFrame | None:
         rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.floor((F.col("last") - 1) / BLOCK).cast("int"))))
         # Block meets block, and itself.
         rows = rows.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
-        rows = rows.join(sets.select("node", "sketch"), "node").select("sig", "lo", "hi", "block", "node", "n", "c", "sketch")
+        rows = rows.join(sketches, "node").select("sig", "lo", "hi", "block", "node", "n", "c", "sketch")
         rows = rows.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi")
         pairs = rows.mapInArrow(_pair_batches(every), "a long, b long").distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
         checked = keep(pairs, "pairs")
+        sets = sets_of(checked.select(F.col("a").alias("node")).union(checked.select("b")).distinct())
         new = keep(similar(checked, sets), "linked")
         found = new if found is None else found.unionByName(new)
         if not new.isEmpty():
@@ -321,19 +329,23 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     texts = docs.select(F.col(text_col).alias("__text"))
     rows = docs.select(F.col(id_col).alias("__row"), F.col(text_col).alias("__text"))
     id_type = docs.schema[id_col].dataType.simpleString()
-    members = keep(rows.mapInArrow(_node_batches, f"__row {id_type}, __n long, __node long"), "members")
+    members = keep(rows.mapInArrow(_node_batches, f"__row {id_type}, __n long, __node long, __sketch binary"), "members")
 
     emitted = texts.mapInArrow(_signature_batches, "sig long, node long, n int")
     group = Window.partitionBy("sig")
     shared = emitted.withColumns({"lo": F.min("node").over(group), "hi": F.max("node").over(group)}).where("lo < hi")
     groups = keep(shared.select("sig", F.dense_rank().over(group.orderBy("node")).alias("rank"), "node", "n").distinct(), "groups")
 
-    wanted = groups.select(F.col("node").alias("__node")).distinct()
-    firsts = keep(members.join(wanted, "__node", "left_semi").groupBy("__node").agg(F.min("__row").alias("__row")).select("__row").distinct(), "firsts")
-    some = rows.join(firsts.withColumnRenamed("__row", "__r"), F.col("__row").eqNullSafe(F.col("__r")), "left_semi")
-    sets = keep(some.select("__text").mapInArrow(_set_batches, "node long, sketch binary, shingles array<long>").dropDuplicates(["node"]), "sets")
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        """One document for each node is read again."""
+        nodes = keep(nodes, "nodes")
+        first = members.join(nodes, members["__node"] == nodes["node"], "left_semi").groupBy("__node").agg(F.min("__row").alias("__r")).select("__r").distinct()
+        first = keep(first.orderBy("__r"), "firsts")
+        some = rows.join(first, F.col("__row").eqNullSafe(F.col("__r")), "left_semi")
+        return keep(some.select("__text").mapInArrow(_set_batches, "node long, shingles array<long>").dropDuplicates(["node"]).join(nodes, "node", "left_semi"), "sets")
 
-    roots = links(groups, sets)
+    sketches = keep(members.select(F.col("__node").alias("node"), F.col("__sketch").alias("sketch")).dropDuplicates(["node"]), "sketches")
+    roots = links(groups, sketches, sets_of)
     if roots is None:
         joined = members.withColumn("__c", F.col("__node"))
     else:
