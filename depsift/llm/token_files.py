@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from depsift.llm.shared import keep, scratch
 
 MAGIC = b"DSTK0001"
-END, FILE_IDS, STEP = 2, 1 << 24, 256
+END, FILE_IDS, STEP = 2, 1 << 22, 256
 
 
 class EliasFano:

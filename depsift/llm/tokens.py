@@ -16,14 +16,13 @@ import unicodedata
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 
-import regex
-
-#: The patterns of the two vocabularies.
-_WORD_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-_BYTE_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-_UNSURE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0ɐ-\U0010ffff]")
+#: The patterns of the two vocabularies, for texts of the Latin blocks.
+_WORD_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+_BYTE_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: Letters beyond these blocks, numbers that aren't digits, odd white space.
+_UNSURE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\xb2\xb3\xb9\xbc-\xbeɐ-\U0010ffff]")
 #: Pieces that an encoder keeps before it starts over.
-KEPT = 400_000
+KEPT = 600_000
 
 
 def _byte_characters() -> dict[int, str]:
@@ -43,6 +42,18 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class _Kept(dict):
+    """Ids of pieces; a new piece is merged when it is asked for."""
+
+    def __init__(self, model):
+        self.tokenize = model.tokenize
+
+    def __missing__(self, piece: str) -> bytes:
+        plain = piece.replace(" ", _CHARACTERS[32]) if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(_CHARACTERS)
+        ids = self[piece] = array("I", [t.id for t in self.tokenize(plain)]).tobytes()
+        return ids
+
+
 class Encoder:
     """ids(text) of one vocabulary file; ``cut`` splits a text into the pieces that are
     merged on their own, or gives None if it isn't sure of them."""
@@ -53,11 +64,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
-        self.cut, self.kept = cut, {}
-
-    def _merge(self, piece: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_CHARACTERS))]).tobytes()
+        self.cut, self.kept = cut, _Kept(self.tokenizer.model)
 
     def ids(self, text: str | None) -> bytes:
         if not text:
@@ -65,14 +72,9 @@ class Encoder:
         pieces = self.cut(text)
         if pieces is None:
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        try:
-            return b"".join(map(self.kept.__getitem__, pieces))
-        except KeyError:
-            if len(self.kept) > KEPT:
-                self.kept.clear()
-            for piece in set(pieces).difference(self.kept):
-                self.kept[piece] = self._merge(piece)
-            return b"".join(map(self.kept.__getitem__, pieces))
+        if len(self.kept) > KEPT:
+            self.kept.clear()
+        return b"".join(map(self.kept.__getitem__, pieces))
 
     def ids_of(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         return map(self.ids, texts)
