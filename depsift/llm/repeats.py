@@ -6,22 +6,21 @@ a document with a smaller doc_id.  Strings are those of the input.
 A suffix array over all texts at once has no place on any one machine, so strings
 are dealt to shards by their own content.  The least hash among the 31 substrings
 of 20 bytes within a string is its key; equal strings have equal keys.  Following
-strings of a document mostly share their key, so they form a segment, and a shard
-gets segments.  Keys of one document only are dropped before any text moves.  Equal
-segments of a shard are one text with the smallest of its doc_ids.  The texts are
-sorted by induced sorting of their suffixes (``suffix_sort``), runs of suffixes whose
-permuted common prefixes reach ``SPAN`` are one string each, and the smallest doc_id of
-the run is where the string comes first.  That gives, for each different segment,
-the first doc_id and the strings that come from even earlier documents.
-
-Each document looks its segments up: in the document that has the segment first,
-the strings found to be earlier go, in all others the whole segment goes.
-
-Skew: a key or segment that a third of all documents have is one row a document
-until it is aggregated (in the mappers first) to one text and one number; the join
-that hands the result back is a sort-merge join, which adaptive execution splits.
-A shard is sorted a chunk of ``CHUNK`` bytes at a time, cut between keys; a key with
-more different texts than fit has a chunk of its own.
+strings of a document mostly share their key, so they form a segment, named by a
+64-bit hash.  Keys of one document only are dropped before any text moves.  In all
+documents but the first that have a segment, all of it goes.  Where a key has several
+different segments, their texts (one of each) meet in a shard and are sorted by
+induced sorting of their suffixes (``suffix_sort``); runs of suffixes whose permuted
+common prefixes reach ``SPAN`` are one string each, and the smallest doc_id of the run
+is where the string comes first.  What a segment's first document has to drop are the
+strings that come from even earlier ones.
+
+Skew: a key or segment that a third of all documents have is one short row for each
+of them, and one text.  Only rows of one key need to be together, and a document has
+hundreds of keys, so no key has more than a sliver of the rows.  A shard is sorted a
+chunk of ``CHUNK`` bytes at a time, cut between keys; a key with more different texts
+than fit has a chunk of its own.  Texts are shuffled twice: to cut segments out of
+them, and to remove what was found.
 
 Defined cases: a null text counts as empty; texts under ``SPAN`` bytes keep all; rows
 with the same doc_id are looked at each and remove nothing from one another; a null
@@ -34,11 +33,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depsift.llm.shared import keep
+from depsift.llm.shared import keep, settle
 from depsift.llm.suffix_sort import permuted_common, suffix_array
 
 SPAN, GRAM = 50, 20
@@ -74,22 +72,33 @@ def least_in_windows(h: np.ndarray) -> np.ndarray:
     return np.minimum(out[:-rest], out[rest:]) if rest else out
 
 
-def segments(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, start, strings, key) of the segments of several texts."""
+def segments(raws: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(document, start, strings, key, name) of the segments of several texts."""
     ends = np.cumsum([len(r) for r in raws])
     whole = np.frombuffer(b"".join(raws), np.uint8)
     if len(whole) < SPAN:
-        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.int64),)
-    key = least_in_windows(gram_hashes(whole))
+        return (np.empty(0, np.int64),) * 5
+    h = gram_hashes(whole)
+    key = least_in_windows(h)
     doc = np.repeat(np.arange(len(raws)), [len(r) for r in raws])[: len(key)]
     inside = np.arange(len(key)) + SPAN <= ends[doc]
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-    at = np.flatnonzero(new & inside)
+    first = np.flatnonzero(new)
+    at = first[inside[first]]
     # Strings of a document are followed by the places that cross its end.
-    stop = np.minimum(np.append(np.flatnonzero(new), len(key))[np.searchsorted(np.flatnonzero(new), at) + 1], ends[doc[at]] - SPAN + 1)
+    stop = np.minimum(np.append(first, len(key))[np.searchsorted(first, at) + 1], ends[doc[at]] - SPAN + 1)
+    # The name depends on all substrings of GRAM bytes and on their places in the segment.
+    one = np.concatenate([np.zeros(1, _U), np.cumsum(h)])
+    two = np.concatenate([np.zeros(1, _U), np.cumsum(h * (2 * np.arange(len(h), dtype=_U) + _U(1)))])
+    a, b = at, stop + SPAN - GRAM
+    flat = one[b] - one[a]
+    name = (two[b] - two[a]) - _U(2) * a.astype(_U) * flat
+    name = (name ^ (name >> _U(31))) * _U(0x9E3779B97F4A7C15) + flat
+    name = (name ^ (name >> _U(29))) * _U(0xBF58476D1CE4E5B9) + (b - a).astype(_U)
+    name ^= name >> _U(32)
     starts = at - np.concatenate([[0], ends[:-1]])[doc[at]]
-    return doc[at], starts, stop - at, key[at].view(np.int64)
+    return doc[at], starts, stop - at, key[at].view(np.int64), name.view(np.int64)
 
 
 def _read(batch: pa.RecordBatch, column: str):
@@ -109,63 +118,75 @@ def _read(batch: pa.RecordBatch, column: str):
 def _keys(batches):
     for batch in batches:
         for part, raws in _read(batch, "__text"):
-            doc, _, _, key = segments(raws)
+            doc, _, _, key, name = segments(raws)
             ids = part.column("__id").to_numpy()[doc]
-            order = np.lexsort((ids, key))
-            key, ids = key[order], ids[order]
+            order = np.lexsort((ids, name, key))
+            key, name, ids = key[order], name[order], ids[order]
             first = np.ones(len(key), bool)
-            first[1:] = (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(ids[first])], ["key", "__id"])
+            first[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1]) | (ids[1:] != ids[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(x[first]) for x in (key, name, ids)], ["key", "name", "__id"])
 
 
 def _shared(batches):
-    """Of rows sorted by key and id, the different ones whose key has several ids."""
-    last, went = None, False  # the last row so far, and whether it went out
+    """Of rows sorted by key, name and id: those whose segment an earlier document has
+    (``sort`` false), and the first of each segment where the key has several (true)."""
+    last, several, held = None, False, None  # the last row's key, name and first id; its key's state
     for batch in batches:
-        key, ids = batch.column("key").to_numpy(), batch.column("__id").to_numpy()
-        if not len(key):
+        key, name, ids = (batch.column(c).to_numpy() for c in ("key", "name", "__id"))
+        n = len(key)
+        if not n:
             continue
+        new_key, new_name = np.ones(n, bool), np.ones(n, bool)
+        new_key[1:] = key[1:] != key[:-1]
+        new_name[1:] = new_key[1:] | (name[1:] != name[:-1])
         if last is not None:
-            key, ids = np.append(last[0], key), np.append(last[1], ids)
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])
-        key, ids = key[new], ids[new]
-        same = key[1:] == key[:-1]
-        out = np.zeros(len(key), bool)
-        out[1:] |= same
-        out[:-1] |= same
-        out[0] &= not went
-        went = bool(out[-1]) or (went and len(key) == 1)
-        last = key[-1], ids[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(ids[out])], ["key", "__id"])
+            new_key[0] = key[0] != last[0]
+            new_name[0] = new_key[0] or name[0] != last[1]
+        starts = np.flatnonzero(new_name)
+        run = np.cumsum(new_name) - 1
+        first_id = np.where(run < 0, last[2] if last is not None else 0, ids[starts[np.maximum(run, 0)]] if len(starts) else 0)
+        whole = ids != first_id
+        group = np.cumsum(new_key)  # 0: the key of the batch before
+        names = np.bincount(group[starts], minlength=int(group[-1]) + 1)
+        many = names > 1
+        many[0] |= several or (last is not None and not new_key[0] and names[0] > 0)
+        out = starts[many[group[starts]]]
+        rows = [(key[whole], name[whole], ids[whole], False), (key[out], name[out], ids[out], True)]
+        if held is not None and many[0]:
+            rows.append((*(np.array([x], np.int64) for x in held), True))
+            held = None
+        if new_key.any():
+            held = None  # of the key before, which had one segment only
+        # The last key may go on: its only segment so far waits.
+        several = bool(many[group[-1]])
+        if not several and len(starts) and group[starts[-1]] == group[-1] and names[group[-1]] == 1:
+            held = (key[starts[-1]], name[starts[-1]], ids[starts[-1]])
+        last = (key[-1], name[-1], first_id[-1])
+        k, m, i, sort = (np.concatenate([np.full(len(r[0]), r[3]) if c == 3 else r[c] for r in rows]) for c in range(4))
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(m), pa.array(i), pa.array(sort)], ["key", "name", "__id", "sort"])
 
 
 def _cut(batches):
-    """The segments with shared keys, as texts."""
+    """The texts of segments that are to be sorted."""
     for batch in batches:
         for part, raws in _read(batch, "__text"):
-            doc, start, strings, key = segments(raws)
-            wanted = part.column("__keys")
-            offsets = np.asarray(wanted.offsets)
-            values = wanted.values.to_numpy()
-            rows: dict = {}
+            doc, start, strings, key, name = segments(raws)
+            wanted = part.column("__names")
+            offsets, values = np.asarray(wanted.offsets), wanted.values.to_numpy()
             ids = part.column("__id").to_pylist()
             bounds = np.searchsorted(doc, np.arange(len(raws) + 1))
+            rows: dict = {}
             for i, raw in enumerate(raws):
                 a, b = bounds[i], bounds[i + 1]
-                hit = np.flatnonzero(np.isin(key[a:b], values[offsets[i] : offsets[i + 1]])) + a
-                for k, p, n in zip(key[hit].tolist(), start[hit].tolist(), strings[hit].tolist(), strict=True):
-                    rows[k, raw[p : p + n + SPAN - 1], ids[i]] = None
-            keys, texts, owners = zip(*rows, strict=True) if rows else ((),) * 3
+                hit = np.flatnonzero(np.isin(name[a:b], values[offsets[i] : offsets[i + 1]])) + a
+                for m, k, p, n in zip(name[hit].tolist(), key[hit].tolist(), start[hit].tolist(), strings[hit].tolist(), strict=True):
+                    rows[m] = (k, raw[p : p + n + SPAN - 1], ids[i])
+            keys, texts, firsts = zip(*rows.values(), strict=True) if rows else ((),) * 3
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(map(name, texts), pa.int64()), pa.array(texts, pa.binary()), pa.array(owners, pa.int64())], ["key", "name", "segment", "__id"]
+                [pa.array(keys, pa.int64()), pa.array(rows, pa.int64()), pa.array(texts, pa.binary()), pa.array(firsts, pa.int64())], ["key", "name", "segment", "first"]
             )
 
 
-def name(text: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
-
-
 def earlier(texts: list[bytes], first: np.ndarray) -> list[list[int]]:
     """For each text, [start, strings, ...] of the strings that some text with a smaller
     ``first`` holds."""
@@ -197,14 +218,18 @@ def earlier(texts: list[bytes], first: np.ndarray) -> list[list[int]]:
 
 
 def _sort(batches):
-    """Different segments sorted by key -> the first id of each and its earlier strings."""
+    """Segments sorted by key and name -> the strings that earlier documents have, for
+    the first document of each segment that has any."""
     rows: list[tuple] = []
     size = 0
 
     def flush():
-        keys, names, texts, ids = zip(*rows, strict=True)
-        runs = earlier(list(texts), np.array(ids, np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(names, pa.int64()), pa.array(ids, pa.int64()), pa.array(runs, pa.list_(pa.int64()))], ["key", "name", "first", "runs"])
+        # One text of a segment is enough: it comes twice where a doc_id does.
+        some = list({row[1]: row for row in rows}.values())
+        runs = earlier([r[2] for r in some], np.array([r[3] for r in some], np.int64))
+        found = [(r[1], r[3], x) for r, x in zip(some, runs, strict=True) if x]
+        names, ids, lists = zip(*found, strict=True) if found else ((),) * 3
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(ids, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], ["name", "__id", "runs"])
 
     for batch in batches:
         for row in zip(*(batch.column(c).to_pylist() for c in ("key", "name", "segment", "first")), strict=True):
@@ -221,24 +246,24 @@ def _remove(batches):
     for batch in batches:
         out: dict = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
         for part, raws in _read(batch, "__text"):
-            doc, start, strings, key = segments(raws)
+            doc, start, strings, _, name = segments(raws)
             bounds = np.searchsorted(doc, np.arange(len(raws) + 1))
-            lists = part.column("__found")
-            offsets, items = np.asarray(lists.offsets), lists.values
-            found_keys, found_names, found_runs = items.field("key").to_numpy(), items.field("name").to_numpy(), items.field("runs")
+            whole = part.column("__whole").to_pylist()
+            some = part.column("__some").to_pylist()
             for i, raw in enumerate(raws):
-                c, d = (int(offsets[i]), int(offsets[i + 1])) if lists[i].is_valid else (0, 0)
-                known = {x: c + j for j, x in enumerate(zip(found_keys[c:d].tolist(), found_names[c:d].tolist(), strict=True))}
                 a, b = bounds[i], bounds[i + 1]
                 gone = np.zeros(len(raw) + 1, np.int32)
-                for j in (np.flatnonzero(np.isin(key[a:b], found_keys[c:d])) + a).tolist() if known else ():
-                    p, n = int(start[j]), int(strings[j])
-                    hit = known.get((int(key[j]), name(raw[p : p + n + SPAN - 1])))
-                    runs = found_runs[hit].as_py() if hit is not None else ()
-                    for q, m in zip(runs[::2], runs[1::2], strict=True):
-                        m = n if m < 0 else m
-                        gone[p + q] += 1
-                        gone[p + q + m + SPAN - 1] -= 1
+                if whole[i]:
+                    hit = np.flatnonzero(np.isin(name[a:b], np.array(whole[i], np.int64))) + a
+                    np.add.at(gone, start[hit], 1)
+                    np.add.at(gone, start[hit] + strings[hit] + SPAN - 1, -1)
+                if some[i]:
+                    runs = {x["name"]: x["runs"] for x in some[i]}
+                    for j in (np.flatnonzero(np.isin(name[a:b], np.array(list(runs), np.int64))) + a).tolist():
+                        found = runs[int(name[j])]
+                        for q, m in zip(found[::2], found[1::2], strict=True):
+                            gone[start[j] + q] += 1
+                            gone[start[j] + q + m + SPAN - 1] -= 1
                 off = np.cumsum(gone[:-1]) > 0
                 left = np.frombuffer(raw, np.uint8)[~off].tobytes()
                 out["n_bytes"].append(len(raw))
@@ -257,20 +282,23 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     rows = docs.select(F.col(id_col).alias("__row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("__id"), F.col(text_col).alias("__text"))
     texts = rows.select("__id", "__text")
 
-    keys = texts.mapInArrow(_keys, "key long, __id long").repartition("key").sortWithinPartitions("key", "__id")
-    shared = keep(keys.mapInArrow(_shared, "key long, __id long"), "shared")
-    by_doc = shared.groupBy("__id").agg(F.collect_list("key").alias("__keys"))
-
-    cut = keep(texts.join(by_doc, "__id").select("__id", "__text", "__keys").mapInArrow(_cut, "key long, name long, segment binary, __id long"), "cut")
-    different = cut.groupBy("key", "name", "segment").agg(F.min("__id").alias("first"))
-    ordered = different.repartition("key").sortWithinPartitions("key")
-    sorted_ = keep(ordered.mapInArrow(_sort, "key long, name long, first long, runs array<long>"), "sorted")
-
-    whole = F.array(F.lit(0).cast("long"), F.lit(-1).cast("long"))
-    met = cut.select("key", "name", "__id").join(sorted_, ["key", "name"])
-    met = met.select("__id", "key", "name", F.when(F.col("__id") > F.col("first"), whole).otherwise(F.col("runs")).alias("runs")).where("size(runs) > 0")
-    found = met.groupBy("__id").agg(F.collect_list(F.struct("key", "name", "runs")).alias("__found"))
-    out = rows.join(found, "__id", "left").select("__row", "__text", "__found")
+    spark = docs.sparkSession
+    keys = texts.mapInArrow(_keys, "key long, name long, __id long").repartition("key").sortWithinPartitions("key", "name", "__id")
+    shared = keep(keys.mapInArrow(_shared, "key long, name long, __id long, sort boolean"), "shared")
+    del keys
+    settle(spark)
+
+    names = shared.where("sort").groupBy("__id").agg(F.collect_list("name").alias("__names"))
+    cut = texts.join(names.hint("merge"), "__id").select("__id", "__text", "__names").mapInArrow(_cut, "key long, name long, segment binary, first long")
+    ordered = cut.repartition("key").sortWithinPartitions("key", "name")
+    some = keep(ordered.mapInArrow(_sort, "name long, __id long, runs array<long>"), "some")
+    del names, cut, ordered
+    settle(spark)
+
+    whole = shared.where("NOT sort").groupBy("__id").agg(F.collect_list("name").alias("__whole"))
+    part = some.groupBy("__id").agg(F.collect_list(F.struct("name", "runs")).alias("__some"))
+    found = whole.join(part, "__id", "full")
+    out = rows.join(found.hint("merge"), "__id", "left").select("__row", "__text", "__whole", "__some")
     return out.mapInArrow(_remove, f"__row {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -47,6 +48,13 @@ def keep(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that are no longer referred to; it
+    does so when the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop_kept(df: DataFrame) -> None:
     """Delete a table that ``keep`` wrote and no later plan reads."""
     spark = df.sparkSession

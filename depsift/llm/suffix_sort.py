@@ -22,13 +22,32 @@ import numpy as np
 
 def _push(lists: list[list[np.ndarray]], at: np.ndarray, first: np.ndarray) -> None:
     """Append positions to the lists of their first bytes, in the order given."""
-    if not len(at):
-        return
-    order = np.argsort(first, kind="stable")
-    at, first = at[order], first[order]
-    cut = np.flatnonzero(np.diff(first)) + 1
-    for part, c in zip(np.split(at, cut), first[np.concatenate([[0], cut])].tolist(), strict=True):
-        lists[c].append(part)
+    if len(at):
+        order = np.argsort(first, kind="stable")
+        at, first = at[order], first[order]
+        cut = [0, *(np.flatnonzero(first[1:] != first[:-1]) + 1).tolist(), len(at)]
+        for a, b in zip(cut, cut[1:], strict=False):
+            lists[first[a]].append(at[a:b])
+
+
+def _scan(s: np.ndarray, lists: list[list[np.ndarray]], c: int, wave: np.ndarray, wanted: np.ndarray) -> None:
+    """Read positions of bucket ``c`` in order and append the wanted ones before them to
+    their buckets; those of the same bucket are the next wave."""
+    while len(wave):
+        before = wave[wave > 0] - 1
+        before = before[wanted[before]]
+        first = s[before]
+        same = first == c
+        if not same.any():
+            _push(lists, before, first)
+            return
+        _push(lists, before[~same], first[~same])
+        wave = before[same]
+        lists[c].append(wave)
+
+
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.empty(0, np.int32)
 
 
 def induce(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray) -> np.ndarray:
@@ -37,43 +56,22 @@ def induce(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray) -> np.ndarray:
     mine: list[list[np.ndarray]] = [[] for _ in range(size)]
     _push(mine, lms, s[lms])
     larger: list[list[np.ndarray]] = [[] for _ in range(size)]
+    not_smaller = ~smaller
     for c in range(size):
-        for source, chained in ((larger[c], True), (mine[c], False)):
-            i = 0
-            while i < len(source):  # the list grows while it is read
-                before = source[i][source[i] > 0] - 1
-                before = before[~smaller[before]]
-                first = s[before]
-                if chained:
-                    same = first == c
-                    if same.any():
-                        larger[c].append(before[same])
-                        before, first = before[~same], first[~same]
-                _push(larger, before, first)
-                i += 1
+        _scan(s, larger, c, _joined(larger[c]), not_smaller)
+        _scan(s, larger, c, _joined(mine[c]), not_smaller)
     falling: list[list[np.ndarray]] = [[] for _ in range(size)]
     for c in range(size - 1, -1, -1):
-        for source, chained in ((falling[c], True), ([x[::-1] for x in reversed(larger[c])], False)):
-            i = 0
-            while i < len(source):
-                before = source[i][source[i] > 0] - 1
-                before = before[smaller[before]]
-                first = s[before]
-                if chained:
-                    same = first == c
-                    if same.any():
-                        falling[c].append(before[same])
-                        before, first = before[~same], first[~same]
-                _push(falling, before, first)
-                i += 1
-    falling[0] = [np.array([len(s) - 1])]
-    return np.concatenate([x for c in range(size) for x in (*larger[c], *(y[::-1] for y in reversed(falling[c])))])
+        _scan(s, falling, c, _joined(falling[c]), smaller)
+        _scan(s, falling, c, _joined(larger[c])[::-1], smaller)
+    falling[0] = [np.array([len(s) - 1], np.int32)]
+    return np.concatenate([x for c in range(size) for x in (*larger[c], _joined(falling[c])[::-1])])
 
 
 def types(s: np.ndarray) -> np.ndarray:
     """Whether each suffix is smaller than the next one; the last counts as smaller."""
     n = len(s)
-    change = np.where(s[:-1] != s[1:], np.arange(n - 1), n)
+    change = np.where(s[:-1] != s[1:], np.arange(n - 1, dtype=np.int32), np.int32(n))
     following = np.minimum.accumulate(change[::-1])[::-1]
     out = np.ones(n, bool)
     out[:-1] = s[following] < s[following + 1]
@@ -108,12 +106,12 @@ def common(w: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray | int)
 def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes of ``s`` (bytes, the last one 0 and no other) by at least ``depth`` bytes."""
     if len(s) == 1:
-        return np.zeros(1, np.int64)
+        return np.zeros(1, np.int32)
     smaller = types(s)
-    lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
+    lms = (np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1).astype(np.int32)
     rough = induce(s, smaller, lms)
-    number = np.full(len(s), -1, np.int64)
-    number[lms] = np.arange(len(lms))
+    number = np.full(len(s), -1, np.int32)
+    number[lms] = np.arange(len(lms), dtype=np.int32)
     ranked = number[rough]
     ranked = ranked[ranked >= 0]
     length = np.diff(lms, append=lms[-1]) + 1
@@ -134,7 +132,7 @@ def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
 def permuted_common(s: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
     """For each position, the bytes that its suffix has in common with the one before it
     in ``order``, up to ``most`` (0 for the first)."""
-    before = np.empty(len(s), np.int64)
+    before = np.empty(len(s), np.int32)
     before[order[1:]], before[order[0]] = order[:-1], len(s) - 1
     out = common(words(s), np.arange(len(s)), before, most)
     out[order[0]] = 0
