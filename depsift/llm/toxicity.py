@@ -195,7 +195,8 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text
     toxic = labels.where("toxic IS NOT NULL").groupBy(F.col("doc_id").alias("__row")).agg(F.max("toxic").cast("int").alias("__toxic"))
     rows = docs.select(F.col(id_col).alias("__row"), F.col(text_col).alias("__text"))
     held = F.coalesce(fold("__row"), F.lit(0)) == 0
-    training = rows.join(toxic, "__row").withColumn("__fold", fold("__row")).where("__fold > 0")
+    # Labels grow with the documents, so they are not for a broadcast at any size.
+    training = rows.join(toxic.hint("merge"), "__row").withColumn("__fold", fold("__row")).where("__fold > 0")
     schema = f"__row {id_type}, __mean double, __far double"
     spark = docs.sparkSession
     tables = train(training.where("__fold <= 3").select("__text", "__toxic"))
