@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,9 +51,12 @@ def keep(df: DataFrame, name: str = "t") -> DataFrame:
 
 def settle(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that are no longer referred to; it
-    does so when the driver collects its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+    does so after the driver has collected its garbage.  References from Python go
+    first, those that they held in the JVM in a later turn."""
+    for _ in range(3):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def drop_kept(df: DataFrame) -> None:
