@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from depsift.llm.shared import ship
+
 _BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
     "h1 h2 h3 h4 h5 h6 head header hr html legend li link main menu meta nav noscript ol option p pre section select summary table tbody td tfoot th "
@@ -251,6 +253,7 @@ def main_text(page: str | None, tree) -> str:
 
 def extract(pages: DataFrame, *, html_col: str = "html", out: str = "text") -> DataFrame:
     """``pages`` without ``html_col``, with the main text as ``out``."""
+    ship(pages.sparkSession)
     rest = [c for c in pages.columns if c not in (html_col, out)]
     tree = learn()
 

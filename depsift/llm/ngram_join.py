@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from depsift.llm.components import components
-from depsift.llm.shared import keep
+from depsift.llm.shared import keep, ship
 
 #: Words of a shingle; similarity as a fraction.
 WORDS, NUM, DEN = 4, 85, 100
@@ -326,6 +326,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """A row for every row of ``docs``: its id as ``__row`` and a struct ``__near`` of
     n_shingles and component_id, the least id that links reach.  The id may be of any
     type that has an order."""
+    ship(docs.sparkSession)
     texts = docs.select(F.col(text_col).alias("__text"))
     rows = docs.select(F.col(id_col).alias("__row"), F.col(text_col).alias("__text"))
     id_type = docs.schema[id_col].dataType.simpleString()

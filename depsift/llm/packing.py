@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depsift.llm.shared import keep
+from depsift.llm.shared import keep, ship
 
 CAPACITY, END = 2048, 0
 #: Pieces that a task packs at once; a bin with less room than ``SLACK`` is done.
@@ -132,6 +132,7 @@ def _pieces(path: str | None, capacity: int, end: int):
 
 def pack_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", vocabulary: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """Pieces of all documents with the sequence and the offset that hold them."""
+    ship(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"))
     cut = rows.mapInArrow(_pieces(vocabulary, capacity, end), f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long")

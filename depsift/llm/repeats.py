@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depsift.llm.shared import keep, settle
+from depsift.llm.shared import keep, settle, ship
 from depsift.llm.suffix_sort import permuted_common, suffix_array
 
 SPAN, GRAM = 50, 20
@@ -278,6 +278,7 @@ def _remove(batches):
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row's id with n_bytes, n_removed, n_spans, kept_sha256 and ``kept``, the
     remaining bytes."""
+    ship(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("__row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("__id"), F.col(text_col).alias("__text"))
     texts = rows.select("__id", "__text")

@@ -7,6 +7,8 @@ import gc
 import tempfile
 import time
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +61,23 @@ def settle(spark: SparkSession) -> None:
         time.sleep(0.3)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, which need not have it, once a session."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    top = Path(__file__).resolve().parents[1]
+    path = Path(tempfile.mkdtemp(prefix="depsift-")) / f"{top.name}.zip"
+    with zipfile.ZipFile(path, "w") as out:
+        for file in sorted(top.rglob("*.py")):
+            out.write(file, file.relative_to(top.parent))
+    context.addPyFile(str(path))
+
+
 def drop_kept(df: DataFrame) -> None:
     """Delete a table that ``keep`` wrote and no later plan reads."""
     spark = df.sparkSession

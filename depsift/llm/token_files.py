@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from depsift.llm.shared import keep, scratch
+from depsift.llm.shared import keep, scratch, ship
 
 MAGIC = b"DSTK0001"
 END, FILE_IDS, STEP = 2, 1 << 22, 256
@@ -174,6 +174,7 @@ def _writer(folder: str, vocabulary: str | None, end: int):
 
 def write_tokens(docs: DataFrame, folder: str, *, id_col="doc_id", text_col="text", vocabulary: str | None = None, end: int = END) -> DataFrame:
     """Write all documents; return the finished files: file, documents, ids."""
+    ship(docs.sparkSession)
     spark = docs.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depsift.llm.shared import keep, table
+from depsift.llm.shared import keep, ship, table
 
 ORDER, DISCOUNT = 4, 0.75
 #: Labelled documents at most that the logistic curve is fitted on.
@@ -191,6 +191,7 @@ def fold(id_col: str):
 
 def score(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
     """(``__row``: the id, ``held_out``, ``score``) of every row."""
+    ship(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     toxic = labels.where("toxic IS NOT NULL").groupBy(F.col("doc_id").alias("__row")).agg(F.max("toxic").cast("int").alias("__toxic"))
     rows = docs.select(F.col(id_col).alias("__row"), F.col(text_col).alias("__text"))
