@@ -15,7 +15,7 @@ table of sources is written and read back; Spark broadcasts it only below
 that table, which has one row a source.
 
 Defined cases: a null text has no words; null is a source of its own, after all
-others; a source without words has the target 0.  Rows with the same doc_id stand
+others; a null doc_id stands where an empty text does; a source without words has the target 0.  Rows with the same doc_id stand
 at one place and are taken together.  Documents stay whole, so a source misses its
 target by half of the document at the threshold at most.
 """
@@ -33,7 +33,7 @@ LOOKS = (48, 36, 24, 0)
 
 def place(id_col: str):
     """60 bits of MD5 as a long."""
-    return F.conv(F.substring(F.md5(F.col(id_col).cast("string")), 1, 15), 16, 10).cast("long")
+    return F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
 
 
 def targets(sizes: DataFrame, weights=(5, 2, 1), share=(3, 2), most=2) -> DataFrame:
