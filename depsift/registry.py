@@ -212,9 +212,11 @@ _EDGES = "e AS (SELECT list_distinct(list_transform(range(33), lambda i: quantil
 _QUANTILES = "q AS (SELECT unnest(quantile_cont(l_extendedprice, [" + ", ".join(f"{i / 32}" for i in range(33)) + "])) AS x FROM lineitem)"
 
 
-@query(f"WITH {_QUANTILES} SELECT DISTINCT round(x, 6) AS edge FROM q")
+@query(f"WITH {_QUANTILES} SELECT DISTINCT round(x, 8) AS edge FROM q")
 def quantile_edges(spark, sf_dir):
-    return rounded(spark.createDataFrame([(e,) for e in tokens.quantile_edges(table(spark, sf_dir, "lineitem"), "l_extendedprice")], "edge double")).distinct()
+    # Prices have two places and quantiles lie at 32nds between them: eight places hold them without ties.
+    edges = tokens.quantile_edges(table(spark, sf_dir, "lineitem"), "l_extendedprice")
+    return spark.createDataFrame([(e,) for e in edges], "edge double").select(F.round("edge", 8).alias("edge")).distinct()
 
 
 @query(f"WITH {_QUANTILES}, d AS (SELECT list(DISTINCT x ORDER BY x) AS xs FROM q) SELECT len(list_filter(xs[2:len(xs) - 1], lambda e: e <= l_extendedprice))::INTEGER AS bucket, count(*) AS n FROM lineitem, d GROUP BY 1")
@@ -490,16 +492,18 @@ def minimal_rules(candidates: DataFrame, floor: float = 0.08) -> DataFrame:
     return candidates.join(s, inside & ((gain <= floor) | ((F.col("t") >= 0.95) & (gain < max(0.05, floor)))), "left_anti")
 
 
-def _search_rows(spark, sf_dir, **options):
-    result = search(sales(spark, sf_dir), Settings(**options), key_columns=list(SALES_KEY), overrides=SALES_FAMILIES)
+def _search_rows(spark, sf_dir, columns=SALES, **options):
+    families = {c: f for c, f in SALES_FAMILIES.items() if c in columns}
+    result = search(sales(spark, sf_dir).select(*columns), Settings(**options), key_columns=[c for c in SALES_KEY if c in columns], overrides=families)
     rows = [(",".join(c.lhs), c.rhs, float(c.score), float(c.s_ent), float(c.s_acc), c.bidirectional) for c in result.candidates]
     return spark.createDataFrame(rows, "lhs string, rhs string, score double, s_ent double, s_acc double, bidirectional boolean")
 
 
 @query()
 def fd_search_full(spark, sf_dir):
-    """The whole search with left sides of up to two columns."""
-    return _search_rows(spark, sf_dir, max_lhs_size=2)
+    """The whole search with left sides of up to two columns, over the columns of orders'
+    lines, customers and parts that are no amounts."""
+    return _search_rows(spark, sf_dir, [*SALES_KEY, "l_returnflag", "l_linestatus", "o_orderstatus", "o_orderpriority", "c_nationkey", "c_mktsegment", "n_name", "r_name", "p_brand", "p_type"], max_lhs_size=2)
 
 
 @query(f"WITH {SALES_SQL}, e AS (" + _union([f"SELECT '{a}' AS lhs, '{b}' AS rhs, max(n) AS most FROM (SELECT count(DISTINCT {b}) AS n FROM w GROUP BY {a})" for a in SALES for b in SALES if a != b]) + ") SELECT lhs, rhs FROM e WHERE most = 1")
