@@ -9,8 +9,10 @@ rate from above by the exact binomial test, P(Bin(n, risk) <= x).  A cutoff is
 certified if that probability is at most ``error`` / (strata * rules * cutoffs)
 (Bonferroni), and each rule gets its share ``risk`` / rules, so that with
 probability 1 - ``error`` no stratum loses more than ``risk`` of its good
-documents.  Each rule uses its lowest certified cutoff; a rule without one (too
-few labels) rejects nothing.
+documents.  Of its certified cutoffs, a rule uses the one that rejects the most
+labelled bad documents, and of those that reject as many the highest; a rule that
+has none (too few labels), or whose certified cutoffs reject no bad document, rejects
+nothing.
 
 Everything is built-in SQL functions.  Words, lines and three-word windows are
 arrays inside the row; only one short row a document is shuffled (to meet the
@@ -120,18 +122,28 @@ def binomial_tail(x: Column, n: Column, risk: float) -> Column:
 def cutoffs(measured: DataFrame, labels: DataFrame, *, risk: float, error: float) -> DataFrame:
     """(``__id``, ``__stratum``, ``__f``) and labels -> a row a stratum: the certified
     cutoff of each rule, null if it has none."""
-    good = labels.where("quality IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.min("quality").alias("__q")).where("__q = 1")
+    verdicts = labels.where("quality IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg((F.min("quality") == 1).alias("__good"))
     tried = [(rule, c) for rule, (_, _, cs) in RULES.items() for c in cs]
+    good = F.col("__good")
     counts = (
-        measured.where(~base_failed()).join(good, "__id", "left_semi").groupBy("__stratum")
-        .agg(F.count(F.lit(1)).alias("n"), *(F.count_if(_above(rule, F.lit(c))).alias(f"{rule}_{c}") for rule, c in tried))
+        measured.where(~base_failed()).join(verdicts, "__id").groupBy("__stratum")
+        .agg(
+            F.count_if(good).alias("n"),
+            *(F.count_if(good & _above(rule, F.lit(c))).alias(f"good_{rule}_{c}") for rule, c in tried),
+            *(F.count_if(~good & _above(rule, F.lit(c))).alias(f"bad_{rule}_{c}") for rule, c in tried),
+        )
+        .where("n > 0")
         .withColumn("__tests", F.count(F.lit(1)).over(Window.partitionBy()) * len(tried))
     )
-    certified = {
-        rule: F.array_min(F.array(*(F.when(binomial_tail(F.col(f"{rule}_{c}"), F.col("n"), risk / len(RULES)) <= error / F.col("__tests"), F.lit(c)) for c in cs)))
+
+    def certified(rule: str, c: int) -> Column:
+        return binomial_tail(F.col(f"good_{rule}_{c}"), F.col("n"), risk / len(RULES)) <= error / F.col("__tests")
+
+    chosen = {
+        rule: F.array_max(F.array(*(F.when(certified(rule, c) & (F.col(f"bad_{rule}_{c}") > 0), F.struct(F.col(f"bad_{rule}_{c}").alias("caught"), F.lit(c).alias("cut"))) for c in cs)))["cut"]
         for rule, (_, _, cs) in RULES.items()
     }
-    return counts.select(F.col("__stratum").alias("__s"), *(v.alias(f"__cut_{k}") for k, v in certified.items()))
+    return counts.select(F.col("__stratum").alias("__s"), *(v.alias(f"__cut_{k}") for k, v in chosen.items()))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", stratum_col="lang", carry: list[str] | None = None, risk=0.02, error=0.05) -> DataFrame:
@@ -171,14 +183,14 @@ f AS (SELECT doc_id, lang, len(ws)::BIGINT AS n_words, length(array_to_string(ws
              (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words
       FROM w LEFT JOIN r USING (uid)),
 b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed FROM f),
-good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
-x AS (SELECT lang, rule, c, count(*) AS n,
-             count_if(100 * (CASE rule {top} END) > c * (CASE rule {bottom} END))::BIGINT AS x
-      FROM b, (VALUES {values}) v(rule, c) WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good) GROUP BY ALL),
+v AS (SELECT doc_id, min(quality) = 1 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+x AS (SELECT lang, rule, c, count_if(good)::BIGINT AS n, count_if(good AND above)::BIGINT AS x, count_if(NOT good AND above) AS y
+      FROM (SELECT *, 100 * (CASE rule {top} END) > c * (CASE rule {bottom} END) AS above FROM b JOIN v USING (doc_id), (VALUES {values}) t(rule, c) WHERE NOT base_failed)
+      GROUP BY lang, rule, c HAVING count_if(good) > 0),
 p AS (SELECT *, CASE WHEN x > n * {risk} THEN 1.0 ELSE list_sum(list_transform(range(x + 1), lambda i:
              exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({risk}) + (n - i) * ln(1 - {risk})))) END AS p,
              count(*) OVER () AS tests FROM x),
-k AS (SELECT lang, rule, min(c) AS cut FROM p WHERE p <= 0.05 / tests GROUP BY ALL)
+k AS (SELECT lang, rule, arg_max(c, (y, c)) AS cut FROM p WHERE p <= 0.05 / tests AND y > 0 GROUP BY lang, rule)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT EXISTS (SELECT 1 FROM k WHERE k.lang IS NOT DISTINCT FROM b.lang
          AND 100 * (CASE rule {top} END) > cut * (CASE rule {bottom} END)) AS kept
