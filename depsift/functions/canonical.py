@@ -16,7 +16,10 @@ def canonical_text(c: Column, null_literals: tuple[str, ...] = ()) -> Column:
     empty texts and the given literals are null.  Compatibility forms are folded by
     ``fold_forms`` first, where there are any."""
     base = F.when(c.isin(*null_literals), F.lit(None)).otherwise(c) if null_literals else c
-    return F.nullif(F.regexp_replace(F.translate(F.lower(trimmed(base.cast("string"))), "`", "'"), r"(?U)\s+", " "), F.lit(""))
+    lowered = F.lower(base.cast("string"))
+    # Most values have nothing to fold: one look is cheaper than three replacements.
+    folded = F.nullif(F.regexp_replace(F.translate(trimmed(lowered), "`", "'"), r"(?U)\s+", " "), F.lit(""))
+    return F.when(lowered.rlike(r"(?U)[\s`]"), folded).otherwise(F.nullif(lowered, F.lit("")))
 
 
 def canonical_integer(c: Column) -> Column:

@@ -25,16 +25,19 @@ def marginal(df: DataFrame, column: str, *, valid: bool = False) -> DataFrame:
     return counted.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy()))
 
 
-def marginal_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """column, total, valid, vocabulary, entropy, top1 over the values that aren't null."""
-    cells = df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in columns))))
-    counted = cells.groupBy("column", "v").agg(F.count(F.lit(1)).alias("k"))
+def marginal_stats(table: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """column, total, valid, vocabulary, entropy, top1 over the values that aren't null,
+    for a table of hashed columns."""
+    cells = table.select(F.array(*columns).alias("values")).select(F.posexplode("values").alias("at", "v"))
+    counted = cells.groupBy("at", "v").agg(F.count(F.lit(1)).alias("k"))
     known = F.col("v").isNotNull()
     k = F.when(known, F.col("k"))
-    return (
-        counted.groupBy("column")
-        .agg(F.sum("k").alias("total"), F.coalesce(F.sum(k), F.lit(0)).alias("valid"), F.count_if(known).alias("vocabulary"), F.max(k).alias("mx"), F.sum(k * F.log(k.cast("double"))).alias("kl"))
-        .select("column", "total", "valid", "vocabulary", F.when(F.col("valid") > 0, F.log(F.col("valid").cast("double")) - F.col("kl") / F.col("valid")).otherwise(0.0).alias("entropy"), F.coalesce(F.col("mx") / F.col("valid"), F.lit(0.0)).alias("top1"))
+    stats = counted.groupBy("at").agg(
+        F.sum("k").alias("total"), F.coalesce(F.sum(k), F.lit(0)).alias("valid"), F.count_if(known).alias("vocabulary"), F.max(k).alias("mx"), F.sum(k * F.log(k.cast("double"))).alias("kl")
+    )
+    return stats.select(
+        F.get(F.array(*map(F.lit, columns)), F.col("at")).alias("column"), "total", "valid", "vocabulary",
+        F.when(F.col("valid") > 0, F.log(F.col("valid").cast("double")) - F.col("kl") / F.col("valid")).otherwise(0.0).alias("entropy"), F.coalesce(F.col("mx") / F.col("valid"), F.lit(0.0)).alias("top1"),
     )
 
 

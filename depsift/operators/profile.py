@@ -39,16 +39,18 @@ def families(df: DataFrame, overrides: dict[str, str] | None = None) -> dict[str
 
 def column_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """column, rows, unique_count, unique_ratio, marginal_top1.  Null is one value, as
-    is NaN.  Values are counted by partial aggregation before the shuffle."""
+    is NaN.  Values are counted by 64-bit hashes of them, in the mappers first."""
     columns = columns or df.columns
-    cells = df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns))))
-    counted = cells.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    return counted.groupBy("column").agg(
+    values = F.array(*(F.when(F.col(c).isNotNull(), F.xxhash64(c)) for c in columns))
+    cells = df.select(values.alias("values")).select(F.posexplode("values").alias("at", "value"))
+    counted = cells.groupBy("at", "value").agg(F.count(F.lit(1)).alias("n"))
+    stats = counted.groupBy("at").agg(
         F.sum("n").alias("rows"),
         F.count(F.lit(1)).alias("unique_count"),
         (F.count(F.lit(1)) / F.sum("n")).alias("unique_ratio"),
         (F.max("n") / F.sum("n")).alias("marginal_top1"),
     )
+    return stats.select(F.get(F.array(*map(F.lit, columns)), F.col("at")).alias("column"), "rows", "unique_count", "unique_ratio", "marginal_top1")
 
 
 def approximate_column_stats(df: DataFrame, columns: list[str] | None = None, rsd: float = 0.02) -> DataFrame:

@@ -78,7 +78,8 @@ def tokens(df: DataFrame, kinds: dict[str, str], *, bins: int = 32, null_literal
     out = {}
     for c, kind in kinds.items():
         if kind == "categorical":
-            out[c] = canonical_text(F.col(c), null_literals)
+            plain = df.schema[c].dataType.simpleString() != "string"
+            out[c] = F.col(c).cast("string") if plain else canonical_text(F.col(c), null_literals)
         elif kind == "discrete_numeric":
             out[c] = canonical_integer(_number(df, c))
         else:

@@ -10,6 +10,7 @@ accepted, or to seed, are not counted.  ``screen=False`` counts them all.
 from __future__ import annotations
 
 import itertools
+import math
 import time
 from dataclasses import dataclass, field
 from fnmatch import fnmatchcase
@@ -67,8 +68,10 @@ class Result:
 class Search:
     """One search over one table."""
 
-    def __init__(self, df: DataFrame, settings: Settings | None = None, *, key_columns: list[str] | None = None, overrides: dict[str, str] | None = None, target: str | None = None, tune: bool = True, screen: bool = True, null_literals: tuple[str, ...] = ()):
-        self.df, self.settings, self.screen = df, settings or Settings(), screen
+    def __init__(self, df: DataFrame, settings: Settings | None = None, *, key_columns: list[str] | None = None, overrides: dict[str, str] | None = None, target: str | None = None, tune: bool = True, screen: bool = True, null_literals: tuple[str, ...] = (), cache_input: bool = False):
+        # Worth it for the result of a join: the input is read for profile, bucket edges and tokens.
+        df = df.persist(StorageLevel.MEMORY_AND_DISK) if cache_input else df
+        self.df, self.settings, self.screen, self.cached = df, settings or Settings(), screen, cache_input
         self.spark = df.sparkSession
         self.columns = [r.asDict() for r in profile(df, overrides=overrides, mode=self.settings.mode, target=target).collect()]
         self.columns.sort(key=lambda r: df.columns.index(r["column"]))
@@ -83,8 +86,10 @@ class Search:
         self.table = table.persist(StorageLevel.MEMORY_AND_DISK)
         self.train, self.val = (self.table.where(F.col("__split") == s).drop("__split") for s in ("train", "val"))
         self.marginals = marginal_stats(self.train, names).persist(StorageLevel.MEMORY_AND_DISK)
-        self.rows = int(self.marginals.agg(F.max("total")).first()[0] or 0)
-        self.vocabulary = {r["column"]: r["vocabulary"] for r in self.marginals.collect()}
+        known = self.marginals.collect()
+        self.rows = max((r["total"] for r in known), default=0)
+        self.vocabulary = {c: 0 for c in names} | {r["column"]: r["vocabulary"] for r in known}
+        self.nulls = any(r["valid"] < r["total"] for r in known)
         self.scored: dict[tuple[tuple[str, ...], str], Candidate | None] = {}
         self.screened: list = []
         self.distinct: dict[tuple[str, ...], float] = {}
@@ -116,7 +121,8 @@ class Search:
     # -- counting
 
     def _bounds(self, wanted: list[tuple[tuple[str, ...], str]]) -> dict:
-        """Upper bounds of the accuracy strength."""
+        """Upper bounds of the accuracy strength, from sketches of those candidates that
+        their numbers of values alone don't tell to be safe."""
         sets = {lhs for lhs, _ in wanted} | {tuple(sorted({*lhs, rhs})) for lhs, rhs in wanted}
         missing = sorted(x for x in sets if x not in self.distinct)
         for start in range(0, len(missing), 100):
@@ -125,26 +131,26 @@ class Search:
             self.distinct |= {x: row[f"d{i}"] or 0 for i, x in enumerate(some)}
         return {(lhs, rhs): accuracy_bound(self.rows, self.distinct[lhs], self.distinct[tuple(sorted({*lhs, rhs}))]) for lhs, rhs in wanted}
 
+    def _least_bound(self, lhs: tuple[str, ...], rhs: str) -> float:
+        """The bound if left and right sides met in every way that rows allow."""
+        patterns = max(self.vocabulary[c] for c in lhs)
+        most = min(math.prod(self.vocabulary[c] for c in lhs) * self.vocabulary[rhs], self.rows)
+        return accuracy_bound(self.rows, patterns, most)
+
     def score(self, wanted: list[tuple[tuple[str, ...], str]], floor: float) -> None:
         """Score what isn't scored yet, unless its bound is below ``floor``."""
         wanted = [w for w in dict.fromkeys(wanted) if w not in self.scored]
         legal = [w for w in wanted if self.allowed(*w)]
         self.scored |= dict.fromkeys(set(wanted) - set(legal))
-        if self.screen and legal and not self._any_nulls():
-            bounds = self._bounds(legal)
-            low = [w for w in legal if bounds[w] + SLACK < floor]
+        if self.screen and legal and not self.nulls:  # the bound is for tables without nulls
+            bounds = self._bounds([w for w in legal if self._least_bound(*w) < floor])
+            low = [w for w in bounds if bounds[w] + SLACK < floor]
             self.screened += [(*w, bounds[w]) for w in low]
             self.scored |= dict.fromkeys(low)
-            legal = [w for w in legal if bounds[w] + SLACK >= floor]
+            legal = [w for w in legal if w not in self.scored]
         for start in range(0, len(legal), PER_JOB):
             self._count(legal[start : start + PER_JOB])
 
-    def _any_nulls(self) -> bool:
-        """The bound is for tables without nulls only."""
-        if not hasattr(self, "_nulls"):
-            self._nulls = self.marginals.where("valid < total").limit(1).count() > 0
-        return self._nulls
-
     def _count(self, some: list[tuple[tuple[str, ...], str]]) -> None:
         number = {w: i for i, w in enumerate(some)}
         single = [w for w in some if len(w[0]) == 1]
@@ -364,6 +370,8 @@ class Search:
         return out
 
     def close(self) -> None:
+        if self.cached:
+            self.df.unpersist()
         self.table.unpersist()
         self.marginals.unpersist()
 

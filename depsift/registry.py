@@ -494,7 +494,7 @@ def minimal_rules(candidates: DataFrame, floor: float = 0.08) -> DataFrame:
 
 def _search_rows(spark, sf_dir, columns=SALES, **options):
     families = {c: f for c, f in SALES_FAMILIES.items() if c in columns}
-    result = search(sales(spark, sf_dir).select(*columns), Settings(**options), key_columns=[c for c in SALES_KEY if c in columns], overrides=families)
+    result = search(sales(spark, sf_dir).select(*columns), Settings(**options), key_columns=[c for c in SALES_KEY if c in columns], overrides=families, cache_input=True)
     rows = [(",".join(c.lhs), c.rhs, float(c.score), float(c.s_ent), float(c.s_acc), c.bidirectional) for c in result.candidates]
     return spark.createDataFrame(rows, "lhs string, rhs string, score double, s_ent double, s_acc double, bidirectional boolean")
 
