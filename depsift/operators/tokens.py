@@ -47,6 +47,13 @@ def bucket_of(value: Column, edges: list[float]) -> Column:
     return F.when(number.isNotNull() & ~F.isnan(number), F.size(F.filter(inner, lambda e: e <= number)))
 
 
+def label_codes(df: DataFrame, column: str, order: Column) -> DataFrame:
+    """value, code of the trimmed values of a text column in the order in which they first
+    come by ``order``; codes start at 0."""
+    firsts = df.where(F.col(column).isNotNull()).groupBy(F.trim(column).alias("value")).agg(F.min(order).alias("__first"))
+    return firsts.select("value", (F.row_number().over(Window.orderBy("__first", "value")) - 1).cast("long").alias("code"))
+
+
 def encode(df: DataFrame, column: str, words: DataFrame, *, rare: bool = False, out: str | None = None) -> DataFrame:
     """Adds the id of a column's token: 0 for null, 3 for tokens that are not in the
     vocabulary if rare ones were cut, else 1."""

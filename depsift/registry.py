@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from depsift.functions import canonical, cleaning
 from depsift.functions.scores import accuracy_strength, coverage_factor, entropy_strength
-from depsift.operators import counts, estimate, profile, tokens
-from depsift.operators.score import candidate_meta, core_scores, reverse_margins
+from depsift.operators import counts, estimate, masking, profile, tokens
+from depsift.operators.score import candidate_meta, core_scores, fused, reverse_margins
 from depsift.plans.search import search
 from depsift.settings import Settings
 from depsift.sources.rules import evaluate, rules_frame
@@ -116,6 +116,11 @@ def drop_incomplete_rows(spark, sf_dir):
     return complete_rows(_sparse(spark, sf_dir))
 
 
+@query("SELECT c_custkey, round((c_acctbal - avg(c_acctbal) OVER ()) / stddev_pop(c_acctbal) OVER (), 6) AS c_acctbal FROM customer")
+def zscore_columns(spark, sf_dir):
+    return rounded(cleaning.zscore(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), ["c_acctbal"]))
+
+
 # --- profiles -----------------------------------------------------------------
 
 _CELLS = "c AS (" + " UNION ALL ".join(f"SELECT '{c}' AS col, {c}::VARCHAR AS v FROM w" for c in SALES) + ")"
@@ -234,6 +239,29 @@ def encoded_tokens(spark, sf_dir):
     return tokens.decode(coded.groupBy("token_id").agg(F.count(F.lit(1)).alias("n")), "token_id", words).select("token_id", "token", "n")
 
 
+@query("SELECT c_mktsegment AS value, row_number() OVER (ORDER BY min(c_custkey), c_mktsegment) - 1 AS code FROM customer GROUP BY 1")
+def label_codes(spark, sf_dir):
+    return tokens.label_codes(table(spark, sf_dir, "customer"), "c_mktsegment", F.col("c_custkey"))
+
+
+@query(f"WITH {SALES_SQL}, {_WSPLIT}, r AS (SELECT p_type AS value, pow(1 / (count(*) + 1), .5) AS w FROM ws WHERE split = 'train' GROUP BY 1) SELECT value, round(w / avg(w) OVER (), 6) AS weight FROM r")
+def class_weights(spark, sf_dir):
+    return rounded(masking.class_weights(split_sales(spark, sf_dir).where("split = 'train'"), "p_type"))
+
+
+_UNIT = "('0x' || substr(md5({}), 1, 8))::BIGINT / 4294967296.0"
+_MASKED = ["c_mktsegment", "c_nationkey", "c_name"]
+
+
+@query(f"""WITH k AS (SELECT *, c_custkey::VARCHAR AS k FROM customer), r AS (SELECT *, [.2, .5, .8][floor({_UNIT.format("concat_ws('|', k, 'ratio', '0')")} * 3)::INT + 1] AS share FROM k),
+  u AS (SELECT *, greatest(1, least(2, round(share * 3)))::INT AS visible, list_sort([{', '.join(f"{{'u': {_UNIT.format(f'''concat_ws('|', k, '{c}', '0')''')}, 'c': '{c}'}}" for c in _MASKED)}]) AS o FROM r),
+  v AS (SELECT *, list_transform(o[1:visible], lambda x: x.c) AS seen FROM u)
+  SELECT c_custkey, {', '.join(f"CASE WHEN list_contains(seen, '{c}') THEN {c}::VARCHAR ELSE '[MASK]' END AS {c}" for c in _MASKED)} FROM v""")
+def masked_rows(spark, sf_dir):
+    seen = masking.observed(table(spark, sf_dir, "customer"), F.col("c_custkey").cast("string"), _MASKED)
+    return masking.masked(seen, _MASKED).select("c_custkey", *_MASKED)
+
+
 # --- counting -----------------------------------------------------------------
 
 
@@ -287,6 +315,24 @@ def support_probability(spark, sf_dir):
     return rounded(counts.support_probability(t, {"l_returnflag": "A", "c_mktsegment": "BUILDING"}))
 
 
+@query(f"""WITH {SALES_SQL}, p AS (SELECT l_returnflag, o_orderstatus, count(*) AS n FROM w GROUP BY ALL), a AS (SELECT l_returnflag, count(*) / (SELECT count(*) FROM w) AS pa FROM w GROUP BY 1), b AS (SELECT o_orderstatus, count(*) / (SELECT count(*) FROM w) AS pb FROM w GROUP BY 1),
+  x AS (SELECT p.*, n / (SELECT count(*) FROM w) + .25 * (1 - n / (n + 12.0)) * pa * pb AS raw FROM p JOIN a USING (l_returnflag) JOIN b USING (o_orderstatus)) SELECT l_returnflag, o_orderstatus, n, round(raw / sum(raw) OVER (), 6) AS weight FROM x""")
+def support_independence(spark, sf_dir):
+    t = counts.support(sales(spark, sf_dir), ["l_returnflag", "o_orderstatus"], "p_brand", Settings(independence_weight=0.25))
+    return rounded(t.select("l_returnflag", "o_orderstatus", "n", "weight"))
+
+
+@query()
+def profile_summary(spark, sf_dir):
+    """What the profile says about the table, and the settings tuned to it."""
+    rows = profile.profile(sales(spark, sf_dir), overrides=SALES_FAMILIES).collect()
+    summary = profile.summarize(rows, max(r["rows"] for r in rows), Settings())
+    fitted = profile.tuned(Settings(), summary)
+    names = [n for n in ("support_beta", "min_support_count", "min_retained_mass", "min_s_ent", "min_s_acc", "min_score", "model_score_weight", "delta_gain", "min_direction_margin", "min_weighted_non_null_ratio")]
+    pairs = [(k, float(v)) for k, v in vars(summary).items()] + [(n, float(getattr(fitted, n))) for n in names]
+    return spark.createDataFrame(pairs, "name string, value double")
+
+
 @query()
 def support_budget(spark, sf_dir):
     """Head and tail of a capped support table."""
@@ -354,6 +400,27 @@ def fd_coverage_factor(spark, sf_dir):
     return rounded(t.select(F.col("lhs_columns")[0].alias("lhs"), F.col("rhs_column").alias("rhs"), c.alias("coverage")))
 
 
+_FUSED = [("a", .9, .8, .95, .9, .0, .01, 5, 40, 40, .5), ("b", .4, .2, .99, .98, 1.0, .3, 5000, 200, 180, .9), ("c", .7, .7, .5, .4, .7, .1, 100, 8, 8, .05), ("d", .2, .1, .95, .95, .9, .5, 9000, 30, 30, .3), ("e", .1, .1, .97, .96, .8, .005, 3, 500, 500, 1.0), ("f", 1.0, 1.0, 1.0, 1.0, .0, .15, 300, 100, 100, .2)]
+_FUSED_COLUMNS = "name, model_s_ent, model_s_acc, empirical_s_ent, empirical_s_acc, identifier, rhs_unique_ratio, rhs_unique, support_rows, effective_support_rows, effective_retained_mass"
+
+
+@query(f"""WITH c({_FUSED_COLUMNS}) AS (VALUES {', '.join(map(str, _FUSED))}),
+  f AS (SELECT *, .6 * model_s_ent + .4 * model_s_acc AS ms, .75 + .25 * (least(1, ln(1 + support_rows) / ln(65)) + least(1, ln(1 + effective_support_rows) / ln(65)) + least(1, effective_retained_mass / .1) + 1) / 4 AS cov,
+    greatest(0, least(1, (rhs_unique_ratio - .02) / .18)) AS high, 1 - greatest(0, least(1, (rhs_unique_ratio - .02) / .10)) AS low, rhs_unique_ratio <= .02 OR rhs_unique BETWEEN 1 AND 16 AS few,
+    greatest(model_s_ent, model_s_acc) >= .3 AS backed, greatest(empirical_s_acc - model_s_acc, 0) AS gap FROM c),
+  g AS (SELECT *, NOT few OR backed AS trusted, greatest(0, least(.9, (.05 + .12 * sqrt(greatest(high, .25 * low)) + .55 * high * identifier + CASE WHEN identifier >= .65 THEN (.6 * high + .15 * low * cov) * identifier ELSE 0 END) * cov)) AS b FROM f),
+  h AS (SELECT *, gap > .15 AND empirical_s_acc >= .9 AND effective_support_rows >= 10 AND trusted AS boosted FROM g),
+  i AS (SELECT *, CASE WHEN boosted THEN greatest(0, least(.9, b + least(gap, .75) * greatest(CASE WHEN few THEN .35 ELSE 1 END, high))) ELSE b END * (1 - CASE WHEN boosted THEN .24 ELSE .8 END) AS wt FROM h),
+  j AS (SELECT *, model_s_ent + (empirical_s_ent - model_s_ent) * CASE WHEN empirical_s_ent >= model_s_ent THEN wt ELSE wt / 2 END AS e0, model_s_acc + (empirical_s_acc - model_s_acc) * CASE WHEN empirical_s_acc >= model_s_acc THEN wt ELSE wt / 2 END AS a0,
+    CASE WHEN identifier >= .65 AND empirical_s_acc >= .9 AND trusted THEN .7 * identifier * greatest(high, .35) ELSE 0 END AS pull FROM i),
+  k AS (SELECT *, greatest(0, least(1, e0 + pull * greatest(empirical_s_ent - e0, 0))) AS s_ent, greatest(0, least(1, a0 + pull * greatest(empirical_s_acc - a0, 0))) AS s_acc FROM j)
+  SELECT name, round(wt, 6) AS empirical_bonus_weight, round(s_ent, 6) AS s_ent, round(s_acc, 6) AS s_acc, round(greatest(0, least(1, (.6 * s_ent + .4 * s_acc) * cov)), 6) AS score FROM k""")
+def fd_fused_scores(spark, sf_dir):
+    kinds = "name string, model_s_ent double, model_s_acc double, empirical_s_ent double, empirical_s_acc double, identifier double, rhs_unique_ratio double, rhs_unique long, support_rows long, effective_support_rows long, effective_retained_mass double"
+    rows = spark.createDataFrame(_FUSED, kinds).withColumns({"weighted_non_null_ratio": F.lit(1.0), "group_factor": F.lit(1.0)})
+    return rounded(fused(rows, Settings()).select("name", "empirical_bonus_weight", "s_ent", "s_acc", "score"))
+
+
 _TWO = [("c_nationkey", "r_name"), ("r_name", "c_nationkey"), ("l_partkey", "p_brand"), ("p_brand", "l_partkey"), ("n_name", "c_nationkey"), ("c_nationkey", "n_name")]
 _LEVEL1_TWO = _LEVEL1.replace(_union([f"SELECT {i} AS cand, '{a}' AS lhs, '{b}' AS rhs, {a}::VARCHAR AS x, {b}::VARCHAR AS a, count(*) AS k FROM w GROUP BY {a}, {b}" for i, (a, b) in enumerate(PAIRS)]), _union([f"SELECT {i} AS cand, '{a}' AS lhs, '{b}' AS rhs, {a}::VARCHAR AS x, {b}::VARCHAR AS a, count(*) AS k FROM w GROUP BY {a}, {b}" for i, (a, b) in enumerate(_TWO)]))
 
@@ -436,6 +503,15 @@ def calibration_temperature(spark, sf_dir):
     return spark.createDataFrame([(t,)], "temperature double")
 
 
+@query(f"""WITH {SALES_SQL}, {_WSPLIT}, t AS (SELECT * FROM ws WHERE split = 'train'), m AS (SELECT o_orderstatus AS a, count(*) / (SELECT count(*) FROM t) AS m FROM t GROUP BY 1),
+  n AS (SELECT l_partkey, count(*) AS n FROM t GROUP BY 1), k AS (SELECT l_partkey, o_orderstatus AS a, count(*) AS k FROM t GROUP BY ALL),
+  r AS (SELECT (coalesce(k.k, 0) + m.m) / (coalesce(n.n, 0) + 1) AS p FROM ws v JOIN m ON v.o_orderstatus = m.a LEFT JOIN n USING (l_partkey) LEFT JOIN k ON k.l_partkey = v.l_partkey AND k.a = v.o_orderstatus WHERE v.split = 'val')
+  SELECT count(*) AS examples, round(avg(-ln(p)), 6) AS loss FROM r""")
+def validation_loss(spark, sf_dir):
+    w = split_sales(spark, sf_dir)
+    return rounded(masking.validation_loss(w.where("split = 'train'"), w.where("split = 'val'"), ["l_partkey"], "o_orderstatus"))
+
+
 # --- rules --------------------------------------------------------------------
 
 
