@@ -99,7 +99,7 @@ class Block:
 
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
-    holders: list[tuple[str, bool]] = []
+    holders: list[tuple[str, bool, int, int]] = []  # with the counts that a main element hides
     pieces: list[tuple[str, bool]] = []
     in_link = False
     around = {"main": 0, "framed": 0, "named": 0, "li": 0}
@@ -131,14 +131,18 @@ def blocks(page: str) -> list[Block]:
             tag, attributes = (name, attrs) if name and name[0] != "/" else ("", "")
             if name in _HOLDER and not attrs.endswith("/"):
                 said = _says(attrs)
-                holders.append((name, said))
+                holders.append((name, said, around["framed"], around["named"]))
+                if name in _MAIN:  # frames and names around it say nothing about what is in it
+                    around["framed"] = around["named"] = 0
                 for k in marks(name, said):
                     around[k] += 1
-            elif name[:1] == "/" and any(h == bare for h, _ in reversed(holders[-64:])):
+            elif name[:1] == "/" and any(h[0] == bare for h in reversed(holders[-64:])):
                 while True:
-                    held, said = holders.pop()
+                    held, said, framed, named = holders.pop()
                     for k in marks(held, said):
                         around[k] -= 1
+                    if held in _MAIN:
+                        around["framed"], around["named"] = framed, named
                     if held == bare:
                         break
     return out

@@ -430,6 +430,7 @@ PAGES = [
     (4, "<script>var a='<p>no</p>';</script><style>p{}</style><article><p>Yes &eacute; &#8364;</p><!-- <p>no</p> --><div class=comments><p>Nice post, thanks a lot for it.</p></div></article>", "Yes é €"),
     (5, "<article><p>a < b and c</p><form><p>Subscribe to our letter</p></form><aside><p>Side</p></aside></article>", "a < b and c"),
     (6, "<nav><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></nav>", ""),
+    (8, "<form><div class='page with sidebar'><article><p>Kept text</p><div class='share'>Share it</div></article><p>Not this</p></div></form>", "Kept text"),
     (7, "<article><p title='a>b'>Quoted</p><p hidden>Not seen</p></article", "Quoted"),
 ]
 
