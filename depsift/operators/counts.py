@@ -18,11 +18,17 @@ from pyspark.sql import functions as F
 from depsift.settings import Settings
 
 
+def with_total(df: DataFrame, **totals: Column) -> DataFrame:
+    """Adds aggregates over all rows to each row.  They are one row, so nothing needs to
+    meet in one task; a window over the whole table would move all of it there."""
+    return df.crossJoin(F.broadcast(df.agg(*(v.alias(k) for k, v in totals.items()))))
+
+
 def marginal(df: DataFrame, column: str, *, valid: bool = False) -> DataFrame:
     """value, n, p of a column; with ``valid``, of its values that aren't null."""
     rows = df.where(F.col(column).isNotNull()) if valid else df
     counted = rows.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    return counted.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    return with_total(counted, __total=F.sum("n")).withColumn("p", F.col("n") / F.col("__total")).drop("__total")
 
 
 def marginal_stats(table: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -85,8 +91,8 @@ def support(df: DataFrame, lhs: Sequence[str], rhs: str, s: Settings | None = No
     rows = pattern_stats(contingency(df, lhs, rhs), lhs).where(retained(s, high_card=high_card)).withColumn("priority", priority(s))
     if s.max_support_rows:
         rows = budget(rows, lhs, s)
-    total = F.sum("n").over(Window.partitionBy())
-    rows = rows.withColumns({"weight": F.col("n") / total, "empirical_weight": F.col("n") / (F.col("n") + s.support_beta)})
+    rows = with_total(rows, __total=F.sum("n"))
+    rows = rows.withColumns({"weight": F.col("n") / F.col("__total"), "empirical_weight": F.col("n") / (F.col("n") + s.support_beta)}).drop("__total")
     if s.independence_weight > 0:
         rows = with_independence(df, rows, lhs, s)
     return rows
@@ -101,9 +107,9 @@ def with_independence(df: DataFrame, rows: DataFrame, lhs: Sequence[str], s: Set
         rows = rows.join(p, F.col(c) == F.col(f"__{c}"))
         product = product * F.col(f"__p_{c}")
     shrunk = F.col("n") / total + s.independence_weight * (1 - F.col("n") / (F.col("n") + s.support_beta)) * product
-    rows = rows.withColumn("weight", shrunk)
-    rows = rows.withColumn("weight", F.col("weight") / F.sum("weight").over(Window.partitionBy()))
-    return rows.drop(*(x for c in lhs for x in (f"__{c}", f"__p_{c}")))
+    rows = with_total(rows.withColumn("weight", shrunk), __total=F.sum("weight"))
+    rows = rows.withColumn("weight", F.col("weight") / F.col("__total"))
+    return rows.drop("__total", *(x for c in lhs for x in (f"__{c}", f"__p_{c}")))
 
 
 def budget(rows: DataFrame, lhs: Sequence[str], s: Settings) -> DataFrame:

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from depsift.operators.counts import marginal
+from depsift.operators.counts import marginal, with_total
 from depsift.operators.estimate import conditional
 
 
@@ -40,7 +40,7 @@ def masked(df: DataFrame, columns: Sequence[str], token: str = "[MASK]") -> Data
 def class_weights(train: DataFrame, column: str, gamma: float = 0.5) -> DataFrame:
     """value, weight: (1 / (n + 1)) ^ gamma over the mean of that."""
     raw = marginal(train, column, valid=True).withColumn("w", F.pow(1 / (F.col("n") + 1), F.lit(gamma)))
-    return raw.select("value", (F.col("w") / F.avg("w").over(Window.partitionBy())).alias("weight"))
+    return with_total(raw, __mean=F.avg("w")).select("value", (F.col("w") / F.col("__mean")).alias("weight"))
 
 
 def objectives(columns: Sequence[dict], count: int, most: int = 2, seed: int = 0) -> list[tuple[tuple[str, ...], str]]:
