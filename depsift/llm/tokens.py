@@ -22,7 +22,7 @@ _BYTE_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w
 #: Letters beyond these blocks, numbers that aren't digits, odd white space.
 _UNSURE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\xb2\xb3\xb9\xbc-\xbeɐ-\U0010ffff]")
 #: Pieces that an encoder keeps before it starts over.
-KEPT = 600_000
+KEPT = 300_000
 
 
 def _byte_characters() -> dict[int, str]:
