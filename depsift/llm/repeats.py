@@ -42,7 +42,7 @@ from depsift.llm.suffix_sort import permuted_common, suffix_array
 SPAN, GRAM = 50, 20
 WINDOW = SPAN - GRAM + 1
 #: Bytes of text that are read, and sorted, at once (one document or key at least).
-READ, CHUNK = 1 << 18, 1 << 22
+READ, CHUNK = 1 << 18, 1 << 21
 NULL_ID = -(1 << 63)
 _U = np.uint64
 
@@ -244,8 +244,8 @@ def _sort(batches):
 
 def _remove(batches):
     for batch in batches:
-        out: dict = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
         for part, raws in _read(batch, "__text"):
+            out: dict = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
             doc, start, strings, _, name = segments(raws)
             bounds = np.searchsorted(doc, np.arange(len(raws) + 1))
             whole = part.column("__whole").to_pylist()
@@ -271,8 +271,8 @@ def _remove(batches):
                 out["n_spans"].append(int((np.diff(off.astype(np.int8), prepend=0) == 1).sum()))
                 out["kept_sha256"].append(hashlib.sha256(left).hexdigest())
                 out["kept"].append(left)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("__row"), *(pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True))], ["__row", *out])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("__row"), *(pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True))], ["__row", *out])
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
