@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from depsift import cli, registry
 from depsift.functions import canonical, cleaning, scores
-from depsift.operators import counts, estimate, profile, tokens
+from depsift.operators import counts, estimate, masking, profile, tokens
 from depsift.plans.search import Search, search
 from depsift.settings import Settings
 from depsift.sources import rules, tables
@@ -206,6 +206,26 @@ def test_holdout_and_temperature(spark):
     assert estimate.fit_temperature(train, val, ["l"], "r") > 0
 
 
+def test_masks_and_objectives(spark):
+    df = spark.range(300).select(F.col("id").cast("string").alias("k"), *(F.lit(c).alias(c) for c in "abcde"))
+    rows = masking.observed(df, F.col("k"), list("abcde")).collect()
+    sizes = {len(r["observed"]) for r in rows}
+    assert sizes <= {1, 2, 3, 4} and len(sizes) == 3
+    assert rows == masking.observed(df.repartition(3), F.col("k"), list("abcde")).orderBy(F.col("k").cast("int")).collect()
+    assert rows != masking.observed(df, F.col("k"), list("abcde"), seed=1).collect()
+    columns = [{"name": c, "unique_ratio": u, "identifier": u} for c, u in (("a", 0.9), ("b", 0.1), ("c", 0.0))]
+    drawn = masking.objectives(columns, 500)
+    assert all(rhs not in lhs and 1 <= len(lhs) <= 2 for lhs, rhs in drawn) and drawn == masking.objectives(columns, 500)
+    train = spark.createDataFrame([("x", "1")] * 5 + [("y", "2")] * 5, "l string, r string")
+    losses = [masking.validation_loss(train, train, ["l"], "r", strength=k, weighted=w).first() for k, w in ((0.01, False), (5.0, False), (0.01, True))]
+    assert losses[0]["examples"] == 10 and losses[0]["loss"] < 0.01 < losses[1]["loss"]
+
+
+def test_label_codes(spark):
+    df = spark.createDataFrame([(1, " b"), (2, "a"), (3, "b "), (4, None)], "i int, v string")
+    assert {r["value"]: r["code"] for r in tokens.label_codes(df, "v", F.col("i")).collect()} == {"b": 0, "a": 1}
+
+
 # --- files, command line, stream ----------------------------------------------
 
 
