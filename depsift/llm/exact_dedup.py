@@ -89,14 +89,22 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     close = keep(rows.join(tied, _KEY, "left_semi").withColumn("__uid", F.monotonically_increasing_id()), "close")
     ident = keep(identify(close.select("__uid", "__text"), block_chars), "ident")
     named = close.select("__uid", "__row", "__id", sha).join(ident, "__uid")
+    # Most texts that may have a copy have none; only real groups are handed back.
     groups = (
         close.select("__uid", "__id").join(ident, "__uid")
         .groupBy("__level", "__name")
         .agg(F.max(F.struct("__id", "__uid")).alias("__best"), F.count(F.lit(1)).alias("group_size"))
+        .where("group_size > 1")
     )
-    grouped = named.join(groups, ["__level", "__name"]).select(
+    single = F.col("group_size").isNull()
+    grouped = named.join(groups, ["__level", "__name"], "left").select(
         "__row",
-        F.struct(F.col("__best.__id").alias("keep_id"), "group_size", (F.col("__uid") == F.col("__best.__uid")).alias("kept"), "text_sha256").alias("__dedup"),
+        F.struct(
+            F.when(single, F.col("__id")).otherwise(F.col("__best.__id")).alias("keep_id"),
+            F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
+            (single | (F.col("__uid") == F.col("__best.__uid"))).alias("kept"),
+            "text_sha256",
+        ).alias("__dedup"),
     )
     return alone.unionByName(grouped).select("__row.*", "__dedup")
 
