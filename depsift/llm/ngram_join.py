@@ -351,8 +351,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         joined = members.withColumn("__c", F.col("__node"))
     else:
         joined = members.join(roots.withColumnRenamed("node", "__node"), "__node", "left").withColumn("__c", F.coalesce("root", "__node"))
-    least = joined.where("__n > 0").groupBy("__c").agg(F.min("__row").alias("__least"))
-    component = F.when(F.col("__n") > 0, F.col("__least")).otherwise(F.col("__row"))
+    # Most documents are alone; only components of two rows or more are handed back.
+    least = joined.where("__n > 0").groupBy("__c").agg(F.struct(F.min("__row").alias("id")).alias("__least"), F.count(F.lit(1)).alias("__rows")).where("__rows > 1")
+    component = F.when((F.col("__n") > 0) & F.col("__least").isNotNull(), F.col("__least.id")).otherwise(F.col("__row"))
     return joined.join(least, "__c", "left").select("__row", F.struct(F.col("__n").alias("n_shingles"), component.alias("component_id")).alias("__near"))
 
 
