@@ -21,8 +21,8 @@ _WORD_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 _BYTE_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: Letters beyond these blocks, numbers that aren't digits, odd white space.
 _UNSURE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\xb2\xb3\xb9\xbc-\xbeɐ-\U0010ffff]")
-#: Pieces that an encoder keeps before it starts over.
-KEPT = 300_000
+#: Pieces that an encoder keeps before it starts over; about 200 bytes each.
+KEPT_WORDS, KEPT_BYTES = 300_000, 900_000
 
 
 def _byte_characters() -> dict[int, str]:
@@ -58,13 +58,13 @@ class Encoder:
     """ids(text) of one vocabulary file; ``cut`` splits a text into the pieces that are
     merged on their own, or gives None if it isn't sure of them."""
 
-    def __init__(self, path: str, cut: Callable[[str], list[str] | None]):
+    def __init__(self, path: str, cut: Callable[[str], list[str] | None], most: int):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cut, self.kept = cut, _Kept(self.tokenizer.model)
+        self.cut, self.kept, self.most = cut, _Kept(self.tokenizer.model), most
 
     def ids(self, text: str | None) -> bytes:
         if not text:
@@ -72,7 +72,7 @@ class Encoder:
         pieces = self.cut(text)
         if pieces is None:
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        if len(self.kept) > KEPT:
+        if len(self.kept) > self.most:
             self.kept.clear()
         return b"".join(map(self.kept.__getitem__, pieces))
 
@@ -92,9 +92,9 @@ def _pieces(text: str) -> list[str] | None:
 
 def word_bpe(path: str | None = None) -> Encoder:
     """Lower-cased words without white space between them."""
-    return Encoder(path or vocabulary("word_bpe_49k.json"), _words)
+    return Encoder(path or vocabulary("word_bpe_49k.json"), _words, KEPT_WORDS)
 
 
 def byte_bpe(path: str | None = None) -> Encoder:
     """Byte-level ids; a blank belongs to the word after it."""
-    return Encoder(path or vocabulary("byte_bpe_50k.json"), _pieces)
+    return Encoder(path or vocabulary("byte_bpe_50k.json"), _pieces, KEPT_BYTES)
