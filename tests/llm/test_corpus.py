@@ -11,7 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from depsift.llm import exact_dedup, html_extract, ngram_join, packing, quality_rules, registry, repeats, source_mix, token_files, toxicity
+from depsift.llm import exact_dedup, html_extract, line_dedup, ngram_join, packing, quality_rules, registry, repeats, source_mix, token_files, toxicity
 from depsift.llm.components import components
 from depsift.llm.suffix_sort import permuted_common, suffix_array
 
@@ -284,6 +284,43 @@ def test_suffix_array():
             assert prefix[b] == min(50, next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y))))
 
 
+# --- repeated lines -----------------------------------------------------------
+
+
+def brute_lines(rows):
+    key = lambda d: d if d is not None else line_dedup.NULL_ID
+    first, out = {}, []
+
+    def full_lines(t):
+        return [(i, line) for i, line in enumerate((t or "").split("\n")) if WORD.search(line)]
+
+    for d, t, *_ in rows:
+        full = full_lines(t)
+        for p in range(len(full) - 2):
+            w = tuple(line for _, line in full[p : p + 3])
+            first[w] = min(first.get(w, (key(d), p)), (key(d), p))
+    for d, t, *_ in rows:
+        full, gone = full_lines(t), set()
+        for p in range(len(full) - 2):
+            if first[tuple(line for _, line in full[p : p + 3])] != (key(d), p):
+                gone |= {p, p + 1, p + 2}
+        dropped = {full[p][0] for p in gone}
+        kept = "\n".join(line for i, line in enumerate((t or "").split("\n")) if i not in dropped)
+        out.append((repr(d), len(full), len(gone), sum(p - 1 not in gone for p in gone), kept))
+    return sorted(out)
+
+
+def test_line_dedup(spark, docs, none):
+    r = random.Random(9)
+    lines = ["l%d" % i for i in range(12)] + ["", "  "]
+    rows = [(r.randrange(1000), "\n".join(r.choice(lines) for _ in range(r.randint(0, 14)))) for _ in range(120)] + [(None, "l1\nl2\nl3"), (None, None), (5, "a\nb\nc\na\nb\nc\na\nb\nc")]
+    for table, given in ((spark.createDataFrame(rows, "doc_id long, text string"), rows), (docs, awkward())):
+        found = line_dedup.remove_lines(table).collect()
+        assert sorted((repr(x["__row"]), x["n_lines"], x["n_removed"], x["n_spans"], x["kept"]) for x in found) == brute_lines(given)
+        assert all(x["kept_sha256"] == hashlib.sha256(x["kept"].encode()).hexdigest() for x in found)
+    assert line_dedup.remove_lines(none).count() == 0
+
+
 # --- tokens -------------------------------------------------------------------
 
 
