@@ -15,6 +15,7 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 #: The patterns of the two vocabularies, for texts of the Latin blocks.
 _WORD_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
@@ -22,7 +23,7 @@ _BYTE_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w
 #: Letters beyond these blocks, numbers that aren't digits, odd white space.
 _UNSURE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\xb2\xb3\xb9\xbc-\xbeɐ-\U0010ffff]")
 #: Pieces that an encoder keeps before it starts over; about 200 bytes each.
-KEPT_WORDS, KEPT_BYTES = 300_000, 900_000
+KEPT_WORDS, KEPT_BYTES = 300_000, 600_000
 
 
 def _byte_characters() -> dict[int, str]:
@@ -90,11 +91,14 @@ def _pieces(text: str) -> list[str] | None:
     return None if _UNSURE.search(text) else _BYTE_PIECE.findall(text)
 
 
+@lru_cache(None)
 def word_bpe(path: str | None = None) -> Encoder:
-    """Lower-cased words without white space between them."""
+    """Lower-cased words without white space between them; one encoder a process, so that
+    the tasks of a Python worker share its pieces."""
     return Encoder(path or vocabulary("word_bpe_49k.json"), _words, KEPT_WORDS)
 
 
+@lru_cache(None)
 def byte_bpe(path: str | None = None) -> Encoder:
-    """Byte-level ids; a blank belongs to the word after it."""
+    """Byte-level ids; a blank belongs to the word after it.  One encoder a process."""
     return Encoder(path or vocabulary("byte_bpe_50k.json"), _pieces, KEPT_BYTES)
