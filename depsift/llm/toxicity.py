@@ -15,9 +15,10 @@ models have not seen, ``FITTED`` at most, the first by a hash of their ids.
 
 All labelled documents are counted, in the mappers first and then by n-gram, and the
 probabilities are joined as tables.  What scoring needs is the log ratio of each
-seen n-gram, and of each context for unseen ones.  These go to slots of two tables
-of fixed size (a slot holds its most frequent n-gram and 16 more bits of its hash),
-which are broadcast: 18 MB at most, whatever the corpus.
+seen n-gram, and of each context for unseen ones; both are kept whole.  Up to
+``MODEL`` of them are broadcast as sorted keys and ratios, 16 bytes each (64 MB at
+most).  A larger model stays a table: documents become rows of their n-grams with
+counts, which are joined with it and summed by document.
 
 Defined cases: null or blank texts have no events and the values 0; a document with
 several labels is toxic if one of them is; null labels don't count; without
@@ -27,6 +28,8 @@ any).  Rows that repeat are scored alike.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,11 +40,11 @@ from depsift.llm.shared import keep, ship, table
 ORDER, DISCOUNT = 4, 0.75
 #: Labelled documents at most that the logistic curve is fitted on.
 FITTED = 50_000
-GRAM_BITS, CONTEXT_BITS = 21, 20
+#: N-grams and contexts at most that are broadcast.
+MODEL = 1 << 22
 #: Bytes of text that a task holds as events at once (one document at least).
 CHUNK = 1 << 20
 _PAD = b" " * (ORDER - 1)
-_U = np.uint64
 
 
 def events(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -100,23 +103,9 @@ def _shared(grams: DataFrame, order: int) -> DataFrame:
     return keep(rows.select("g", ((F.col("n") - DISCOUNT + DISCOUNT * F.col("types") * back) / F.col("all")).alias("q")), f"shared{order}")
 
 
-def _hash(x: np.ndarray) -> np.ndarray:
-    x = x.astype(_U) * _U(0x9E3779B97F4A7C15)
-    return (x ^ (x >> _U(32))) * _U(0xD6E8FEB86659FD93)
-
-
-def _hashed(batches):
-    for batch in batches:
-        h = _hash(batch.column("g").to_numpy())
-        slots = (h >> _U(64 - GRAM_BITS), h >> _U(64 - CONTEXT_BITS))
-        kind = batch.column("kind").to_numpy()
-        slot = np.where(kind == 0, *slots).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([batch.column("kind"), pa.array(slot), pa.array((h & _U(0xFFFF)).astype(np.int32)), batch.column("n"), batch.column("ratio")], ["kind", "slot", "tag", "n", "ratio"])
-
-
-def train(texts: DataFrame) -> tuple | None:
-    """(``__text``, ``__toxic``) -> the two slot tables: hash tags and log ratios of
-    n-grams and of contexts."""
+def train(texts: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(``__text``, ``__toxic``) -> log ratios (g, ratio) of all n-grams, (h, other) of
+    all contexts, and how many they are."""
     grams = keep(texts.mapInArrow(_count, "g long, n0 long, n1 long").groupBy("g").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "grams")
     contexts = grams.groupBy(F.shiftright("g", 8).alias("h")).agg(
         *(f(c).alias(f"{name}{c[1]}") for c in ("n0", "n1") for f, name in ((F.sum, "all"), (lambda c: F.count_if(F.col(c) > 0), "types")))
@@ -131,38 +120,33 @@ def train(texts: DataFrame) -> tuple | None:
     def p(k):
         return F.when(F.col(f"all{k}") > 0, F.greatest(F.col(f"n{k}") - DISCOUNT, F.lit(0.0)) / F.col(f"all{k}")).otherwise(F.lit(0.0)) + weight(k) * F.col("q")
 
-    ratios = rows.select(F.lit(0).alias("kind"), "g", (F.col("n0") + F.col("n1")).alias("n"), F.log(p(1) / p(0)).alias("ratio"))
-    unseen = contexts.select(F.lit(1).alias("kind"), F.col("h").alias("g"), (F.col("all0") + F.col("all1")).alias("n"), F.log(weight(1) / weight(0)).alias("ratio"))
-    slots = ratios.unionByName(unseen).mapInArrow(_hashed, "kind int, slot int, tag int, n long, ratio double")
-    won = slots.groupBy("kind", "slot").agg(F.max(F.struct("n", "tag", "ratio")).alias("w")).select("kind", "slot", F.col("w.tag").alias("tag"), F.col("w.ratio").cast("float").alias("ratio"))
-    found = won.toArrow()
-    if not found.num_rows:
-        return None
-    kind, slot, tag, ratio = (found.column(c).to_numpy() for c in ("kind", "slot", "tag", "ratio"))
-    tables = []
-    for k, bits in enumerate((GRAM_BITS, CONTEXT_BITS)):
-        tags, values = np.full(1 << bits, -1, np.int32), np.zeros(1 << bits, np.float32)
-        tags[slot[kind == k]], values[slot[kind == k]] = tag[kind == k], ratio[kind == k]
-        tables += [tags, values]
-    return tuple(tables)
+    ratios = rows.select("g", F.log(p(1) / p(0)).alias("ratio"))
+    unseen = contexts.select("h", F.log(weight(1) / weight(0)).alias("other"))
+    return ratios, unseen, grams.count() + contexts.count()
 
 
-def _values(model):
-    def run(batches):
-        tags, ratios, context_tags, context_ratios = model.value
+def _sorted(ratios: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    found = ratios.toArrow()
+    keys, values = (c.to_numpy() for c in found.columns)
+    order = np.argsort(keys)
+    return keys[order], values[order]
+
 
-        def look(g, tags, ratios, bits):
-            h = _hash(g)
-            slot = (h >> _U(64 - bits)).astype(np.int64)
-            hit = tags[slot] == (h & _U(0xFFFF)).astype(np.int32)
-            return hit, ratios[slot]
+def _look(g: np.ndarray, keys: np.ndarray, ratios: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
+    return keys[at] == g, ratios[at]
 
+
+def _values(model):
+    def run(batches):
+        grams, contexts = model.value
         for batch in batches:
             for part in _chunks(batch):
                 gram, doc = events(part.column("__text").to_pylist())
-                hit, value = look(gram, tags, ratios, GRAM_BITS)
-                known, other = look(gram >> 8, context_tags, context_ratios, CONTEXT_BITS)
-                value = np.where(hit, value, np.where(known, other, 0)).astype(np.float64)
+                seen, at = np.unique(gram, return_inverse=True)
+                hit, value = _look(seen, *grams)
+                known, other = _look(seen >> 8, *contexts)
+                value = np.where(hit, value, np.where(known, other, 0.0))[at]
                 n = np.bincount(doc, minlength=part.num_rows)
                 total, n = np.bincount(doc, value, part.num_rows), np.maximum(n, 1)
                 yield pa.RecordBatch.from_arrays([part.column("__row"), pa.array(total / n), pa.array(total / np.sqrt(n))], ["__row", "__mean", "__far"])
@@ -170,6 +154,41 @@ def _values(model):
     return run
 
 
+def _document_grams(batches):
+    for batch in batches:
+        for part in _chunks(batch):
+            gram, doc = events(part.column("__text").to_pylist())
+            seen, n = np.unique(doc << 8 * ORDER | gram, return_counts=True)
+            doc, gram = seen >> 8 * ORDER, seen & ((1 << 8 * ORDER) - 1)
+            # Documents without events get a row that no n-gram matches.
+            blank = np.setdiff1d(np.arange(part.num_rows), doc)
+            of = pa.array(np.concatenate([doc, blank]))
+            gram, n = np.concatenate([gram, np.full(len(blank), -1)]), np.concatenate([n, np.zeros(len(blank), np.int64)])
+            yield pa.RecordBatch.from_arrays([part.column("__uid").take(of), part.column("__row").take(of), pa.array(gram), pa.array(n)], ["__uid", "__row", "g", "n"])
+
+
+def _joined(rows: DataFrame, ratios: DataFrame, unseen: DataFrame) -> DataFrame:
+    id_type = rows.schema["__row"].dataType.simpleString()
+    found = rows.withColumn("__uid", F.monotonically_increasing_id()).mapInArrow(_document_grams, f"__uid long, __row {id_type}, g long, n long")
+    found = found.join(ratios, "g", "left").withColumn("h", F.shiftright("g", 8)).join(unseen, "h", "left")
+    value = F.col("n") * F.coalesce("ratio", "other", F.lit(0.0))
+    each = found.groupBy("__uid").agg(F.first("__row").alias("__row"), F.sum(value).alias("total"), F.greatest(F.sum("n"), F.lit(1)).alias("n"))
+    return each.select("__row", (F.col("total") / F.col("n")).alias("__mean"), (F.col("total") / F.sqrt("n")).alias("__far"))
+
+
+def valued(texts: DataFrame) -> Callable[[DataFrame], DataFrame] | None:
+    """Trains on ``texts``; what it returns turns (``__row``, ``__text``) into (``__row``,
+    ``__mean``, ``__far``).  None if there is nothing to learn from."""
+    ratios, unseen, size = train(texts)
+    if not size:
+        return None
+    if size > MODEL:
+        ratios, unseen = keep(ratios, "ratios"), keep(unseen, "unseen")
+        return lambda rows: _joined(rows, ratios, unseen)
+    model = texts.sparkSession.sparkContext.broadcast((_sorted(ratios), _sorted(unseen)))
+    return lambda rows: rows.mapInArrow(_values(model), f"__row {rows.schema['__row'].dataType.simpleString()}, __mean double, __far double")
+
+
 def _logistic(values: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, float]:
     """Slopes and intercept by Newton's method, on standardised values with a slight ridge."""
     mid, spread = values.mean(0), values.std(0)
@@ -192,20 +211,16 @@ def fold(id_col: str):
 def score(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
     """(``__row``: the id, ``held_out``, ``score``) of every row."""
     ship(docs.sparkSession)
-    id_type = docs.schema[id_col].dataType.simpleString()
     toxic = labels.where("toxic IS NOT NULL").groupBy(F.col("doc_id").alias("__row")).agg(F.max("toxic").cast("int").alias("__toxic"))
     rows = docs.select(F.col(id_col).alias("__row"), F.col(text_col).alias("__text"))
     held = F.coalesce(fold("__row"), F.lit(0)) == 0
     # Labels grow with the documents, so they are not for a broadcast at any size.
     training = rows.join(toxic.hint("merge"), "__row").withColumn("__fold", fold("__row")).where("__fold > 0")
-    schema = f"__row {id_type}, __mean double, __far double"
-    spark = docs.sparkSession
-    tables = train(training.where("__fold <= 3").select("__text", "__toxic"))
+    values_of = valued(training.where("__fold <= 3").select("__text", "__toxic"))
     curve = None
-    if tables:
-        model = spark.sparkContext.broadcast(tables)
-        values = rows.mapInArrow(_values(model), schema)
-        tried = training.where("__fold = 4").select("__row", "__text").mapInArrow(_values(model), schema).join(toxic, "__row")
+    if values_of:
+        values = values_of(rows)
+        tried = values_of(training.where("__fold = 4").select("__row", "__text")).join(toxic, "__row")
         found = tried.orderBy(F.xxhash64("__row"), "__row").limit(FITTED).select("__mean", "__far", "__toxic").toArrow()
         mean, far, flag = (found.column(c).to_numpy() for c in ("__mean", "__far", "__toxic"))
         if len(set((flag > 0).tolist())) == 2:

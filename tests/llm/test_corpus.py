@@ -458,6 +458,29 @@ def test_toxicity_gives_every_row_a_score(docs, spark):
     assert len(rows) == len(awkward()) and all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_toxicity_keeps_every_ratio(spark, monkeypatch):
+    r = random.Random(8)
+    texts = [" ".join("".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(5)) for _ in range(400)) for _ in range(330)]
+    table = spark.createDataFrame([(i, t, i % 2) for i, t in enumerate(texts)], "doc_id long, text string, toxic int").repartition(4)
+    rows = table.selectExpr("doc_id AS __row", "text AS __text").unionByName(spark.createDataFrame([(None, None), (0, "another text"), (-1, " ")], "__row long, __text string"))
+    training = table.selectExpr("text AS __text", "toxic AS __toxic")
+    ratios, unseen, size = toxicity.train(training)
+    grams = set(np.concatenate([np.unique(toxicity.events([t])[0]) for t in texts]).tolist())
+    of, other = {x["g"]: x["ratio"] for x in ratios.collect()}, {x["h"]: x["other"] for x in unseen.collect()}
+    assert len(grams) > 500_000 and set(of) == grams and set(other) == {g >> 8 for g in grams} and size == len(of) + len(other)
+
+    def value(text):
+        g = toxicity.events([text])[0].tolist()
+        return sum(of.get(x, other.get(x >> 8, 0.0)) for x in g) / max(len(g), 1)
+
+    expected = sorted((repr(x["__row"]), value(x["__text"])) for x in rows.collect())
+    for most in (size, size - 1):  # broadcast, joined
+        monkeypatch.setattr(toxicity, "MODEL", most)
+        found = sorted((repr(x["__row"]), x["__mean"]) for x in toxicity.valued(training)(rows).collect())
+        assert [i for i, _ in found] == [i for i, _ in expected]
+        assert [v for _, v in found] == pytest.approx([v for _, v in expected], abs=1e-9)
+
+
 # --- pages --------------------------------------------------------------------
 
 PAGES = [
