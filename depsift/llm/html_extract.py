@@ -10,7 +10,9 @@ belong to the article.  It is grown by Gini impurity from the blocks of the smal
 labelled pages below, on the driver, each time the operator is set up.
 
 Pages are read by one scan over their tags; the work is linear in the page, also
-where comments, scripts, quotes or elements are left open.
+where comments, scripts, quotes or elements are left open.  An end tag closes the
+last open element of its name, however many are open within it; a list item, cell
+or row also ends where the next one of its list, row or table starts.
 
 Defined cases: a null or empty page, or one without main text, gives an empty
 string; text outside any element counts as a block; what is inside script, style
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +43,9 @@ _BLOCK = frozenset(
 _HOLDER = frozenset("article aside blockquote button details dialog div dl fieldset figure footer form header li main menu nav ol section select table td th tr ul".split())
 _NO_TEXT = frozenset("script style noscript template textarea title iframe svg math object canvas audio video noframes noembed xmp".split())
 _FRAME = frozenset("aside button dialog fieldset footer form header menu nav select".split())
+#: Kinds of open elements that an element ends, the outermost first, and its own kind.
+_ENDS = {"li": ("li",), "td": ("cell",), "th": ("cell",), "tr": ("row", "cell")}
+_KIND = {"li": "li", "td": "cell", "th": "cell", "tr": "row"}
 _MAIN = frozenset("article main".split())
 _NAMES = re.compile(
     r"(?i)(?:^|[\s\"'_-])(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|copyright|disqus|footer|form|header|legal|login|masthead|menu|modal|nav\w*|"
@@ -99,7 +105,9 @@ class Block:
 
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
-    holders: list[tuple[str, bool, int, int]] = []  # with the counts that a main element hides
+    # With the counts that a main element hides, and the places of the open item, row and cell.
+    holders: list[tuple[str, bool, int, int, dict[str, int]]] = []
+    opened: Counter[str] = Counter()
     pieces: list[tuple[str, bool]] = []
     in_link = False
     around = {"main": 0, "framed": 0, "named": 0, "li": 0}
@@ -117,6 +125,15 @@ def blocks(page: str) -> list[Block]:
             out.append(Block(text, linked, around["main"] > 0, around["framed"] > 0, named, tag in ("h1", "h2", "h3", "h4", "h5", "h6"), around["li"] > 0, attributes))
         pieces.clear()
 
+    def shut(place: int) -> None:
+        while len(holders) > place:
+            held, said, framed, named, _ = holders.pop()
+            opened[held] -= 1
+            for k in marks(held, said):
+                around[k] -= 1
+            if held in _MAIN:
+                around["framed"], around["named"] = framed, named
+
     for text, name, attrs in tags(page):
         if text:
             pieces.append((text, in_link))
@@ -130,21 +147,31 @@ def blocks(page: str) -> list[Block]:
             in_link = False
             tag, attributes = (name, attrs) if name and name[0] != "/" else ("", "")
             if name in _HOLDER and not attrs.endswith("/"):
+                for kind in _ENDS.get(name, ()):
+                    if holders and (place := holders[-1][4].get(kind)) is not None:
+                        shut(place)
+                        break
                 said = _says(attrs)
-                holders.append((name, said, around["framed"], around["named"]))
+                seen = holders[-1][4] if holders else {}
+                if name == "table":
+                    seen = {}
+                elif name == "tr":
+                    seen = {"row": len(holders)}
+                elif name in _KIND:
+                    seen = {**seen, _KIND[name]: len(holders)}
+                if "li" in seen and name not in ("li", "div"):  # items end through div elements only
+                    seen = {k: v for k, v in seen.items() if k != "li"}
+                holders.append((name, said, around["framed"], around["named"], seen))
+                opened[name] += 1
                 if name in _MAIN:  # frames and names around it say nothing about what is in it
                     around["framed"] = around["named"] = 0
                 for k in marks(name, said):
                     around[k] += 1
-            elif name[:1] == "/" and any(h[0] == bare for h in reversed(holders[-64:])):
-                while True:
-                    held, said, framed, named = holders.pop()
-                    for k in marks(held, said):
-                        around[k] -= 1
-                    if held in _MAIN:
-                        around["framed"], around["named"] = framed, named
-                    if held == bare:
-                        break
+            elif name[:1] == "/" and opened[bare]:
+                place = len(holders) - 1
+                while holders[place][0] != bare:
+                    place -= 1
+                shut(place)
     return out
 
 

@@ -506,6 +506,36 @@ def test_html(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [3, 64, 65, 500])
+def test_html_with_items_left_open(n):
+    flags = lambda page: {b.text: (b.main, b.framed, b.named, b.item) for b in html_extract.blocks(page)}
+    for many in ("<ul>" + "<li>x" * n + "</ul>", "<table>" + "<tr><td>x<th>x" * n + "</table>", "<ul>" + "<li><div>x" * n + "</ul>", "<section>" * n + "x"):
+        got = flags(f"<nav>{many}</nav><div>after</div><article>{many}<p>inside</p></article><div>last</div>")
+        assert got["after"] == got["last"] == (False, False, False, False)
+        assert got["inside"] == (True, False, False, False)
+    text = "The committee met for the third time this spring and agreed that the old bridge should be repaired."
+    page = f"<nav><ul>{'<li><a href=a>Home</a>' * n}</ul></nav><div><p>{text}</p><p>{text}</p></div>"
+    assert html_extract.main_text(page, html_extract.learn()) == f"{text}\n{text}"
+
+
+def test_html_items_end_their_siblings():
+    found = html_extract.blocks("<ul><li class=share>a<li>b<ul><li>c</ul>d<div><li>e</ul><table><tr class=share><td class=ad>f<td>g<tr><td>h<table><tr><td>i</table>j</table>k")
+    assert [(b.text, b.named, b.item) for b in found] == [
+        ("a", True, True), ("b", False, True), ("c", False, True), ("d", False, True), ("e", False, True),
+        ("f", True, False), ("g", True, False), ("h", False, False), ("i", False, False), ("j", False, False), ("k", False, False),
+    ]
+
+
+def test_html_is_linear_with_items_left_open():
+    import time
+
+    tree = html_extract.learn()
+    began = time.time()
+    for page in ("<ul><li>" * 30000, "<div>" * 30000 + "<li></li>" * 30000, "<li>" * 60000, "<tr><td>" * 30000, "<table><tr><td>" * 20000, "<li><div>" * 30000 + "</ul>" * 30000):
+        html_extract.main_text(page, tree)
+    assert time.time() - began < 20
+
+
 def test_html_is_linear_in_odd_pages():
     import time
 
