@@ -1,6 +1,7 @@
 r"""N-gram Jaccard self-join with PartEnum signatures (op 10).
 
-A document's set holds the 64-bit hashes of its distinct four-word shingles.  Sets
+A document's set holds the 64-bit hashes of its distinct shingles: of four words, with
+a similarity of 0.85, if the caller says nothing else.  Sets
 are nodes, so equal sets are one node from the start and copies never meet.
 
 Signatures.  Set sizes fall into bands; sets whose Jaccard similarity reaches the
@@ -49,7 +50,7 @@ from pyspark.sql import functions as F
 from depsift.llm.components import components
 from depsift.llm.shared import keep, ship
 
-#: Words of a shingle; similarity as a fraction.
+#: Words of a shingle; similarity as a fraction (op 10's query).
 WORDS, NUM, DEN = 4, 85, 100
 SPARE = 1
 #: Sets of a signature's group that are compared at once.
@@ -80,12 +81,12 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
 
 
 @lru_cache(None)
-def bands(upto: int) -> list[tuple[int, int, int]]:
+def bands(upto: int, num: int = NUM, den: int = DEN) -> list[tuple[int, int, int]]:
     """(first size, last size, parts) of each band up to one that holds ``upto``."""
     out, first = [], 1
     while not out or out[-1][1] < upto:
-        last = max(first, first * DEN * DEN // (NUM * NUM))
-        k = 2 * last * (DEN - NUM) // (DEN + NUM)
+        last = max(first, first * den * den // (num * num))
+        k = 2 * last * (den - num) // (den + num)
         out.append((first, last, -(-(k + 1) // 2) + SPARE if k else 0))
         first = last + 1
     return out
@@ -104,16 +105,16 @@ def _sums(values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return low.astype(_U) + (high.astype(_U) << _U(32))
 
 
-def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def signatures(sets: list[np.ndarray], num: int = NUM, den: int = DEN) -> tuple[np.ndarray, np.ndarray]:
     """(signature, index of the set) for every signature of every set."""
     sizes = np.array([len(s) for s in sets], np.int64)
     if not len(sizes) or not sizes.max():
         return np.empty(0, _U), np.empty(0, np.int64)
-    table = bands(int(sizes.max()) * DEN // NUM + 1)
+    table = bands(int(sizes.max()) * den // num + 1, num, den)
     firsts, parts = (np.array([b[i] for b in table], np.int64) for i in (0, 2))
     own = np.searchsorted(firsts, sizes, "right") - 1
     up = np.minimum(own + 1, len(table) - 1)
-    reach = (sizes * DEN // NUM >= firsts[up]) & (up > own) & (sizes > 0)
+    reach = (sizes * den // num >= firsts[up]) & (up > own) & (sizes > 0)
     out_sig, out_of = [], []
     for tag, chosen in ((own, np.flatnonzero((sizes > 0) & (parts[own] > 0))), (up, np.flatnonzero(reach & (parts[up] > 0)))):
         if not len(chosen):
@@ -150,37 +151,43 @@ def _chunks(batch: pa.RecordBatch, column: str):
         yield batch.slice(a, b - a)
 
 
-def _node_batches(batches):
-    for batch in batches:
-        for part in _chunks(batch, "__text"):
-            sets = [shingles(t) for t in part.column("__text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("__row"),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([node_of(s) for s in sets], pa.int64()),
-                    pa.array([sketch(s) if len(s) else b"" for s in sets], pa.binary()),
-                ],
-                ["__row", "__n", "__node", "__sketch"],
-            )
-
-
-def _signature_batches(batches):
-    seen: set[int] = set()
-    for batch in batches:
-        for part in _chunks(batch, "__text"):
-            if len(seen) > 1_000_000:
-                seen.clear()  # sets emitted again are told apart from others later
-            fresh = {}
-            for text in part.column("__text").to_pylist():
-                s = shingles(text)
-                if len(s) and (node := node_of(s)) not in seen:
-                    seen.add(node)
-                    fresh[node] = s
-            nodes, sets = np.fromiter(fresh, np.int64, len(fresh)), list(fresh.values())
-            sig, of = signatures(sets)
-            sizes = np.array([len(s) for s in sets], np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(nodes[of]), pa.array(sizes[of])], ["sig", "node", "n"])
+def _node_batches(words: int):
+    def run(batches):
+        for batch in batches:
+            for part in _chunks(batch, "__text"):
+                sets = [shingles(t, words) for t in part.column("__text").to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("__row"),
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array([node_of(s) for s in sets], pa.int64()),
+                        pa.array([sketch(s) if len(s) else b"" for s in sets], pa.binary()),
+                    ],
+                    ["__row", "__n", "__node", "__sketch"],
+                )
+
+    return run
+
+
+def _signature_batches(words: int, num: int, den: int):
+    def run(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            for part in _chunks(batch, "__text"):
+                if len(seen) > 1_000_000:
+                    seen.clear()  # sets emitted again are told apart from others later
+                fresh = {}
+                for text in part.column("__text").to_pylist():
+                    s = shingles(text, words)
+                    if len(s) and (node := node_of(s)) not in seen:
+                        seen.add(node)
+                        fresh[node] = s
+                nodes, sets = np.fromiter(fresh, np.int64, len(fresh)), list(fresh.values())
+                sig, of = signatures(sets, num, den)
+                sizes = np.array([len(s) for s in sets], np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(nodes[of]), pa.array(sizes[of])], ["sig", "node", "n"])
+
+    return run
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -190,19 +197,22 @@ def sketch(s: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def _set_batches(batches):
-    for batch in batches:
-        for part in _chunks(batch, "__text"):
-            sets = [shingles(t) for t in part.column("__text").to_pylist()]
-            flat = np.concatenate(sets) if sets else np.empty(0, _U)
-            ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([node_of(s) for s in sets], pa.int64()),
-                    pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(flat.view(np.int64))).cast(pa.list_(pa.int64())),
-                ],
-                ["node", "shingles"],
-            )
+def _set_batches(words: int):
+    def run(batches):
+        for batch in batches:
+            for part in _chunks(batch, "__text"):
+                sets = [shingles(t, words) for t in part.column("__text").to_pylist()]
+                flat = np.concatenate(sets) if sets else np.empty(0, _U)
+                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([node_of(s) for s in sets], pa.int64()),
+                        pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(flat.view(np.int64))).cast(pa.list_(pa.int64())),
+                    ],
+                    ["node", "shingles"],
+                )
+
+    return run
 
 
 def _folded(sketches: list[bytes], words: int) -> np.ndarray:
@@ -213,7 +223,7 @@ def _folded(sketches: list[bytes], words: int) -> np.ndarray:
     return out
 
 
-def _passing(key: np.ndarray, block: np.ndarray, node: np.ndarray, n: np.ndarray, c: np.ndarray, sketches: list[bytes], every: bool):
+def _passing(key: np.ndarray, block: np.ndarray, node: np.ndarray, n: np.ndarray, c: np.ndarray, sketches: list[bytes], every: bool, num: int, den: int):
     """Pairs of rows with the same key that may be links: the first for each row, or
     every one in different components."""
     starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
@@ -234,11 +244,11 @@ def _passing(key: np.ndarray, block: np.ndarray, node: np.ndarray, n: np.ndarray
                 break
             i, j = rows[alive], rows[alive + d]
             size_a, size_b = n[i], n[j]
-            near = (DEN * np.minimum(size_a, size_b) >= NUM * np.maximum(size_a, size_b)) & (c[i] != c[j]) & (~paired[i] | (two[i] != two[j]))
+            near = (den * np.minimum(size_a, size_b) >= num * np.maximum(size_a, size_b)) & (c[i] != c[j]) & (~paired[i] | (two[i] != two[j]))
             p = alive[near]
             for q in np.array_split(p, max(1, len(p) * width >> 20)):
                 differ = np.bitwise_count(x[q] ^ x[q + d]).sum(1, dtype=np.int64)
-                ok = q[differ * (DEN + NUM) <= (n[rows[q]] + n[rows[q + d]]) * (DEN - NUM)]
+                ok = q[differ * (den + num) <= (n[rows[q]] + n[rows[q + d]]) * (den - num)]
                 if every:
                     out_a.append(rows[ok])
                     out_b.append(rows[ok + d])
@@ -253,7 +263,7 @@ def _passing(key: np.ndarray, block: np.ndarray, node: np.ndarray, n: np.ndarray
     return np.unique(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])], 1), axis=0)
 
 
-def _pair_batches(every: bool):
+def _pair_batches(every: bool, num: int, den: int):
     def run(batches):
         held: pa.Table | None = None
 
@@ -263,7 +273,7 @@ def _pair_batches(every: bool):
             _, key = np.unique(np.stack([sig, lo, hi], 1), axis=0, return_inverse=True)
             order = np.lexsort((node, block, key))
             sketches = rows.column("sketch").to_pylist()
-            pairs = _passing(key[order], block[order], node[order], n[order].astype(np.int64), c[order], [sketches[i] for i in order.tolist()], every)
+            pairs = _passing(key[order], block[order], node[order], n[order].astype(np.int64), c[order], [sketches[i] for i in order.tolist()], every, num, den)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
         for batch in batches:
@@ -285,15 +295,15 @@ def _pair_batches(every: bool):
     return run
 
 
-def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def similar(pairs: DataFrame, sets: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """Of (a, b), the pairs of nodes whose sets reach the similarity."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y")).cast("long")
-    return pairs.join(left, "a").join(right, "b").where(DEN * both >= NUM * (F.size("x") + F.size("y") - both)).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").where(den * both >= num * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
-def links(groups: DataFrame, sketches: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+def links(groups: DataFrame, sketches: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int = NUM, den: int = DEN) -> DataFrame | None:
     """(sig, rank, node, n) of all signatures that two sets or more share -> (node,
     root) of linked sets, None if there are none.  ``sets_of`` gets the sets of a table
     of nodes."""
@@ -310,29 +320,31 @@ def links(groups: DataFrame, sketches: DataFrame, sets_of: Callable[[DataFrame],
         rows = rows.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
         rows = rows.join(sketches, "node").select("sig", "lo", "hi", "block", "node", "n", "c", "sketch")
         rows = rows.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi")
-        pairs = rows.mapInArrow(_pair_batches(every), "a long, b long").distinct()
+        pairs = rows.mapInArrow(_pair_batches(every, num, den), "a long, b long").distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
         checked = keep(pairs, "pairs")
         sets = sets_of(checked.select(F.col("a").alias("node")).union(checked.select("b")).distinct())
-        new = keep(similar(checked, sets), "linked")
+        new = keep(similar(checked, sets, num, den), "linked")
         found = new if found is None else found.unionByName(new)
         if not new.isEmpty():
             roots = keep(components(found), "roots")
     return roots
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: tuple[int, int] = (NUM, DEN)) -> DataFrame:
     """A row for every row of ``docs``: its id as ``__row`` and a struct ``__near`` of
     n_shingles and component_id, the least id that links reach.  The id may be of any
-    type that has an order."""
+    type that has an order.  Links are sets of ``words``-word shingles whose Jaccard
+    similarity is the fraction ``similarity`` or more."""
+    num, den = similarity
     ship(docs.sparkSession)
     texts = docs.select(F.col(text_col).alias("__text"))
     rows = docs.select(F.col(id_col).alias("__row"), F.col(text_col).alias("__text"))
     id_type = docs.schema[id_col].dataType.simpleString()
-    members = keep(rows.mapInArrow(_node_batches, f"__row {id_type}, __n long, __node long, __sketch binary"), "members")
+    members = keep(rows.mapInArrow(_node_batches(words), f"__row {id_type}, __n long, __node long, __sketch binary"), "members")
 
-    emitted = texts.mapInArrow(_signature_batches, "sig long, node long, n int")
+    emitted = texts.mapInArrow(_signature_batches(words, num, den), "sig long, node long, n int")
     group = Window.partitionBy("sig")
     shared = emitted.withColumns({"lo": F.min("node").over(group), "hi": F.max("node").over(group)}).where("lo < hi")
     groups = keep(shared.select("sig", F.dense_rank().over(group.orderBy("node")).alias("rank"), "node", "n").distinct(), "groups")
@@ -343,10 +355,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         first = members.join(nodes, members["__node"] == nodes["node"], "left_semi").groupBy("__node").agg(F.min("__row").alias("__r")).select("__r").distinct()
         first = keep(first.orderBy("__r"), "firsts")
         some = rows.join(first, F.col("__row").eqNullSafe(F.col("__r")), "left_semi")
-        return keep(some.select("__text").mapInArrow(_set_batches, "node long, shingles array<long>").dropDuplicates(["node"]).join(nodes, "node", "left_semi"), "sets")
+        return keep(some.select("__text").mapInArrow(_set_batches(words), "node long, shingles array<long>").dropDuplicates(["node"]).join(nodes, "node", "left_semi"), "sets")
 
     sketches = keep(members.select(F.col("__node").alias("node"), F.col("__sketch").alias("sketch")).dropDuplicates(["node"]), "sketches")
-    roots = links(groups, sketches, sets_of)
+    roots = links(groups, sketches, sets_of, num, den)
     if roots is None:
         joined = members.withColumn("__c", F.col("__node"))
     else:

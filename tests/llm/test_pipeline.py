@@ -1,10 +1,12 @@
 """The pipeline against a brute-force version of its stages."""
 
+import random
 from collections import Counter, defaultdict
 
 import pytest
 
 import corpus_pipeline
+from depsift.llm import ngram_join
 from tests.llm.test_corpus import SCHEMA, awkward, brute_components, crc, features_of, library, lower, words
 
 
@@ -104,3 +106,30 @@ def test_run_is_its_stages(spark):
     for r in found:
         held[r["sequence_id"]] += r["length"]
     assert max(held.values()) <= 2048
+
+
+def five_word_similarity(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} for w in (lower(a).split(), lower(b).split()))
+    return len(x & y) / len(x | y)
+
+
+def test_near_stage_takes_five_words_and_four_fifths(spark, empty_labels):
+    r = random.Random(11)
+    texts, linked = [], []
+    for g in range(60):
+        base = [f"w{r.randrange(10**6)}" for _ in range(r.choice([40, 80, 150, 400, 1000]))]
+        tail = [f"t{r.randrange(10**6)}" for _ in range(round(len(base) * r.uniform(0.17, 0.29)))]
+        a, b = " ".join(base), " ".join(base + tail)
+        texts += [a, b]
+        linked.append(five_word_similarity(a, b) >= 0.8)
+    between = sum(0.8 <= five_word_similarity(texts[2 * g], texts[2 * g + 1]) < 0.85 for g in range(60))
+    assert between > 15 and not all(linked)
+    docs = spark.createDataFrame([(i, t, "en", "a", None, i, "x") for i, t in enumerate(texts)], SCHEMA)
+    left = {x["doc_id"] for x in dict(corpus_pipeline.STAGES)["n-gram jaccard join"](spark, docs, empty_labels).collect()}
+    assert left == {2 * g for g in range(60)} | {2 * g + 1 for g in range(60) if not linked[g]}
+    # The query's own words and similarity stay.
+    joined = {x["__row"]: x["__near"]["component_id"] for x in ngram_join.near_duplicates(docs).collect()}
+    four = lambda t: {tuple(t.split()[i : i + 4]) for i in range(len(t.split()) - 3)}
+    for g in range(60):
+        x, y = four(texts[2 * g]), four(texts[2 * g + 1])
+        assert (joined[2 * g + 1] == 2 * g) == (100 * len(x & y) >= 85 * len(x | y))
