@@ -32,7 +32,6 @@ def parser() -> argparse.ArgumentParser:
         if name == "calibrate":
             p.add_argument("--lhs", nargs="+", required=True)
             p.add_argument("--rhs", required=True)
-            p.add_argument("--max-examples", type=int, default=512)
         if name == "search":
             p.add_argument("--truth", help="file of rules to compare with")
             p.add_argument("--target")
@@ -65,7 +64,7 @@ def main(argv: list[str] | None = None) -> int:
         table = prepared(df, args.output, options, build)
         if args.command == "calibrate":
             train, val = (table.where(f"split = '{s}'") for s in ("train", "val"))
-            print(json.dumps({"temperature": fit_temperature(train, val, args.lhs, args.rhs, most=args.max_examples)}))
+            print(json.dumps({"temperature": fit_temperature(train, val, args.lhs, args.rhs)}))
         else:
             table.groupBy("split").count().show()
         return 0

@@ -67,16 +67,21 @@ def brier_and_ece(train: DataFrame, val: DataFrame, lhs: Sequence[str], rhs: str
     return binned.agg(F.sum("n").alias("examples"), (F.sum("b") / F.sum("n")).alias("brier"), (F.sum(F.col("n") * F.abs(F.col("c") - F.col("r"))) / F.sum("n")).alias("ece"))
 
 
-def fit_temperature(train: DataFrame, val: DataFrame, lhs: Sequence[str], rhs: str, *, strength: float = 1.0, most: int = 512, grid: Sequence[float] = (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 4.0)) -> float:
-    """The temperature of a grid with the least negative log-likelihood on up to ``most``
-    validation rows (the first by a hash of the row)."""
+def fit_temperature(train: DataFrame, val: DataFrame, lhs: Sequence[str], rhs: str, *, strength: float = 1.0, grid: Sequence[float] = (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 4.0)) -> float:
+    """The temperature of a grid with the least negative log-likelihood on all validation
+    rows with a known pattern and a right side; equal rows are counted first."""
     d = conditional(train, lhs, rhs, strength=strength)
-    some = val.where(F.col(rhs).isNotNull()).select(*lhs, rhs).orderBy(F.xxhash64(*lhs, rhs), *lhs, rhs).limit(most).withColumn("row", F.monotonically_increasing_id())
-    rows = some.join(d, list(lhs)).crossJoin(train.sparkSession.createDataFrame([(float(t),) for t in grid], "t double").hint("broadcast"))
-    scaled = rows.withColumn("w", F.pow(F.col("p"), 1 / F.col("t")))
-    each = scaled.groupBy("row", "t").agg((F.coalesce(F.sum(F.when(F.col("value") == F.col(rhs), F.col("w"))), F.lit(0.0)) / F.sum("w")).alias("q"))
-    best = each.groupBy("t").agg(F.sum(-F.log(F.greatest(F.col("q"), F.lit(1e-12)))).alias("nll")).orderBy("nll", "t").first()
-    return float(best["t"]) if best else 1.0
+    masses = d.groupBy(*lhs).agg(*(F.sum(F.pow("p", F.lit(1.0 / t))).alias(f"__mass{i}") for i, t in enumerate(grid)))
+    own = d.select(*lhs, F.col("value").alias(rhs), F.col("p").alias("__own"))
+    counted = val.where(F.col(rhs).isNotNull()).groupBy(*lhs, rhs).agg(F.count(F.lit(1)).alias("__times"))
+    rows = counted.join(masses, list(lhs)).join(own, [*lhs, rhs], "left")
+
+    def loss(i: int, t: float):
+        q = F.coalesce(F.pow("__own", F.lit(1.0 / t)), F.lit(0.0)) / F.col(f"__mass{i}")
+        return F.sum(-F.log(F.greatest(q, F.lit(1e-12))) * F.col("__times"))
+
+    losses = rows.agg(*(loss(i, t).alias(f"__loss{i}") for i, t in enumerate(grid))).first()
+    return 1.0 if losses[0] is None else float(min(zip(losses, grid, strict=True))[1])
 
 
 def holdout(train: DataFrame, val: DataFrame, lhs: Sequence[str], rhs: str) -> DataFrame:

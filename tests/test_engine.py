@@ -206,6 +206,14 @@ def test_holdout_and_temperature(spark):
     assert estimate.fit_temperature(train, val, ["l"], "r") > 0
 
 
+def test_temperature_of_all_validation_rows(spark):
+    train = spark.createDataFrame([("x", "1")] * 8000 + [("x", "2")] * 2000, "l string, r string")
+    val = [("x", "1")] * 700 + [("x", "2")] * 300 + [("z", "1")] * 50 + [("x", None)] * 50
+    # Any 512 rows that take equal ones together end at 0.25 or 4.
+    assert estimate.fit_temperature(train, spark.createDataFrame(val, "l string, r string"), ["l"], "r") == 1.5
+    assert estimate.fit_temperature(train, spark.createDataFrame([("z", "1")], "l string, r string"), ["l"], "r") == 1.0
+
+
 def test_masks_and_objectives(spark):
     df = spark.range(300).select(F.col("id").cast("string").alias("k"), *(F.lit(c).alias(c) for c in "abcde"))
     rows = masking.observed(df, F.col("k"), list("abcde")).collect()
