@@ -29,12 +29,15 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--null-literals", nargs="*", default=[])
         p.add_argument("--mode", default="balanced")
         p.add_argument("--output", default="depsift-out")
+        if name in ("preprocess", "calibrate"):
+            p.add_argument("--force", action="store_true", help="build again, whatever the manifest says")
         if name == "calibrate":
             p.add_argument("--lhs", nargs="+", required=True)
             p.add_argument("--rhs", required=True)
         if name == "search":
             p.add_argument("--truth", help="file of rules to compare with")
             p.add_argument("--target")
+            p.add_argument("--rhs-limit", type=int, help="look for so many right sides only, the first in the table")
             p.add_argument("--no-tuning", action="store_true", help="keep the default thresholds")
             p.add_argument("--all-candidates", action="store_true", help="count those that sketches rule out, too")
             for option in ("support_beta", "min_support_count", "min_s_ent", "min_s_acc", "min_score", "score_alpha", "min_direction_margin", "delta_gain", "max_lhs_size", "beam_width", "max_support_rows"):
@@ -61,7 +64,7 @@ def main(argv: list[str] | None = None) -> int:
             kinds = {r["column"]: r["model_type"] for r in profile(rows, mode=args.mode).collect()}
             return tokens(rows.withColumn("split", split_of(row_key(*key))), kinds, bins=args.continuous_bins, null_literals=tuple(args.null_literals))
 
-        table = prepared(df, args.output, options, build)
+        table = prepared(df, args.output, options, build, force=args.force)
         if args.command == "calibrate":
             train, val = (table.where(f"split = '{s}'") for s in ("train", "val"))
             print(json.dumps({"temperature": fit_temperature(train, val, args.lhs, args.rhs)}))
@@ -69,6 +72,8 @@ def main(argv: list[str] | None = None) -> int:
             table.groupBy("split").count().show()
         return 0
     given = {k: (tuple(v) if isinstance(v, list) else v) for k, v in vars(args).items() if k in Settings.names() and v is not None}
+    if args.rhs_limit is not None and "rhs_allow" not in given:
+        given["rhs_allow"] = tuple(c for c in df.columns if c not in key)[: args.rhs_limit]
     result = search(df, Settings(**given), key_columns=key, target=args.target, tune=not args.no_tuning, screen=not args.all_candidates, null_literals=tuple(args.null_literals))
     scores = evaluate_rules(result.dependencies, read_rules(args.truth)) if args.truth else (0.0, 0.0, 0.0)
     write_results(args.output, result, scores)

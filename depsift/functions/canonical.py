@@ -28,17 +28,22 @@ def canonical_integer(c: Column) -> Column:
     return F.when(F.isnan(number), F.lit(None)).otherwise(number).try_cast("bigint").cast("string")
 
 
-def fold_forms(df: DataFrame, column: str) -> DataFrame:
-    """NFKC forms of a text column.  Python sees the distinct values that are not
-    plain ASCII only; without any, the frame is returned as it is."""
-    odd = df.select(column).where(~F.col(column).rlike(r"^[\x00-\x7F]*$")).distinct()
-    if odd.isEmpty():
+def fold_forms(df: DataFrame, *columns: str) -> DataFrame:
+    """NFKC forms of text columns.  One look tells which columns hold more than plain
+    ASCII; of these, Python sees the distinct values that do.  Without any, the frame is
+    returned as it is."""
+    if not columns:
         return df
+    odd = {c: ~F.col(c).rlike(r"^[\x00-\x7F]*$") for c in columns}
+    found = df.agg(*(F.max(v).alias(c) for c, v in odd.items())).first()
 
     @F.pandas_udf("string")
     def nfkc(values: pd.Series) -> pd.Series:
         return values.map(lambda v: unicodedata.normalize("NFKC", v))
 
-    folded = odd.select(F.col(column).alias("__raw"), nfkc(F.col(column)).alias("__folded"))
-    joined = df.join(folded, F.col(column) == F.col("__raw"), "left")
-    return joined.withColumn(column, F.coalesce("__folded", column)).drop("__raw", "__folded")
+    for c in columns:
+        if found[c]:
+            folded = df.where(odd[c]).select(F.col(c).alias("__raw")).distinct().select("__raw", nfkc("__raw").alias("__folded"))
+            joined = df.join(folded, F.col(c) == F.col("__raw"), "left")
+            df = joined.withColumn(c, F.coalesce("__folded", c)).drop("__raw", "__folded")
+    return df

@@ -57,6 +57,11 @@ def identifier_signal(role: Column, unique_ratio: Column, s: Settings) -> Column
     return F.when(named, 1.0).otherwise(ramp(unique_ratio, s.identifier_start_ratio, s.identifier_full_ratio))
 
 
+def identifier_value(role: str, unique_ratio: float, s: Settings) -> float:
+    """``identifier_signal`` of one column's facts."""
+    return 1.0 if role in ("identifier", "quasi_identifier") else ramp_value(unique_ratio, s.identifier_start_ratio, s.identifier_full_ratio)
+
+
 #: Roles whose weight hints at an identifier.
 HINT_ROLES = ("code_categorical", "entity_name", "geo_code", "high_card_categorical")
 

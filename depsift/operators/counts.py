@@ -1,10 +1,11 @@
 """Counting: marginals, support tables of one candidate, and all candidates at once.
 
-The batched form is what a search runs.  Every row gives one short record for each
-candidate (its number and 64-bit hashes of the two sides); records are counted in the
-mappers before they are shuffled, so a value that fills a third of the table is one
-row a mapper.  One contingency serves both directions of a pair.  Hashes are 64 bits
-of the values; at 10^9 different values the chance of any collision is under 3 %.
+The batched form is what a search runs, over a table of 64-bit hashes.  Mappers read
+``CHUNK`` rows at a time as Arrow columns, number the values of each side once and count
+the pairs of numbers of each candidate; what they hand on are counts.  So a row is never
+copied for each candidate, and a value that fills a third of the table is one row a
+chunk.  One contingency serves both directions of a pair.  At 10^9 different values the
+chance that any two have the same hash is under 3 %.
 """
 
 from __future__ import annotations
@@ -12,11 +13,18 @@ from __future__ import annotations
 import itertools
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from depsift.operators.order import numbered
 from depsift.settings import Settings
 
+#: Rows that a mapper counts at once.
+CHUNK = 1 << 18
+
 
 def with_total(df: DataFrame, **totals: Column) -> DataFrame:
     """Adds aggregates over all rows to each row.  They are one row, so nothing needs to
@@ -31,11 +39,41 @@ def marginal(df: DataFrame, column: str, *, valid: bool = False) -> DataFrame:
     return with_total(counted, __total=F.sum("n")).withColumn("p", F.col("n") / F.col("__total")).drop("__total")
 
 
+def _chunks(most: int):
+    """Joins Arrow batches to tables of at least ``most`` rows; the last may have fewer."""
+
+    def run(batches):
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= most:
+                yield pa.Table.from_batches(held)
+                held, rows = [], 0
+        if rows:
+            yield pa.Table.from_batches(held)
+
+    return run
+
+
+def value_counts(table: DataFrame) -> DataFrame:
+    """(at, v, k): the counts of each value of each 64-bit column, null among them, by the
+    column's place."""
+    chunks = _chunks(CHUNK)
+
+    def run(batches):
+        for chunk in chunks(batches):
+            for at, column in enumerate(chunk.columns):
+                found = pc.value_counts(column)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), at, np.int32)), found.field("values"), found.field("counts")], ["at", "v", "k"])
+
+    return table.mapInArrow(run, "at int, v long, k long").groupBy("at", "v").agg(F.sum("k").alias("k"))
+
+
 def marginal_stats(table: DataFrame, columns: Sequence[str]) -> DataFrame:
     """column, total, valid, vocabulary, entropy, top1 over the values that aren't null,
     for a table of hashed columns."""
-    cells = table.select(F.array(*columns).alias("values")).select(F.posexplode("values").alias("at", "v"))
-    counted = cells.groupBy("at", "v").agg(F.count(F.lit(1)).alias("k"))
+    counted = value_counts(table.select(*columns))
     known = F.col("v").isNotNull()
     k = F.when(known, F.col("k"))
     stats = counted.groupBy("at").agg(
@@ -112,27 +150,40 @@ def with_independence(df: DataFrame, rows: DataFrame, lhs: Sequence[str], s: Set
     return rows.drop("__total", *(x for c in lhs for x in (f"__{c}", f"__p_{c}")))
 
 
-def budget(rows: DataFrame, lhs: Sequence[str], s: Settings) -> DataFrame:
-    """At most ``max_support_rows`` patterns: the head by priority, and of the tail those
-    at evenly spaced shares of its priority, then evenly spaced ones until it is full.
-    Meant to compare with capped searches: an order over all patterns needs one task."""
+def budget(rows: DataFrame, lhs: Sequence[str], s: Settings, by: Sequence[str] = ()) -> DataFrame:
+    """At most ``max_support_rows`` patterns (of each value of ``by``): the head by priority,
+    of the tail those at the middles of evenly spaced shares of its priority, then evenly
+    spaced ones until it is full."""
     limit, head = s.max_support_rows, min(s.support_head_rows, s.max_support_rows)
-    rest = limit - head
-    order = Window.orderBy(F.desc("priority"), *lhs)
-    placed = rows.withColumns({"__at": F.row_number().over(order), "__all": F.count(F.lit(1)).over(Window.partitionBy())})
-    tail = F.col("__at") > head
+    rest, by = limit - head, list(by)
+    order = [F.desc("priority"), *lhs]
+    # Priorities are powers of counts: their magnitude is a bucket that falls along the order.
+    bucket = -F.floor(F.log2("priority") * 4)
+    placed = numbered(rows, order, bucket, by=by).withColumnRenamed("__at", "__place")
+    tail = F.col("__place") > head
     mass = F.when(tail, F.col("priority")).otherwise(0.0)
-    run = F.sum(mass).over(order.rowsBetween(Window.unboundedPreceding, 0)) / F.sum(mass).over(Window.partitionBy())
-    step = F.floor(F.coalesce(run, F.lit(0.0)) * rest + 0.5)
-    placed = placed.withColumn("__step", step)
-    placed = placed.withColumn("__hit", tail & (F.col("__step") > F.coalesce(F.lag("__step").over(order), F.lit(0))))
-    free = tail & ~F.col("__hit")
-    placed = placed.withColumn("__free", F.sum(free.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    placed = placed.withColumns({"__hits": F.sum(F.col("__hit").cast("int")).over(Window.partitionBy()), "__frees": F.sum(free.cast("int")).over(Window.partitionBy())})
-    want = F.lit(rest) - F.col("__hits")
-    share = F.floor(F.col("__free") * want / F.col("__frees")) > F.floor((F.col("__free") - 1) * want / F.col("__frees"))
-    keep = (F.col("__all") <= limit) | ~tail | F.col("__hit") | (free & (want > 0) & share)
-    return placed.where(keep).drop("__at", "__all", "__step", "__hit", "__free", "__hits", "__frees")
+    placed = _with_totals(placed, by, __all=F.count(F.lit(1)), __mass=F.sum(mass))
+    placed = numbered(placed, order, bucket, by=by, sums={"__run": mass}).drop("__at")
+
+    def step(run):
+        return F.floor(F.when(F.col("__mass") > 0, run / F.col("__mass")).otherwise(0.0) * rest + 0.5)
+
+    placed = placed.withColumn("__hit", tail & (step(F.col("__run")) > step(F.col("__run") - mass)))
+    free = (tail & ~F.col("__hit")).cast("long")
+    placed = _with_totals(placed, by, __frees=F.sum(free), __hits=F.sum(F.col("__hit").cast("long")))
+    placed = numbered(placed, order, bucket, by=by, sums={"__free": free}).drop("__at")
+    want, at, last = F.lit(rest) - F.col("__hits"), F.col("__free") - 1, F.greatest(F.col("__frees") - 1, F.lit(1))
+    # The first of want evenly spaced places that isn't below this one is this one.
+    nearest = F.ceil(at * (want - 1) / last)
+    spaced = (at == 0) | ((want > 1) & (nearest < want) & (F.floor(nearest * (F.col("__frees") - 1) / F.greatest(want - 1, F.lit(1))) == at))
+    keep = (F.col("__all") <= limit) | ~tail | F.col("__hit") | ((free > 0) & (want > 0) & spaced)
+    return placed.where(keep).drop("__place", "__all", "__mass", "__run", "__hit", "__free", "__frees", "__hits")
+
+
+def _with_totals(df: DataFrame, by: Sequence[str], **totals: Column) -> DataFrame:
+    if not by:
+        return with_total(df, **totals)
+    return df.join(df.groupBy(*by).agg(*(v.alias(k) for k, v in totals.items())), list(by))
 
 
 def support_mass(table: DataFrame, rows: int) -> DataFrame:
@@ -184,12 +235,32 @@ def accuracy_bound(rows: int, patterns: float, pairs: float) -> float:
     return 1.0 - max(0.0, pairs - patterns) / max(rows, 1)
 
 
-def _records(table: DataFrame, sides: list[tuple[str, ...]], records: list[tuple[int, int, int]]) -> DataFrame:
-    """For each row and (number, place of a, place of b): number and the keys of the two
-    sides.  Keys are made once a row; the records are a constant that rows are paired with."""
-    keys = F.array(*((F.col(c[0]) if len(c) == 1 else key(c)) for c in sides))
-    constant = F.array(*(F.struct(F.lit(n).alias("cand"), F.lit(i).alias("i"), F.lit(j).alias("j")) for n, i, j in records))
-    return table.select(keys.alias("keys")).select("keys", F.inline(constant)).select("cand", F.get("keys", F.col("i")).alias("a"), F.get("keys", F.col("j")).alias("b"))
+def _pair_counts(table: DataFrame, sides: list[tuple[str, ...]], records: list[tuple[int, int, int]]) -> DataFrame:
+    """(number, place of a, place of b) of each record -> cand, a, b, k with the keys of the
+    two sides; the counts are those of chunks of rows."""
+    chunks = _chunks(CHUNK)
+
+    def run(batches):
+        for chunk in chunks(batches):
+            n, coded = chunk.num_rows, []
+            for column in chunk.columns:
+                found = pc.dictionary_encode(column, null_encoding="encode").combine_chunks()
+                coded.append((found.indices.to_numpy().astype(np.int64), found.dictionary))
+            for number, i, j in records:
+                (x, left), (y, right) = coded[i], coded[j]
+                both, width = x * len(right) + y, max(len(right), 1)
+                if len(left) * width <= 4 * n:
+                    k = np.bincount(both)
+                    cells = np.flatnonzero(k)
+                    k = k[cells]
+                else:
+                    found = pc.value_counts(pa.array(both))
+                    cells, k = found.field("values").to_numpy(), found.field("counts").to_numpy()
+                cand = np.full(len(cells), number, np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(cand), left.take(pa.array(cells // width)), right.take(pa.array(cells % width)), pa.array(k.astype(np.int64))], ["cand", "a", "b", "k"])
+
+    keys = table.select(*((F.col(c[0]) if len(c) == 1 else key(c)).alias(f"s{i}") for i, c in enumerate(sides)))
+    return keys.mapInArrow(run, "cand int, a long, b long, k long")
 
 
 def batched_contingency(table: DataFrame, candidates: Sequence[tuple[int, Sequence[str], str]]) -> DataFrame:
@@ -197,8 +268,8 @@ def batched_contingency(table: DataFrame, candidates: Sequence[tuple[int, Sequen
     hashed columns; rows with a null on the left are left out."""
     sides = sorted({tuple(lhs) for _, lhs, _ in candidates} | {(rhs,) for _, _, rhs in candidates})
     at = {side: i for i, side in enumerate(sides)}
-    rows = _records(table, sides, [(n, at[tuple(lhs)], at[(rhs,)]) for n, lhs, rhs in candidates]).where("a IS NOT NULL")
-    return rows.groupBy("cand", F.col("a").alias("lhs"), F.col("b").alias("rhs")).agg(F.count(F.lit(1)).alias("k"))
+    rows = _pair_counts(table, sides, [(n, at[tuple(lhs)], at[(rhs,)]) for n, lhs, rhs in candidates]).where("a IS NOT NULL")
+    return rows.groupBy("cand", F.col("a").alias("lhs"), F.col("b").alias("rhs")).agg(F.sum("k").alias("k"))
 
 
 def pair_contingency(table: DataFrame, pairs: Sequence[tuple[int, int, str, str]]) -> DataFrame:
@@ -206,12 +277,25 @@ def pair_contingency(table: DataFrame, pairs: Sequence[tuple[int, int, str, str]
     directions from one count.  A number below 0 leaves a direction out."""
     sides = sorted({(x,) for p in pairs for x in p[2:]})
     at = {side: i for i, side in enumerate(sides)}
-    counted = _records(table, sides, [(n, at[(p[2],)], at[(p[3],)]) for n, p in enumerate(pairs)]).groupBy("cand", "a", "b").agg(F.count(F.lit(1)).alias("k"))
+    counted = _pair_counts(table, sides, [(n, at[(p[2],)], at[(p[3],)]) for n, p in enumerate(pairs)]).groupBy("cand", "a", "b").agg(F.sum("k").alias("k"))
     ways = F.array(*(F.struct(F.lit(p[0]).alias("forward"), F.lit(p[1]).alias("back")) for p in pairs))
     numbered = counted.withColumn("way", F.get(ways, F.col("cand")))
     both = F.array(F.struct(F.col("way.forward").alias("cand"), F.col("a").alias("lhs"), F.col("b").alias("rhs"), F.col("k")), F.struct(F.col("way.back").alias("cand"), F.col("b").alias("lhs"), F.col("a").alias("rhs"), F.col("k")))
     return numbered.select(F.inline(both)).where("cand >= 0 AND lhs IS NOT NULL")
 
 
+def contingencies(table: DataFrame, wanted: Sequence[tuple[Sequence[str], str]]) -> DataFrame:
+    """cand, lhs, rhs, k of all (lhs columns, rhs), numbered by their places; both
+    directions of a pair of columns come from one count."""
+    number = {(tuple(lhs), rhs): i for i, (lhs, rhs) in enumerate(wanted)}
+    pairs = sorted({tuple(sorted((*lhs, rhs))) for lhs, rhs in number if len(lhs) == 1})
+    parts = []
+    if pairs:
+        parts.append(pair_contingency(table, [(number.get(((a,), b), -1), number.get(((b,), a), -1), a, b) for a, b in pairs]))
+    if compound := [(i, *w) for w, i in number.items() if len(w[0]) > 1]:
+        parts.append(batched_contingency(table, compound))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
 def all_pairs(columns: Sequence[str]) -> list[tuple[str, str]]:
     return list(itertools.combinations(columns, 2))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from depsift.functions.scores import extrapolated_patterns, profile_identifier_signal, ramp_value
+from depsift.operators.counts import hashed, value_counts
 from depsift.settings import Settings
 
 #: Parts of names and limits that tell roles apart.
@@ -41,9 +42,7 @@ def column_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """column, rows, unique_count, unique_ratio, marginal_top1.  Null is one value, as
     is NaN.  Values are counted by 64-bit hashes of them, in the mappers first."""
     columns = columns or df.columns
-    values = F.array(*(F.when(F.col(c).isNotNull(), F.xxhash64(c)) for c in columns))
-    cells = df.select(values.alias("values")).select(F.posexplode("values").alias("at", "value"))
-    counted = cells.groupBy("at", "value").agg(F.count(F.lit(1)).alias("n"))
+    counted = value_counts(hashed(df, columns)).withColumnRenamed("k", "n")
     stats = counted.groupBy("at").agg(
         F.sum("n").alias("rows"),
         F.count(F.lit(1)).alias("unique_count"),
@@ -219,7 +218,7 @@ def summarize(rows: list, total_rows: int, settings: Settings) -> Summary:
 
 
 def tuned(settings: Settings, s: Summary) -> Settings:
-    """Thresholds and weights that fit the table."""
+    """Thresholds and weights that fit the table.  Coefficients and limits are fixed values."""
 
     def clip(value: float, low: float, high: float) -> float:
         return min(high, max(low, value))
@@ -231,6 +230,7 @@ def tuned(settings: Settings, s: Summary) -> Settings:
     sparse = clip(s.pattern_p75 / 5000, 0, 1) * clip(s.lhs_columns / 15, 0, 1)
     cap = int(clip(1024 + round(1024 * high), 1024, 2048))
     return settings.with_options(
+        max_lhs_size=settings.max_lhs_size or (3 if s.lhs_columns >= 8 and high >= 0.3 else 2),
         support_beta=clip(12 + 36 * high, 12, 48),
         min_support_count=2 if high >= 0.45 else 3,
         max_support_rows=None if settings.max_support_rows is None else cap,

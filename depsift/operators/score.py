@@ -11,10 +11,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depsift.functions.scores import accuracy_strength, clip, coverage_factor, empirical_blend, entropy_strength, low_card, ramp
+from depsift.operators.counts import budget, priority
 from depsift.settings import Settings
 
 META = "cand int, lhs_columns array<string>, rhs_column string, identifier double, rhs_unique_ratio double, rhs_unique long, high_card boolean, group_factor double"
@@ -50,10 +51,10 @@ def core_scores(patterns: DataFrame, marginals: DataFrame, meta: DataFrame, rows
     counts = (F.col("n") >= s.min_support_count) | (F.col("eff") >= floor) | ((F.col("top1") >= s.min_row_purity) & (F.col("eff") >= pure))
     if s.min_non_null_ratio > 0:
         counts = counts & (F.col("non_null_ratio") >= s.min_non_null_ratio)
-    each = patterns.join(F.broadcast(facts), "cand").where(counts)  # a short row a candidate
+    # A short row a candidate, of which a job has ``plans.search.PER_JOB`` at most.
+    each = patterns.join(F.broadcast(facts), "cand").where(counts)
     if s.max_support_rows:
-        by = Window.partitionBy("cand").orderBy(F.desc(F.pow(F.col("eff") + 1.0, F.lit(s.priority_effective_alpha)) * F.pow(F.greatest(F.col("non_null_ratio"), F.lit(1e-6)), F.lit(s.priority_non_null_beta))), "lhs")
-        each = each.withColumn("__at", F.row_number().over(by)).where(F.col("__at") <= s.max_support_rows)
+        each = budget(each.withColumn("priority", priority(s)), ["lhs"], s, by=["cand"])
     each = estimated(each, s)
     vocabulary = F.col("vocabulary") + 4
     strengths = {

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from depsift.functions.canonical import canonical_integer, canonical_text
+from depsift.functions.canonical import canonical_integer, canonical_text, fold_forms
+from depsift.operators.counts import with_total
+from depsift.operators.order import numbered, place_in
 
 #: Ids below this stand for null, unknown, masked and rare.
 RESERVED = 4
@@ -25,19 +28,51 @@ def split_of(key: Column) -> Column:
 def vocabulary(train: DataFrame, column: str, min_count: int = 1) -> DataFrame:
     """token, n, token_id of a column's tokens, commonest first, ties by the token."""
     counted = train.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("token")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)
-    # Numbering needs an order over the distinct tokens of one column.
-    return counted.withColumn("token_id", (F.row_number().over(Window.orderBy(F.desc("n"), "token")) + RESERVED - 1).cast("long"))
+    # Counts, and beginnings of tokens where many have the same count, cut the order into buckets.
+    bucket = F.struct(-F.col("n"), F.when(F.col("n") <= 64, F.left("token", F.lit(2))).otherwise(""))
+    return numbered(counted, [F.desc("n"), F.col("token")], bucket).select("token", "n", (F.col("__at") + RESERVED - 1).cast("long").alias("token_id"))
+
+
+def quantiles(df: DataFrame, columns: dict[str, Column], bins: int = 32) -> dict[str, list[float]]:
+    """For each named column of numbers, its distinct quantiles at i / bins by linear
+    interpolation; a single value v gives [v, v + 1], no value [0, 1].
+
+    Values are counted and ordered within buckets between approximate quantiles; where
+    a bucket's rows are known to hold a wanted rank, the exact value is looked up.
+    """
+    if not columns:
+        return {}
+    names = list(columns)
+    numbers = df.select(*(columns[c].cast("double").alias(f"c{i}") for i, c in enumerate(names)))
+    shares = F.array(*(F.lit(i / 256) for i in range(1, 256)))
+    cells = F.inline(F.array(*(F.struct(F.lit(i).alias("c"), F.col(f"c{i}").alias("v")) for i in range(len(names)))))
+    counted = numbers.select(cells).where("v IS NOT NULL").groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+    bounds = numbers.agg(F.array(*(F.percentile_approx(f"c{i}", shares, F.lit(2000)) for i in range(len(names)))).alias("__bounds"))
+    rows = counted.crossJoin(F.broadcast(bounds))  # one row
+    totals = rows.groupBy("c").agg(F.sum("n").alias("total"))
+    placed = numbered(rows, [F.col("v")], place_in(F.col("v"), F.get("__bounds", F.col("c"))), by=["c"], sums={"__run": F.col("n")}).join(totals, "c")
+    wanted = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(bins)), lambda i: _ranks(i, bins, F.col("total"))))
+    hit = F.filter(wanted, lambda t: (t["rank"] < F.col("__run")) & (t["rank"] >= F.col("__run") - F.col("n")))
+    found: dict[str, dict] = {c: {} for c in names}
+    for r in placed.select("c", "v", F.inline(hit)).collect():  # 2 * (bins + 1) rows a column
+        found[names[r["c"]]][r["i"], r["above"]] = (r["v"], r["part"])
+    out = {}
+    for c, at in found.items():
+        edges = sorted({low + (at[i, True][0] - low) * part if part else low for (i, above), (low, part) in at.items() if not above})
+        out[c] = [0.0, 1.0] if not edges else edges if len(edges) > 1 else [edges[0], edges[0] + 1]
+    return out
+
+
+def _ranks(i: Column, bins: int, total: Column) -> Column:
+    """The ranks around place i / bins of ``total`` rows, and the part between them."""
+    place = i * (total - 1) / bins
+    low = F.floor(place)
+    return F.array(*(F.struct(i.alias("i"), F.lit(above).alias("above"), rank.alias("rank"), (place - low).alias("part")) for above, rank in ((False, low), (True, F.ceil(place)))))
 
 
 def quantile_edges(train: DataFrame, column: str, bins: int = 32) -> list[float]:
-    """Distinct quantiles at i / bins by linear interpolation; a single value v gives
-    [v, v + 1], no value [0, 1]."""
-    points = F.array(*(F.lit(i / bins) for i in range(bins + 1)))
-    found = train.agg(F.array_distinct(F.percentile(F.col(column).cast("double"), points))).first()[0]
-    edges = sorted(v for v in found or [] if v is not None)
-    if not edges:
-        return [0.0, 1.0]
-    return edges if len(edges) > 1 else [edges[0], edges[0] + 1]
+    """``quantiles`` of one column."""
+    return quantiles(train, {column: F.col(column)}, bins)[column]
 
 
 def bucket_of(value: Column, edges: list[float]) -> Column:
@@ -51,7 +86,13 @@ def label_codes(df: DataFrame, column: str, order: Column) -> DataFrame:
     """value, code of the trimmed values of a text column in the order in which they first
     come by ``order``; codes start at 0."""
     firsts = df.where(F.col(column).isNotNull()).groupBy(F.trim(column).alias("value")).agg(F.min(order).alias("__first"))
-    return firsts.select("value", (F.row_number().over(Window.orderBy("__first", "value")) - 1).cast("long").alias("code"))
+    if isinstance(firsts.schema["__first"].dataType, StringType):
+        bucket = F.left("__first", F.lit(3))
+    else:
+        shares = F.array(*(F.lit(i / 256) for i in range(1, 256)))
+        firsts = with_total(firsts, __bounds=F.percentile_approx("__first", shares, F.lit(2000)))
+        bucket = place_in(F.col("__first"), F.col("__bounds"))
+    return numbered(firsts, [F.col("__first"), F.col("value")], bucket).select("value", (F.col("__at") - 1).cast("long").alias("code"))
 
 
 def encode(df: DataFrame, column: str, words: DataFrame, *, rare: bool = False, out: str | None = None) -> DataFrame:
@@ -75,13 +116,9 @@ def tokens(df: DataFrame, kinds: dict[str, str], *, bins: int = 32, null_literal
     continuous_bucket); null stands for all that is missing or unreadable.  Bucket edges
     are taken from ``edges`` or measured on ``df``, all columns in one pass."""
     edges = dict(edges or {})
-    missing = [c for c, k in kinds.items() if k == "continuous_bucket" and c not in edges]
-    if missing:
-        points = F.array(*(F.lit(i / bins) for i in range(bins + 1)))
-        found = df.agg(*(F.array_distinct(F.percentile(_number(df, c), points)).alias(c) for c in missing)).first()
-        for c in missing:
-            v = sorted(x for x in found[c] or [] if x is not None)
-            edges[c] = [0.0, 1.0] if not v else v if len(v) > 1 else [v[0], v[0] + 1]
+    edges |= quantiles(df, {c: _number(df, c) for c, k in kinds.items() if k == "continuous_bucket" and c not in edges}, bins)
+    texts = [c for c, k in kinds.items() if k == "categorical" and isinstance(df.schema[c].dataType, StringType)]
+    df = fold_forms(df, *texts)
     out = {}
     for c, kind in kinds.items():
         if kind == "categorical":

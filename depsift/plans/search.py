@@ -19,8 +19,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from depsift.functions.scores import group_factor, ramp_value
-from depsift.operators.counts import accuracy_bound, all_pairs, batched_contingency, distinct_sketches, hashed, key, marginal_stats, pair_contingency, pattern_stats
+from depsift.functions.scores import group_factor, identifier_value
+from depsift.operators.counts import accuracy_bound, all_pairs, batched_contingency, contingencies, distinct_sketches, hashed, key, marginal_stats, pattern_stats
 from depsift.operators.profile import profile, summarize, tuned
 from depsift.operators.score import candidate_meta, core_scores
 from depsift.operators.tokens import row_key, split_of, tokens
@@ -107,9 +107,7 @@ class Search:
 
     def identifier(self, column: str) -> float:
         m = self.meta[column]
-        if m["role"] in ("identifier", "quasi_identifier"):
-            return 1.0
-        return ramp_value(m["unique_ratio"], self.settings.identifier_start_ratio, self.settings.identifier_full_ratio)
+        return identifier_value(m["role"], m["unique_ratio"], self.settings)
 
     def high_card(self, lhs: tuple[str, ...]) -> bool:
         return any(self.meta[c]["unique_ratio"] > self.settings.high_card_lhs_unique_ratio for c in lhs)
@@ -153,15 +151,7 @@ class Search:
 
     def _count(self, some: list[tuple[tuple[str, ...], str]]) -> None:
         number = {w: i for i, w in enumerate(some)}
-        single = [w for w in some if len(w[0]) == 1]
-        parts = []
-        if single:
-            pairs = {tuple(sorted((lhs[0], rhs))) for lhs, rhs in single}
-            parts.append(pair_contingency(self.train, [(number.get(((a,), b), -1), number.get(((b,), a), -1), a, b) for a, b in sorted(pairs)]))
-        if compound := [(number[w], *w) for w in some if len(w[0]) > 1]:
-            parts.append(batched_contingency(self.train, compound))
-        counted = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        patterns = pattern_stats(counted, ["cand", "lhs"])
+        patterns = pattern_stats(contingencies(self.train, some), ["cand", "lhs"])
         meta = candidate_meta(self.spark, [self._meta_row(i, *w) for w, i in number.items()])
         found = {r["cand"]: r.asDict() for r in core_scores(patterns, self.marginals, meta, self.rows, self.settings).collect()}
         for w, i in number.items():
@@ -303,7 +293,7 @@ class Search:
         names = list(self.meta)
         singles = [((a,), b) for a in names for b in names if a != b]
         # Weaker than a seed's bar, a single column is neither accepted nor extended.
-        self.score(singles, floor=max(0.25 * s.min_s_acc, 0.03) if s.max_lhs_size > 1 else s.min_s_acc)
+        self.score(singles, floor=max(0.25 * s.min_s_acc, 0.03) if s.widest > 1 else s.min_s_acc)
         level1 = [self.directed(c) for w in singles if (c := self.scored[w])]
         kept = {r: [] for r in names}
         for c in self.accepted(level1):
@@ -316,7 +306,7 @@ class Search:
             open_to[rhs] = self.seeds(mine, lefts) if mine else set()
             first = sorted((c for c in mine if c.lhs[0] in open_to[rhs]), key=lambda c: (-c.score, -c.empirical_s_acc, -c.coverage_factor, -c.retained_mass, c.lhs))
             beams[rhs] = [(c.lhs, c.score) for c in first[: max(s.beam_width, min(len(open_to[rhs]), 2 * s.beam_width))]]
-        for _ in range(s.max_lhs_size - 1):
+        for _ in range(s.widest - 1):
             steps = {}
             for rhs, beam in beams.items():
                 for lhs, score in beam:

@@ -6,18 +6,19 @@ are rounded to six places on both sides.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depsift.functions import canonical, cleaning
-from depsift.functions.scores import accuracy_strength, coverage_factor, entropy_strength
+from depsift.functions.scores import accuracy_strength, coverage_factor, entropy_strength, identifier_value
 from depsift.operators import counts, estimate, masking, profile, tokens
-from depsift.operators.score import candidate_meta, core_scores, fused, reverse_margins
+from depsift.operators.score import candidate_meta, core_scores, reverse_margins
 from depsift.plans.search import search
 from depsift.settings import Settings
-from depsift.sources.rules import evaluate, rules_frame
+from depsift.sources.rules import evaluate
 from depsift.sources.tables import SALES, SALES_FAMILIES, SALES_KEY, complete_rows, first_rows, sales
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,9 +26,9 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 EMPIRICAL = Settings(estimator="empirical")
-#: Pairs that the queries on single candidates look at: exact rules and others.
-PAIRS = [("l_partkey", "p_brand"), ("l_quantity", "p_brand"), ("c_nationkey", "r_name"), ("o_custkey", "c_mktsegment"), ("l_suppkey", "s_nationkey"), ("o_orderpriority", "o_orderstatus"), ("r_name", "c_nationkey"), ("p_brand", "l_partkey"), ("l_returnflag", "l_linestatus")]
-SALES_SQL = f"""w AS (SELECT {', '.join(SALES)} FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+#: All single-column candidates of the sales table, as (lhs columns, rhs).
+PAIRS = [((a,), b) for a in SALES for b in SALES if a != b]
+SALES_SQL = f"""w AS MATERIALIZED (SELECT {', '.join(SALES)} FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
   JOIN region ON n_regionkey = r_regionkey JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey)"""
 
 
@@ -322,18 +323,46 @@ def support_independence(spark, sf_dir):
     return rounded(t.select("l_returnflag", "o_orderstatus", "n", "weight"))
 
 
-@query()
+#: Roles over the plain families; x is the profile's row with the identifier signal of the tuning.
+_SUMMARY = f"""WITH {SALES_SQL}, {_CELLS}, {_STATS}, {_ROLES}, {_FLAGS},
+  x AS (SELECT m.*, g.lhs, g.rhs, s.unique_count, s.rows, greatest(0, least(1, (m.unique_ratio - .02) / .18)) AS u1, greatest(0, least(1, (m.unique_ratio - .65) / .25)) AS u2 FROM m JOIN g USING ("column") JOIN s USING ("column")),
+  i AS (SELECT *, CASE WHEN role IN ('identifier', 'quasi_identifier') THEN 1 WHEN role IN ('code_categorical', 'entity_name', 'geo_code', 'high_card_categorical') THEN greatest(u1, empirical_weight) ELSE greatest(u1, u2) END AS signal FROM x),
+  pt AS (SELECT least(greatest(unique_count, unique_ratio * rows), rows)::DOUBLE AS n FROM i WHERE lhs AND analysis_mode <> 'binned' AND signal >= .6 AND unique_count >= 128),
+  op AS (SELECT * FROM i WHERE rhs AND role NOT IN ('identifier', 'quasi_identifier', 'near_identifier')),
+  lo AS (SELECT 1 - greatest(0, least(1, (unique_ratio - .02) / .10)) AS v FROM op WHERE unique_ratio < .3),
+  hi AS (SELECT sqrt(u1) AS v FROM op WHERE unique_ratio < .3 UNION ALL SELECT .5 * sqrt((unique_ratio - .2) / .4) FROM op WHERE unique_ratio >= .3 AND unique_ratio < .6),
+  t AS (SELECT (SELECT max(rows) FROM x)::DOUBLE AS rows, (SELECT count(*) FROM x WHERE lhs)::DOUBLE AS lhs_columns, (SELECT count(*) FROM x WHERE rhs)::DOUBLE AS rhs_columns,
+    (SELECT coalesce(greatest(avg(signal), quantile_cont(signal, .75)), 0) FROM i WHERE lhs) AS identifier_strength, (SELECT coalesce(greatest(avg(v), quantile_cont(v, .75)), 0) FROM lo) AS low_card_strength,
+    (SELECT coalesce(greatest(avg(v), quantile_cont(v, .75)), 0) FROM hi) AS high_card_strength, (SELECT coalesce(quantile_cont(n, .5), 0) FROM pt) AS pattern_median, (SELECT coalesce(quantile_cont(n, .75), 0) FROM pt) AS pattern_p75),
+  d AS (SELECT *, identifier_strength * low_card_strength AS ids, greatest(high_card_strength, identifier_strength * low_card_strength) AS need, greatest(.7, least(.88, .88 - .18 * greatest(high_card_strength, .5 * low_card_strength))) AS bar FROM t),
+  z AS (SELECT rows, lhs_columns, rhs_columns, identifier_strength, low_card_strength, high_card_strength, pattern_median, pattern_p75, greatest(12, least(48, 12 + 36 * high_card_strength)) AS support_beta,
+    CASE WHEN high_card_strength >= .45 THEN 2 ELSE 3 END::DOUBLE AS min_support_count, greatest(.01, least(.02, .02 - .01 * high_card_strength)) AS min_retained_mass, bar AS min_s_ent, bar AS min_s_acc, bar AS min_score,
+    greatest(.35, least(.8, .8 - .45 * need)) AS model_score_weight, greatest(.04, least(.1, .04 + .06 * high_card_strength)) AS delta_gain,
+    greatest(-.02, least(.08, -.02 + .1 * greatest(identifier_strength, .3 * high_card_strength))) AS min_direction_margin, greatest(0, least(.25, .25 * least(1, pattern_p75 / 5000) * least(1, lhs_columns / 15))) AS min_weighted_non_null_ratio,
+    CASE WHEN lhs_columns >= 8 AND high_card_strength >= .3 THEN 3 ELSE 2 END::DOUBLE AS max_lhs_size FROM d)
+  SELECT name, round(value, 6) AS value FROM (UNPIVOT (SELECT COLUMNS(*)::DOUBLE FROM z) ON COLUMNS(*) INTO NAME name VALUE value)"""
+
+
+@query(_SUMMARY)
 def profile_summary(spark, sf_dir):
     """What the profile says about the table, and the settings tuned to it."""
-    rows = profile.profile(sales(spark, sf_dir), overrides=SALES_FAMILIES).collect()
+    rows = profile.profile(sales(spark, sf_dir)).collect()
     summary = profile.summarize(rows, max(r["rows"] for r in rows), Settings())
     fitted = profile.tuned(Settings(), summary)
-    names = [n for n in ("support_beta", "min_support_count", "min_retained_mass", "min_s_ent", "min_s_acc", "min_score", "model_score_weight", "delta_gain", "min_direction_margin", "min_weighted_non_null_ratio")]
+    names = ["support_beta", "min_support_count", "min_retained_mass", "min_s_ent", "min_s_acc", "min_score", "model_score_weight", "delta_gain", "min_direction_margin", "min_weighted_non_null_ratio", "max_lhs_size"]
     pairs = [(k, float(v)) for k, v in vars(summary).items()] + [(n, float(getattr(fitted, n))) for n in names]
-    return spark.createDataFrame(pairs, "name string, value double")
-
-
-@query()
+    return rounded(spark.createDataFrame(pairs, "name string, value double"))
+
+
+@query(f"""WITH {SALES_SQL}, c AS (SELECT l_partkey, l_returnflag AS a, count(*) AS k FROM w GROUP BY ALL),
+  p AS (SELECT l_partkey, sum(k)::BIGINT AS n, greatest(0, ln(sum(k)) - sum(k * ln(k)) / sum(k)) AS entropy, max(k) / sum(k) AS top1, pow(sum(k) + 1, .75) AS priority FROM c GROUP BY 1),
+  o AS (SELECT *, row_number() OVER (ORDER BY priority DESC, l_partkey) AS pos, count(*) OVER () AS total FROM p), tail AS (SELECT * FROM o WHERE pos > 100),
+  r AS (SELECT *, floor(sum(priority) OVER (ORDER BY pos) / sum(priority) OVER () * 200 + .5) AS step FROM tail), h AS (SELECT *, step > coalesce(lag(step) OVER (ORDER BY pos), 0) AS hit FROM r),
+  f AS (SELECT *, sum((NOT hit)::INT) OVER (ORDER BY pos) - 1 AS f, sum((NOT hit)::INT) OVER () AS frees, 200 - sum(hit::INT) OVER () AS want FROM h),
+  i AS (SELECT *, -((-f * (want - 1)) // greatest(frees - 1, 1)) AS i0 FROM f),
+  chosen AS (SELECT l_partkey FROM o WHERE pos <= 100 OR total <= 300 UNION SELECT l_partkey FROM i WHERE hit OR (want > 0 AND (f = 0 OR (want > 1 AND i0 < want AND i0 * (frees - 1) // (want - 1) = f)))),
+  q AS (SELECT p.* FROM p SEMI JOIN chosen USING (l_partkey))
+  SELECT l_partkey, n, n AS eff, round(entropy, 6) AS entropy, round(top1, 6) AS top1, 1::DOUBLE AS non_null_ratio, round(priority, 6) AS priority, round(n / sum(n) OVER (), 6) AS weight, round(n / (n + 12.0), 6) AS empirical_weight FROM q""")
 def support_budget(spark, sf_dir):
     """Head and tail of a capped support table."""
     s = Settings(max_support_rows=300, support_head_rows=100)
@@ -347,31 +376,50 @@ def _union(parts: list[str]) -> str:
     return " UNION ALL ".join(f"({p})" for p in parts)
 
 
-_LEVEL1 = f"""{SALES_SQL}, c AS ({_union([f"SELECT {i} AS cand, '{a}' AS lhs, '{b}' AS rhs, {a}::VARCHAR AS x, {b}::VARCHAR AS a, count(*) AS k FROM w GROUP BY {a}, {b}" for i, (a, b) in enumerate(PAIRS)])}),
+def _counts_sql(wanted) -> str:
+    """c: cand, lhs, rhs, x (left values), a (right value), k of all candidates."""
+    parts = [f"SELECT {i} AS cand, '{','.join(lhs)}' AS lhs, '{rhs}' AS rhs, concat_ws('|', {', '.join(lhs)}) AS x, {rhs}::VARCHAR AS a, count(*) AS k FROM w GROUP BY {', '.join(lhs)}, {rhs}" for i, (lhs, rhs) in enumerate(wanted)]
+    return f"c AS MATERIALIZED ({_union(parts)})"
+
+
+def _scores_sql(wanted, keeps: str = "true", before: str = "") -> str:
+    """c and what follows from it: m (marginals), p (patterns), z (strengths), y (coverage)."""
+    return f"""{SALES_SQL}, {before}{_counts_sql(wanted)},
   mc AS (SELECT cand, a, sum(k) AS k FROM c GROUP BY ALL),
   m AS (SELECT cand, ln(sum(k)) - sum(k * ln(k)) / sum(k) AS h, max(k) / sum(k) AS t, count(*) AS v FROM mc GROUP BY cand),
-  p AS (SELECT cand, lhs, rhs, x, sum(k) AS n, greatest(0, ln(sum(k)) - sum(k * ln(k)) / sum(k)) AS ent, max(k) / sum(k) AS top FROM c GROUP BY ALL),
+  p AS (SELECT cand, lhs, rhs, x, sum(k) AS n, greatest(0, ln(sum(k)) - sum(k * ln(k)) / sum(k)) AS ent, max(k) / sum(k) AS top FROM c GROUP BY ALL HAVING {keeps}),
   z AS (SELECT cand, lhs, rhs, count(*) AS support_rows, sum(n) AS tot, sum(n) / (SELECT count(*) FROM w) AS retained_mass,
     sum(n * greatest(0, least(1, 1 - ent / greatest(h, .05 * ln(greatest(v + 4, 2)), 1e-12)))) / sum(n) AS s_ent, sum(n * greatest(0, least(1, (top - t) / greatest(1 - t, 1e-12)))) / sum(n) AS s_acc
     FROM p JOIN m USING (cand) GROUP BY cand, lhs, rhs),
   y AS (SELECT *, .75 + .25 * (2 * least(1, ln(1 + support_rows) / ln(65)) + least(1, retained_mass / .1) + 1) / 4 AS coverage FROM z)"""
 
 
-def pair_scores(spark, sf_dir, pairs=None, settings: Settings = EMPIRICAL) -> DataFrame:
-    """Scores of some pairs over all rows of the sales table, with ratios that leave the
-    identifier steps out."""
-    pairs = pairs or PAIRS
-    w = counts.hashed(sales(spark, sf_dir), sorted({c for p in pairs for c in p}))
-    patterns = counts.pattern_stats(counts.batched_contingency(w, [(i, (a,), b) for i, (a, b) in enumerate(pairs)]), ["cand", "lhs"])
-    meta = candidate_meta(spark, [(i, [a], b, 0.0, 0.5, 100, False, 1.0) for i, (a, b) in enumerate(pairs)])
-    return core_scores(patterns, counts.marginal_stats(w, w.columns), meta, w.count(), settings)
+_LEVEL1 = _scores_sql(PAIRS)
+
+
+def pair_scores(spark, sf_dir, wanted=PAIRS, settings: Settings = EMPIRICAL, facts: dict | None = None) -> DataFrame:
+    """Scores of candidates over all rows of the sales table.  ``facts`` has the profile's
+    row of each column; without it, no column counts as an identifier or as high-card."""
+    w = counts.hashed(sales(spark, sf_dir), sorted({c for lhs, rhs in wanted for c in (*lhs, rhs)}))
+    meta = []
+    for i, (lhs, rhs) in enumerate(wanted):
+        signal = sum(identifier_value(facts[c]["role"], facts[c]["unique_ratio"], settings) for c in lhs) / len(lhs) if facts else 0.0
+        sparse = any(facts[c]["unique_ratio"] > settings.high_card_lhs_unique_ratio for c in lhs) if facts else False
+        meta.append((i, list(lhs), rhs, signal, facts[rhs]["unique_ratio"] if facts else 0.5, facts[rhs]["unique_count"] if facts else 100, sparse, 1.0))
+    patterns = counts.pattern_stats(counts.contingencies(w, wanted), ["cand", "lhs"])
+    return core_scores(patterns, counts.marginal_stats(w, w.columns), candidate_meta(spark, meta), w.count(), settings)
+
+
+def _sides() -> list:
+    """Names for both sides of a candidate."""
+    return [F.concat_ws(",", "lhs_columns").alias("lhs"), F.col("rhs_column").alias("rhs")]
 
 
 @query(f"""WITH {_LEVEL1} SELECT lhs, rhs, support_rows, round(retained_mass, 6) AS retained_mass, round(s_ent, 6) AS s_ent, round(s_acc, 6) AS s_acc, round(coverage, 6) AS coverage_factor,
   round(greatest(0, least(1, (.6 * s_ent + .4 * s_acc) * coverage)), 6) AS score FROM y""")
 def fd_level1_scores(spark, sf_dir):
     found = pair_scores(spark, sf_dir)
-    return rounded(found.select(F.col("lhs_columns")[0].alias("lhs"), F.col("rhs_column").alias("rhs"), "support_rows", "retained_mass", "s_ent", "s_acc", "coverage_factor", "score"))
+    return rounded(found.select(*_sides(), "support_rows", "retained_mass", "s_ent", "s_acc", "coverage_factor", "score"))
 
 
 @query(f"""WITH {_LEVEL1}, q AS (SELECT cand, x, sum(k) AS n, (max(k) - 1) AS mx, greatest(0, ln(sum(k)) - sum(k * ln(k)) / sum(k)) AS ent FROM c GROUP BY ALL),
@@ -381,54 +429,58 @@ def fd_level1_scores(spark, sf_dir):
   SELECT lhs, rhs, round(o.e, 6) AS model_s_ent, round(o.acc, 6) AS model_s_acc, round(s_ent, 6) AS empirical_s_ent, round(s_acc, 6) AS empirical_s_acc FROM z JOIN o USING (cand)""")
 def fd_backoff_scores(spark, sf_dir):
     found = pair_scores(spark, sf_dir, settings=Settings())
-    return rounded(found.select(F.col("lhs_columns")[0].alias("lhs"), F.col("rhs_column").alias("rhs"), "model_s_ent", "model_s_acc", "empirical_s_ent", "empirical_s_acc"))
+    return rounded(found.select(*_sides(), "model_s_ent", "model_s_acc", "empirical_s_ent", "empirical_s_acc"))
 
 
 @query(f"WITH {_LEVEL1} SELECT lhs, rhs, round(1 - sum(mx) / sum(n), 6) AS g3 FROM (SELECT lhs, rhs, x, max(k) AS mx, sum(k) AS n FROM c GROUP BY ALL) GROUP BY ALL")
 def fd_g3_error(spark, sf_dir):
-    w = counts.hashed(sales(spark, sf_dir), sorted({c for p in PAIRS for c in p}))
-    each = counts.pattern_stats(counts.batched_contingency(w, [(i, (a,), b) for i, (a, b) in enumerate(PAIRS)]), ["cand", "lhs"])
+    w = counts.hashed(sales(spark, sf_dir), SALES)
+    each = counts.pattern_stats(counts.contingencies(w, PAIRS), ["cand", "lhs"])
     g = each.groupBy("cand").agg((1 - F.sum(F.round(F.col("top1") * F.col("eff"))) / F.sum("eff")).alias("g3"))
-    names = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(PAIRS)], "cand int, lhs string, rhs string")
-    return rounded(g.join(names, "cand").select("lhs", "rhs", "g3"))
+    return rounded(g.join(_named(spark), "cand").select("lhs", "rhs", "g3"))
+
+
+def _named(spark) -> DataFrame:
+    return spark.createDataFrame([(i, ",".join(lhs), rhs) for i, (lhs, rhs) in enumerate(PAIRS)], "cand int, lhs string, rhs string")
 
 
 @query(f"WITH {_LEVEL1} SELECT lhs, rhs, round(coverage, 6) AS coverage FROM y")
 def fd_coverage_factor(spark, sf_dir):
     t = pair_scores(spark, sf_dir)
     c = coverage_factor(F.col("support_rows"), F.col("effective_support_rows"), F.col("effective_retained_mass"), F.col("weighted_non_null_ratio"), EMPIRICAL)
-    return rounded(t.select(F.col("lhs_columns")[0].alias("lhs"), F.col("rhs_column").alias("rhs"), c.alias("coverage")))
+    return rounded(t.select(*_sides(), c.alias("coverage")))
 
 
-_FUSED = [("a", .9, .8, .95, .9, .0, .01, 5, 40, 40, .5), ("b", .4, .2, .99, .98, 1.0, .3, 5000, 200, 180, .9), ("c", .7, .7, .5, .4, .7, .1, 100, 8, 8, .05), ("d", .2, .1, .95, .95, .9, .5, 9000, 30, 30, .3), ("e", .1, .1, .97, .96, .8, .005, 3, 500, 500, 1.0), ("f", 1.0, 1.0, 1.0, 1.0, .0, .15, 300, 100, 100, .2)]
-_FUSED_COLUMNS = "name, model_s_ent, model_s_acc, empirical_s_ent, empirical_s_acc, identifier, rhs_unique_ratio, rhs_unique, support_rows, effective_support_rows, effective_retained_mass"
+_PROFILE = f"{_CELLS}, {_STATS}, {_ROLES}".replace("c AS (", "cells AS (", 1).replace("FROM c GROUP", "FROM cells GROUP").replace("m AS (SELECT", "roles AS (SELECT", 1) + ", "
 
 
-@query(f"""WITH c({_FUSED_COLUMNS}) AS (VALUES {', '.join(map(str, _FUSED))}),
-  f AS (SELECT *, .6 * model_s_ent + .4 * model_s_acc AS ms, .75 + .25 * (least(1, ln(1 + support_rows) / ln(65)) + least(1, ln(1 + effective_support_rows) / ln(65)) + least(1, effective_retained_mass / .1) + 1) / 4 AS cov,
-    greatest(0, least(1, (rhs_unique_ratio - .02) / .18)) AS high, 1 - greatest(0, least(1, (rhs_unique_ratio - .02) / .10)) AS low, rhs_unique_ratio <= .02 OR rhs_unique BETWEEN 1 AND 16 AS few,
-    greatest(model_s_ent, model_s_acc) >= .3 AS backed, greatest(empirical_s_acc - model_s_acc, 0) AS gap FROM c),
-  g AS (SELECT *, NOT few OR backed AS trusted, greatest(0, least(.9, (.05 + .12 * sqrt(greatest(high, .25 * low)) + .55 * high * identifier + CASE WHEN identifier >= .65 THEN (.6 * high + .15 * low * cov) * identifier ELSE 0 END) * cov)) AS b FROM f),
+@query(f"""WITH {_scores_sql(PAIRS, 'sum(k) >= CASE WHEN lhs IN (SELECT "column" FROM s WHERE unique_ratio > .01) THEN 2 ELSE 1 END', _PROFILE)},
+  l AS (SELECT cand, n, h, t, v, ent, top, CASE WHEN n > 1 THEN .25 / (n - 1 + .25) ELSE 1 END AS lean, CASE WHEN n > 1 THEN (top * n - 1) / (n - 1) ELSE 0 END AS lo FROM p JOIN m USING (cand)),
+  o AS (SELECT cand, sum(n * greatest(0, least(1, ((1 - lean) * lo + lean * t - t) / greatest(1 - t, 1e-12)))) / sum(n) AS model_s_acc,
+    sum(n * greatest(0, least(1, 1 - ((1 - lean) * ent + lean * h) / greatest(h, .05 * ln(greatest(v + 4, 2)), 1e-12)))) / sum(n) AS model_s_ent FROM l GROUP BY cand),
+  f0 AS (SELECT y.lhs, y.rhs, o.model_s_ent, o.model_s_acc, y.s_ent AS empirical_s_ent, y.s_acc AS empirical_s_acc, support_rows AS effective_support_rows, coverage AS cov, sr.unique_ratio AS u,
+    CASE WHEN ml.role IN ('identifier', 'quasi_identifier') THEN 1 ELSE greatest(0, least(1, (ml.unique_ratio - .65) / .25)) END AS identifier, sr.unique_count AS rhs_unique
+    FROM y JOIN o USING (cand) JOIN roles ml ON ml."column" = y.lhs JOIN s sr ON sr."column" = y.rhs),
+  f1 AS (SELECT *, greatest(0, least(1, (u - .02) / .18)) AS high, 1 - greatest(0, least(1, (u - .02) / .10)) AS low, u <= .02 OR rhs_unique BETWEEN 1 AND 16 AS few,
+    greatest(model_s_ent, model_s_acc) >= .3 AS backed, greatest(empirical_s_acc - model_s_acc, 0) AS gap FROM f0),
+  g AS (SELECT *, NOT few OR backed AS trusted, greatest(0, least(.9, (.05 + .12 * sqrt(greatest(high, .25 * low)) + .55 * high * identifier + CASE WHEN identifier >= .65 THEN (.6 * high + .15 * low * cov) * identifier ELSE 0 END) * cov)) AS b FROM f1),
   h AS (SELECT *, gap > .15 AND empirical_s_acc >= .9 AND effective_support_rows >= 10 AND trusted AS boosted FROM g),
   i AS (SELECT *, CASE WHEN boosted THEN greatest(0, least(.9, b + least(gap, .75) * greatest(CASE WHEN few THEN .35 ELSE 1 END, high))) ELSE b END * (1 - CASE WHEN boosted THEN .24 ELSE .8 END) AS wt FROM h),
   j AS (SELECT *, model_s_ent + (empirical_s_ent - model_s_ent) * CASE WHEN empirical_s_ent >= model_s_ent THEN wt ELSE wt / 2 END AS e0, model_s_acc + (empirical_s_acc - model_s_acc) * CASE WHEN empirical_s_acc >= model_s_acc THEN wt ELSE wt / 2 END AS a0,
     CASE WHEN identifier >= .65 AND empirical_s_acc >= .9 AND trusted THEN .7 * identifier * greatest(high, .35) ELSE 0 END AS pull FROM i),
   k AS (SELECT *, greatest(0, least(1, e0 + pull * greatest(empirical_s_ent - e0, 0))) AS s_ent, greatest(0, least(1, a0 + pull * greatest(empirical_s_acc - a0, 0))) AS s_acc FROM j)
-  SELECT name, round(wt, 6) AS empirical_bonus_weight, round(s_ent, 6) AS s_ent, round(s_acc, 6) AS s_acc, round(greatest(0, least(1, (.6 * s_ent + .4 * s_acc) * cov)), 6) AS score FROM k""")
+  SELECT lhs, rhs, round(wt, 6) AS empirical_bonus_weight, round(s_ent, 6) AS s_ent, round(s_acc, 6) AS s_acc, round(greatest(0, least(1, (.6 * s_ent + .4 * s_acc) * cov)), 6) AS score FROM k""")
 def fd_fused_scores(spark, sf_dir):
-    kinds = "name string, model_s_ent double, model_s_acc double, empirical_s_ent double, empirical_s_acc double, identifier double, rhs_unique_ratio double, rhs_unique long, support_rows long, effective_support_rows long, effective_retained_mass double"
-    rows = spark.createDataFrame(_FUSED, kinds).withColumns({"weighted_non_null_ratio": F.lit(1.0), "group_factor": F.lit(1.0)})
-    return rounded(fused(rows, Settings()).select("name", "empirical_bonus_weight", "s_ent", "s_acc", "score"))
-
+    """Every pair as the search scores it, with the roles and ratios of the profile."""
+    facts = {r["column"]: r for r in profile.profile(sales(spark, sf_dir)).collect()}
+    found = pair_scores(spark, sf_dir, settings=Settings(), facts=facts)
+    return rounded(found.select(*_sides(), "empirical_bonus_weight", "s_ent", "s_acc", "score"))
 
-_TWO = [("c_nationkey", "r_name"), ("r_name", "c_nationkey"), ("l_partkey", "p_brand"), ("p_brand", "l_partkey"), ("n_name", "c_nationkey"), ("c_nationkey", "n_name")]
-_LEVEL1_TWO = _LEVEL1.replace(_union([f"SELECT {i} AS cand, '{a}' AS lhs, '{b}' AS rhs, {a}::VARCHAR AS x, {b}::VARCHAR AS a, count(*) AS k FROM w GROUP BY {a}, {b}" for i, (a, b) in enumerate(PAIRS)]), _union([f"SELECT {i} AS cand, '{a}' AS lhs, '{b}' AS rhs, {a}::VARCHAR AS x, {b}::VARCHAR AS a, count(*) AS k FROM w GROUP BY {a}, {b}" for i, (a, b) in enumerate(_TWO)]))
 
-
-@query(f"WITH {_LEVEL1_TWO} SELECT f.lhs, f.rhs, round(f.s_acc, 6) AS model_s_acc, round(coalesce(b.s_acc, 0), 6) AS reverse_score, round(f.s_acc - coalesce(b.s_acc, 0), 6) AS direction_margin FROM z f LEFT JOIN z b ON f.lhs = b.rhs AND f.rhs = b.lhs")
+@query(f"WITH {_LEVEL1} SELECT f.lhs, f.rhs, round(f.s_acc, 6) AS model_s_acc, round(coalesce(b.s_acc, 0), 6) AS reverse_score, round(f.s_acc - coalesce(b.s_acc, 0), 6) AS direction_margin FROM z f LEFT JOIN z b ON f.lhs = b.rhs AND f.rhs = b.lhs")
 def fd_reverse_margin(spark, sf_dir):
-    t = reverse_margins(pair_scores(spark, sf_dir, _TWO))
-    return rounded(t.select(F.col("lhs_columns")[0].alias("lhs"), F.col("rhs_column").alias("rhs"), "model_s_acc", "reverse_score", "direction_margin"))
+    t = reverse_margins(pair_scores(spark, sf_dir))
+    return rounded(t.select(*_sides(), "model_s_acc", "reverse_score", "direction_margin"))
 
 
 def _holdout_sql(lhs: list[str], rhs: str) -> str:
@@ -496,7 +548,11 @@ def calibration_brier_ece(spark, sf_dir):
     return rounded(estimate.brier_and_ece(w.where("split = 'train'"), w.where("split = 'val'"), ["l_returnflag"], "o_orderstatus"))
 
 
-@query()
+@query(f"""WITH {SALES_SQL}, {_WSPLIT}, t AS (SELECT * FROM ws WHERE split = 'train'), m AS (SELECT o_orderstatus AS a, count(*) / (SELECT count(*) FROM t) AS m FROM t GROUP BY 1),
+  c AS (SELECT l_returnflag AS x, o_orderstatus AS a, count(*) AS k FROM t GROUP BY ALL), d AS (SELECT x, a, (k + m) / (sum(k) OVER (PARTITION BY x) + 1) AS p FROM c JOIN m USING (a)), g(t) AS (VALUES (0.25), (0.5), (0.75), (1.0), (1.5), (2.0), (3.0), (4.0)),
+  s AS (SELECT x, t, sum(pow(p, 1 / t)) AS mass FROM d, g GROUP BY ALL), v AS (SELECT l_returnflag AS x, o_orderstatus AS a, count(*) AS n FROM ws WHERE split = 'val' GROUP BY ALL),
+  l AS (SELECT t, sum(-ln(greatest(coalesce(pow(p, 1 / t), 0) / mass, 1e-12)) * n) AS loss FROM v JOIN s USING (x) LEFT JOIN d USING (x, a) GROUP BY t)
+  SELECT arg_min(t, loss)::DOUBLE AS temperature FROM l""")
 def calibration_temperature(spark, sf_dir):
     w = split_sales(spark, sf_dir)
     t = estimate.fit_temperature(w.where("split = 'train'"), w.where("split = 'val'"), ["l_returnflag"], "o_orderstatus")
@@ -530,34 +586,35 @@ def violations(df: DataFrame, lhs: list[str], rhs: str) -> DataFrame:
     return df.join(majority, lhs).where(F.col(rhs) != F.col("expected"))
 
 
-GOLDEN = [("c_nationkey", "n_name"), ("c_nationkey", "r_name"), ("n_regionkey", "r_name"), ("l_partkey", "p_brand"), ("l_suppkey", "s_nationkey")]
+_EXACT = "e AS (SELECT lhs, rhs FROM (SELECT cand, lhs, rhs, x, count(*) AS n FROM c GROUP BY ALL) GROUP BY cand, lhs, rhs HAVING max(n) = 1)"
 
 
-@query("SELECT 0.75::DOUBLE AS precision, 0.6::DOUBLE AS recall, 0.6667::DOUBLE AS f1")
-def fd_evaluate(spark, sf_dir):
-    found = [((a,), b) for a, b in GOLDEN[:3]] + [(("l_quantity",), "p_brand")]
-    return evaluate(rules_frame(spark, found), rules_frame(spark, [((a,), b) for a, b in GOLDEN]))
+@query(f"WITH {SALES_SQL}, {_counts_sql(PAIRS)}, {_EXACT} SELECT lhs, rhs FROM e")
+def fd_exact_rules(spark, sf_dir):
+    """Pairs that hold without exception: no left side with two right sides."""
+    each = counts.contingencies(counts.hashed(sales(spark, sf_dir), SALES), PAIRS).groupBy("cand", "lhs").agg(F.count(F.lit(1)).alias("n"))
+    return each.groupBy("cand").agg(F.max("n").alias("most")).where("most = 1").join(_named(spark), "cand").select("lhs", "rhs")
 
 
-_EXACT = _union([f"SELECT '{a}' AS lhs, '{b}' AS rhs, max(n) AS most FROM (SELECT count(DISTINCT {b}) AS n FROM w GROUP BY {a})" for a, b in [*PAIRS, *GOLDEN[:1]]])
+@query(f"""WITH {_LEVEL1}, {_EXACT}, f AS (SELECT lhs, rhs FROM y WHERE .6 * s_ent + .4 * s_acc >= .3), t AS (SELECT (SELECT count(*) FROM f SEMI JOIN e USING (lhs, rhs)) AS hits, (SELECT count(*) FROM f) AS found, (SELECT count(*) FROM e) AS truth)
+  SELECT round(hits / found, 4) AS precision, round(hits / truth, 4) AS recall, round(2 * (hits / found) * (hits / truth) / (hits / found + hits / truth), 4) AS f1 FROM t""")
+def fd_evaluate(spark, sf_dir):
+    """How well a low bar on the plain strengths finds the exact rules."""
+    strength = 0.6 * F.col("empirical_s_ent") + 0.4 * F.col("empirical_s_acc")
+    found = pair_scores(spark, sf_dir).where(strength >= 0.3).select(F.col("lhs_columns").alias("lhs"), F.col("rhs_column").alias("rhs"))
+    return evaluate(found, fd_exact_rules(spark, sf_dir).select(F.array("lhs").alias("lhs"), "rhs"))
 
 
-@query(f"WITH {SALES_SQL}, e AS ({_EXACT}) SELECT lhs, rhs FROM e WHERE most = 1")
-def fd_exact_rules(spark, sf_dir):
-    """Pairs that hold without exception: as many distinct pairs as left sides."""
-    pairs = [*PAIRS, *GOLDEN[:1]]
-    w = counts.hashed(sales(spark, sf_dir), sorted({c for p in pairs for c in p}))
-    each = counts.batched_contingency(w, [(i, (a,), b) for i, (a, b) in enumerate(pairs)]).groupBy("cand", "lhs").agg(F.count(F.lit(1)).alias("n"))
-    names = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "cand int, l string, r string")
-    return each.groupBy("cand").agg(F.max("n").alias("most")).where("most = 1").join(names, "cand").select(F.col("l").alias("lhs"), F.col("r").alias("rhs"))
+_FEW = ["l_returnflag", "l_linestatus", "o_orderstatus", "o_orderpriority", "c_nationkey", "n_name", "r_name", "p_brand"]
+_WIDER = [(lhs, rhs) for n in (1, 2) for lhs in itertools.combinations(_FEW, n) for rhs in _FEW if rhs not in lhs]
 
 
-@query("""WITH c(lhs, rhs, score) AS (VALUES (['a'], 'c', 0.96), (['a', 'b'], 'c', 0.99), (['b'], 'd', 0.40), (['a', 'b'], 'd', 0.93), (['a', 'b', 'e'], 'd', 0.95))
-  SELECT array_to_string(lhs, ',') AS lhs, rhs, score::DOUBLE AS score FROM c WHERE NOT EXISTS (SELECT 1 FROM c s WHERE s.rhs = c.rhs AND len(s.lhs) < len(c.lhs) AND list_has_all(c.lhs, s.lhs) AND (c.score - s.score <= .08 OR (s.score >= .95 AND c.score - s.score < .08)))""")
+@query(f"""WITH {_scores_sql(_WIDER)}, d AS (SELECT string_split(lhs, ',') AS l, lhs, rhs, (.6 * s_ent + .4 * s_acc) * coverage AS score FROM y)
+  SELECT lhs, rhs, round(score, 6) AS score FROM d WHERE NOT EXISTS (SELECT 1 FROM d s WHERE s.rhs = d.rhs AND len(s.l) < len(d.l) AND list_has_all(d.l, s.l) AND (d.score - s.score <= .08 OR (s.score >= .95 AND d.score - s.score < .08)))""")
 def fd_minimality(spark, sf_dir):
-    rows = [(["a"], "c", 0.96), (["a", "b"], "c", 0.99), (["b"], "d", 0.40), (["a", "b"], "d", 0.93), (["a", "b", "e"], "d", 0.95)]
-    c = spark.createDataFrame(rows, "lhs array<string>, rhs string, score double")
-    return minimal_rules(c).select(F.concat_ws(",", "lhs").alias("lhs"), "rhs", "score")
+    """Left sides of one or two columns that gain enough over what is in them."""
+    found = pair_scores(spark, sf_dir, _WIDER).select(F.col("lhs_columns").alias("lhs"), F.col("rhs_column").alias("rhs"), "score")
+    return rounded(minimal_rules(found).select(F.concat_ws(",", "lhs").alias("lhs"), "rhs", "score"))
 
 
 def minimal_rules(candidates: DataFrame, floor: float = 0.08) -> DataFrame:
@@ -577,12 +634,11 @@ def _search_rows(spark, sf_dir, columns=SALES, **options):
 
 @query()
 def fd_search_full(spark, sf_dir):
-    """The whole search with left sides of up to two columns, over the columns of orders'
-    lines, customers and parts that are no amounts."""
-    return _search_rows(spark, sf_dir, [*SALES_KEY, "l_returnflag", "l_linestatus", "o_orderstatus", "o_orderpriority", "c_nationkey", "c_mktsegment", "n_name", "r_name", "p_brand", "p_type"], max_lhs_size=2)
+    """The whole search over all columns, with the settings that the profile asks for."""
+    return _search_rows(spark, sf_dir)
 
 
-@query(f"WITH {SALES_SQL}, e AS (" + _union([f"SELECT '{a}' AS lhs, '{b}' AS rhs, max(n) AS most FROM (SELECT count(DISTINCT {b}) AS n FROM w GROUP BY {a})" for a in SALES for b in SALES if a != b]) + ") SELECT lhs, rhs FROM e WHERE most = 1")
+@query(f"WITH {SALES_SQL}, {_counts_sql(PAIRS)}, {_EXACT} SELECT lhs, rhs FROM e")
 def fd_search_level1(spark, sf_dir):
     """The rules that a search of single columns finds: on this table, the exact ones."""
     return _search_rows(spark, sf_dir, max_lhs_size=1).select("lhs", "rhs")
@@ -591,18 +647,22 @@ def fd_search_level1(spark, sf_dir):
 @query(f"WITH {SALES_SQL} SELECT l_returnflag, l_linestatus AS rhs, count(*) AS k FROM w GROUP BY ALL")
 def streamed_contingency(spark, sf_dir):
     """Counts kept by a stream over the lineitem table, once it has read it all."""
+    import tempfile
     import uuid
 
-    from depsift.streaming.maintain import running_contingency, start
+    from depsift.streaming.maintain import current, running_contingency, start
 
     one = f"{sf_dir}/lineitem.parquet"
     schema = spark.read.parquet(one).schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(one if not one.endswith(".parquet") or _is_folder(spark, one) else one.replace("lineitem.parquet", "{lineitem}.parquet"))
-    name = f"counts_{uuid.uuid4().hex[:8]}"
-    q = start(running_contingency(stream, ["l_returnflag"], "l_linestatus"), name)
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='depsift-')}"
+    if "spark.checkpoint.dir" not in dict(spark.sparkContext.getConf().getAll()) and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    place = f"{folder.rstrip('/')}/counts-{uuid.uuid4().hex}"
+    q = start(running_contingency(stream, ["l_returnflag"], "l_linestatus"), place)
     q.processAllAvailable()
     q.stop()
-    return spark.table(name).select("l_returnflag", "rhs", "k")
+    return current(spark, place).select("l_returnflag", "rhs", "k")
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:

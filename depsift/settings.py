@@ -7,14 +7,16 @@ from dataclasses import asdict, dataclass, fields, replace
 
 @dataclass(frozen=True)
 class Settings:
-    """Everything that a search can be told.  Names follow what they bound."""
+    """Everything that a search can be told.  Names follow what they bound; defaults are
+    fixed values.  Without ``max_lhs_size``, the profile decides between two and three
+    columns, and two is what an untuned search takes."""
 
     # rows and vocabularies
     continuous_bins: int = 32
     rare_token_min_freq: int = 1
     # candidates
     mode: str = "balanced"
-    max_lhs_size: int = 3
+    max_lhs_size: int | None = None
     lhs_allow: tuple[str, ...] = ()
     lhs_block: tuple[str, ...] = ()
     rhs_allow: tuple[str, ...] = ()
@@ -87,11 +89,15 @@ class Settings:
     backoff_strength: float = 0.25
 
     def __post_init__(self) -> None:
-        if self.max_lhs_size < 1:
+        if self.max_lhs_size is not None and self.max_lhs_size < 1:
             raise ValueError(f"max_lhs_size must be 1 or more, not {self.max_lhs_size}")
         if self.mode not in ("strict", "balanced", "permissive"):
             object.__setattr__(self, "mode", "balanced")
 
+    @property
+    def widest(self) -> int:
+        return self.max_lhs_size or 2
+
     def with_options(self, **options) -> Settings:
         return replace(self, **options)
 

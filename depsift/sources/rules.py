@@ -10,6 +10,7 @@ from collections.abc import Iterable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 Rule = tuple[tuple[str, ...], str]
 
@@ -101,14 +102,57 @@ def fingerprint(df: DataFrame, options: dict) -> str:
     return hashlib.sha256(json.dumps([df.schema.json(), options, files], sort_keys=True, default=str).encode()).hexdigest()
 
 
-def prepared(df: DataFrame, folder: str, options: dict, build) -> DataFrame:
-    """What ``build(df)`` gives, kept as Parquet by split; built again only if the
-    fingerprint changed."""
-    spark, mark, now = df.sparkSession, Path(folder) / "manifest.json", fingerprint(df, options)
-    if mark.exists() and json.loads(mark.read_text())["fingerprint"] == now:
+def _read_text(spark: SparkSession, path: str) -> str | None:
+    """A file of any store that Spark reads, None if there is none."""
+    jvm = spark._jvm
+    file = jvm.org.apache.hadoop.fs.Path(path)
+    files = file.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(file):
+        return None
+    stream = files.open(file)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    """The same for writing: to a name of its own first, then renamed."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    file, own = fs.Path(path), fs.Path(f"{path}.{os.getpid()}.new")
+    files = file.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = files.create(own, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    files.delete(file, False)
+    files.rename(own, file)
+
+
+def prepared(df: DataFrame, folder: str, options: dict, build, *, force: bool = False) -> DataFrame:
+    """What ``build(df)`` gives, kept as Parquet by split with its schema and a summary
+    (rows of each split, columns); built again only if the fingerprint changed, or by
+    ``force``."""
+    spark, mark, now = df.sparkSession, f"{folder}/manifest.json", fingerprint(df, options)
+    told = _read_text(spark, mark)
+    if told and not force and json.loads(told)["fingerprint"] == now:
         return spark.read.parquet(f"{folder}/data")
-    writer = build(df).write.mode("overwrite")
     built = build(df)
-    (writer.partitionBy("split") if "split" in built.columns else writer).parquet(f"{folder}/data")
-    _replace(mark, json.dumps({"fingerprint": now, "options": options}, default=str))
-    return spark.read.parquet(f"{folder}/data")
+    writer = built.write.mode("overwrite")
+    split = "split" in built.columns
+    (writer.partitionBy("split") if split else writer).parquet(f"{folder}/data")
+    done = spark.read.parquet(f"{folder}/data")
+    rows = {r[0]: r[1] for r in done.groupBy("split").count().collect()} if split else {"all": done.count()}
+    _write_text(spark, f"{folder}/schema.json", built.schema.json())
+    _write_text(spark, f"{folder}/summary.json", json.dumps({"rows": rows, "rows_total": sum(rows.values()), "columns": built.columns, "options": options, "fingerprint": now}, default=str))
+    _write_text(spark, mark, json.dumps({"fingerprint": now, "options": options}, default=str))
+    return done
+
+
+def read_schema(spark: SparkSession, folder: str) -> StructType:
+    """The schema that ``prepared`` saved."""
+    text = _read_text(spark, f"{folder}/schema.json")
+    if text is None:
+        raise FileNotFoundError(f"{folder}/schema.json")
+    return StructType.fromJson(json.loads(text))

@@ -37,11 +37,18 @@ def first_rows(df: DataFrame, n: int, *key: str) -> DataFrame:
     return df.orderBy(*key).limit(n)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table read by fewer tasks than there are cores, dealt to all of them; larger tables
+    are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem with its order, customer, nation, region, part and supplier."""
     t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("lineitem", "orders", "customer", "nation", "region", "part", "supplier")}
     return (
-        t["lineitem"]
+        spread(t["lineitem"])
         .join(t["orders"], F.col("l_orderkey") == F.col("o_orderkey"))
         .join(t["customer"], F.col("o_custkey") == F.col("c_custkey"))
         .join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -26,7 +26,20 @@ def running_contingency(stream: DataFrame, lhs: Sequence[str], rhs: str, *, even
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("k"))
 
 
-def start(counts: DataFrame, name: str, *, mode: str = "complete", checkpoint: str | None = None) -> StreamingQuery:
-    """Keep the table ``name`` in memory up to date; for a store, write in foreachBatch."""
-    writer = counts.writeStream.format("memory").queryName(name).outputMode(mode)
+def start(counts: DataFrame, folder: str, *, mode: str = "complete", checkpoint: str | None = None) -> StreamingQuery:
+    """Write every state of the counts below ``folder``, as a table of its own for each
+    batch, by the executors; ``current`` reads the newest that is whole."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/{number}")
+
+    writer = counts.writeStream.foreachBatch(write).outputMode(mode)
     return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+
+
+def current(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest finished table of ``start``."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = [int(s.getPath().getName()) for s in files.listStatus(top) if files.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    return spark.read.parquet(f"{folder}/{max(done)}")

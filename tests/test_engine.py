@@ -116,6 +116,71 @@ def test_budget_keeps_its_size(spark):
         assert counts.support(df, ["l"], "r", Settings(max_support_rows=limit, support_head_rows=head)).count() == min(limit, 700)
 
 
+@pytest.mark.parametrize("limit, head", [(60, 10), (41, 40), (30, 30), (90, 0)])
+def test_budget_takes_head_and_spread_of_the_tail(spark, limit, head):
+    import bisect
+
+    r = random.Random(limit)
+    rows = [(c, f"{c}{i:03}") for c in "ab" for i in range(100) for _ in range(r.choice([1, 1, 2, 3, 5, 8, 40]))]
+    patterns = spark.createDataFrame(rows, "cand string, l string").groupBy("cand", "l").count().select("cand", "l", F.pow(F.col("count") + 1.0, F.lit(0.75)).alias("priority"))
+    known = [tuple(x) for x in patterns.collect()]
+    s = Settings(max_support_rows=limit, support_head_rows=head)
+    got = {(x["cand"], x["l"]) for x in counts.budget(patterns, ["l"], s, by=["cand"]).collect()}
+    one = {x["l"] for x in counts.budget(patterns.where("cand = 'a'").drop("cand"), ["l"], s).collect()}
+    assert one == {l for c, l in got if c == "a"}
+    for cand in "ab":
+        order = sorted(((p, l) for c, l, p in known if c == cand), key=lambda x: (-x[0], x[1]))
+        tail, rest = order[head:], limit - head
+        run, total = [], sum(p for p, _ in tail)
+        for p, _ in tail:
+            run.append((run[-1] if run else 0) + p)
+        taken = {min(bisect.bisect_left(run, (i + 0.5) / rest * total), len(tail) - 1) for i in range(rest)}
+        free = [i for i in range(len(tail)) if i not in taken]
+        want = rest - len(taken)
+        taken |= {free[i * (len(free) - 1) // max(want - 1, 1)] for i in range(want)}
+        assert {l for c, l in got if c == cand} == {l for _, l in order[:head]} | {tail[i][1] for i in taken}
+
+
+def test_capped_and_batched_scores_agree(spark):
+    df, s = planted(spark, 3000, 0.2), Settings(max_support_rows=20, support_head_rows=5)
+    job = Search(df, s, key_columns=["row_id"], tune=False)
+    job.score([(("a",), "b")], 0.0)
+    assert job.scored[("a",), "b"].support_rows == 20
+    job.close()
+
+
+def test_orders_and_quantiles_in_buckets(spark):
+    from depsift.operators.order import numbered, place_in
+
+    r = random.Random(5)
+    values = [r.choice([r.random() * 100, float(r.randrange(5)), float("inf") if r.random() < 0.05 else -3.0]) for _ in range(3000)]
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "v double, i int")
+    got = numbered(df, [F.col("v"), F.col("i")], place_in(F.col("v"), F.array(F.lit(0.0), F.lit(3.0), F.lit(50.0))), sums={"run": F.col("i")}).orderBy("__at").collect()
+    order, run = sorted((v, i) for i, v in enumerate(values)), 0
+    for at, (x, (v, i)) in enumerate(zip(got, order, strict=True), 1):
+        run += i
+        assert (x["__at"], x["v"], x["i"], x["run"]) == (at, v, i, run)
+    finite = [v for v in values if v != float("inf")]
+    import numpy as np
+
+    edges = tokens.quantiles(df.withColumn("w", F.when(F.col("v") < 1e9, F.col("v"))), {"a": F.col("w"), "none": F.lit(None), "one": F.lit(7)}, 32)
+    assert edges["a"] == pytest.approx(sorted(set(np.quantile(finite, [i / 32 for i in range(33)]).tolist())))
+    assert edges["none"] == [0.0, 1.0] and edges["one"] == [7.0, 8.0]
+
+
+def test_tokens_fold_forms(spark):
+    df = spark.createDataFrame([("ﬁne", "x"), ("fine", "y"), (None, "①")], "a string, b string")
+    got = tokens.tokens(df, {"a": "categorical", "b": "categorical"}).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([("fine", "x"), ("fine", "y"), (None, "1")], key=repr)
+
+
+def test_widest_left_side_follows_the_profile():
+    many = profile.Summary(100, 8, 8, 0.0, 0.0, 0.3, 0.0, 0.0)
+    few = profile.Summary(100, 7, 8, 0.0, 0.0, 0.9, 0.0, 0.0)
+    assert profile.tuned(Settings(), many).widest == 3 and profile.tuned(Settings(), few).widest == 2
+    assert profile.tuned(Settings(max_lhs_size=1), many).widest == 1 and Settings().widest == 2
+
+
 def test_more_columns_never_agree_less(spark):
     df = planted(spark, 1500, 0.2)
 
@@ -255,26 +320,28 @@ def test_command_line(spark, tmp_path, capsys):
     assert "a->b" in capsys.readouterr().out
     summary = json.loads((tmp_path / "o" / "summary.json").read_text())
     assert summary["recall"] == 1.0 and (tmp_path / "o" / "results.jsonl").read_text().count("\n") == summary["candidates_kept"]
-    for _ in range(2):
-        assert cli.main(["preprocess", table, "--key", "row_id", "--output", str(tmp_path / "p")]) == 0
+    for more in ([], [], ["--force"]):
+        assert cli.main(["preprocess", table, "--key", "row_id", "--output", str(tmp_path / "p"), *more]) == 0
+    assert json.loads((tmp_path / "p" / "summary.json").read_text())["rows_total"] == 800
+    assert rules.read_schema(spark, str(tmp_path / "p")).fieldNames()[0] == "split"
     assert cli.main(["calibrate", table, "--key", "row_id", "--output", str(tmp_path / "p"), "--lhs", "a", "--rhs", "b"]) == 0
     assert "temperature" in capsys.readouterr().out
     assert cli.main(["profile", table, "--sample-rows", "100"]) == 0
 
 
 def test_stream_follows_new_rows(spark, tmp_path):
-    from depsift.streaming.maintain import running_contingency, start
+    from depsift.streaming.maintain import current, running_contingency, start
 
     folder = str(tmp_path / "in")
     one = spark.createDataFrame([("x", "1"), ("x", None), (None, "1")], "l string, r string")
     one.write.parquet(folder)
-    q = start(running_contingency(spark.readStream.schema(one.schema).parquet(folder), ["l"], "r"), "followed")
+    q = start(running_contingency(spark.readStream.schema(one.schema).parquet(folder), ["l"], "r"), str(tmp_path / "out"))
     q.processAllAvailable()
-    assert sorted(map(repr, map(tuple, spark.table("followed").collect()))) == sorted(map(repr, [("x", "1", 1), ("x", None, 1)]))
+    assert sorted(map(repr, map(tuple, current(spark, str(tmp_path / "out")).collect()))) == sorted(map(repr, [("x", "1", 1), ("x", None, 1)]))
     one.write.mode("append").parquet(folder)
     q.processAllAvailable()
     q.stop()
-    assert {r["k"] for r in spark.table("followed").collect()} == {2}
+    assert {r["k"] for r in current(spark, str(tmp_path / "out")).collect()} == {2}
 
 
 def test_entry_points():
