@@ -3,15 +3,22 @@
 A document is its ids and an end id; documents longer than a sequence, and no
 others, are cut into full pieces and a rest.  Pieces are dealt out at random to
 tasks, and each task packs blocks of ``BLOCK`` of them by best fit, longest first.
-Bins that are nearly full are done.  In a packed block no two bins fit together and
-at most one is no more than half full, so what later rounds can still join is that
-bin and bins with room for it: each block passes its ``PASS`` emptiest unfinished
-bins on and closes the others.  Passed bins are the items of the next round, which
-has an eighth of the tasks, until one block is left.  Nothing but rows of a few
-numbers is shuffled; a bin number is looked up once a round.
-
-Defined cases: a null or empty text is the end id alone; rows with the same doc_id
-are packed each; without rows there are no sequences.
+Bins with less room than ``SLACK`` are done.  Underfull bins are the items of the next
+round, which has an eighth of the tasks, until one block is left.
+
+Of the underfull bins, a block passes on all that a later round can join.  No two bins
+of a packed block fit together, so one at most is no more than half full, and a join
+needs such a bin: when n blocks meet, there are n - 1 joins at most, each with one bin
+that was more than half full.  Over all rounds ahead, that is less than two blocks for
+each of the ``FAN_IN`` tasks that meet, a round.  So ``enough`` bins of a block, the
+emptiest, are as good as all: where any other bin would do, one of these is left and
+has as much room.  What a task gets is bounded by that, whatever the sizes are.
+Nothing but rows of a few numbers is shuffled; a bin number is looked up once a round.
+
+Defined cases: a null or empty text is the end id alone; a text of any length is cut
+into as many pieces as it takes; rows with the same doc_id, repeated rows among them, are
+packed each; ties go to the item that came first; without rows there are no sequences.
+Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +35,7 @@ from depsift.llm.shared import keep, ship
 
 CAPACITY, END = 2048, 0
 #: Pieces that a task packs at once; a bin with less room than ``SLACK`` is done.
-BLOCK, PASS, FAN_IN = 1 << 16, 32, 8
+BLOCK, FAN_IN = 1 << 16, 8
 SLACK = CAPACITY // 64
 
 
@@ -59,7 +66,20 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
     return bins, offsets, capacity - np.array(room, np.int64)
 
 
-def _pack(capacity: int, last: bool):
+def rounds(tasks: int) -> int:
+    """Rounds after one of so many tasks."""
+    ahead = 0
+    while tasks > 1:
+        tasks, ahead = -(-tasks // FAN_IN), ahead + 1
+    return ahead
+
+
+def enough(tasks: int) -> int:
+    """Underfull bins of a block that the rounds ahead can use."""
+    return 2 * FAN_IN * rounds(tasks)
+
+
+def _pack(capacity: int, last: bool, most: int):
     """(item, size) batches -> (item, bin, offset, held, open)."""
 
     def run(batches):
@@ -72,7 +92,7 @@ def _pack(capacity: int, last: bool):
             unfinished = np.flatnonzero(held < capacity - SLACK)
             passed = np.zeros(len(held), bool)
             if not last:
-                passed[unfinished[np.argsort(held[unfinished], kind="stable")][:PASS]] = True
+                passed[unfinished[np.argsort(held[unfinished], kind="stable")][:most]] = True
             number = (task << 34) + made + np.arange(len(held))
             made += len(held)
             return pa.RecordBatch.from_arrays([pa.array(x) for x in (items, number[bins], offsets, held[bins], passed[bins])], ["item", "bin", "offset", "held", "open"])
@@ -96,7 +116,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     tasks, level, done = max(1, -(-n // BLOCK)), 0, None
     while True:
         last = tasks == 1
-        placed = keep(items.select("item", F.col("size").cast("long").alias("size")).repartition(tasks).mapInArrow(_pack(capacity, last), "item long, bin long, offset long, held long, open boolean"), "packed")
+        placed = keep(items.select("item", F.col("size").cast("long").alias("size")).repartition(tasks).mapInArrow(_pack(capacity, last, enough(tasks)), "item long, bin long, offset long, held long, open boolean"), "packed")
         number = F.col("bin") + (level << 58)
         if done is None:
             done = placed.select("item", number.alias("sequence_id"), "offset")

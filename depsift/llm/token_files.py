@@ -19,8 +19,13 @@ task opens a new file after ``FILE_IDS`` ids.  It writes to a name of its own an
 renames, so a repeated task replaces what a lost one wrote, and only files of the
 table of finished files are read back.
 
-Defined cases: a null or empty text is the end id alone; rows with the same doc_id
-follow one another; rows without doc_id come first; no rows, no files.
+Documents are read back one by one: where each ends is selected from the code, so a
+reader holds no table of offsets.
+
+Defined cases: a null or empty text is the end id alone; a text of any length is one
+document of one file; rows with the same doc_id, repeated rows among them, follow one
+another, in any order; rows without doc_id come first; no rows, no files.  Other columns
+are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +33,7 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -187,14 +193,15 @@ def _reader(batches):
     for batch in batches:
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
             file = TokenFile(content.as_py())
-            ends = file.ends.all().astype(np.int64)
-            starts = np.concatenate([[0], ends[:-1]])
-            crcs = [zlib.crc32(file.ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-            names = pa.array([os.path.basename(path)] * len(ends))
-            yield pa.RecordBatch.from_arrays(
-                [names, pa.array(file.doc_ids(), pa.int64()), pa.array(starts), pa.array(ends - starts), pa.array(crcs, pa.int64())],
-                ["__file", "doc_id", "__start", "n_tokens", "ids_crc32"],
-            )
+            starts, counts, crcs, start = array("q"), array("q"), array("q"), 0
+            for i in range(file.documents):
+                end = file.ends.select(i)
+                starts.append(start), counts.append(end - start)
+                crcs.append(zlib.crc32(file.ids[start:end].astype("<u4").tobytes()))
+                start = end
+            columns = (pa.array(np.frombuffer(x, np.int64)) for x in (starts, counts, crcs))
+            names = pa.array([os.path.basename(path)] * file.documents)
+            yield pa.RecordBatch.from_arrays([names, pa.array(file.doc_ids(), pa.int64()), *columns], ["__file", "doc_id", "__start", "n_tokens", "ids_crc32"])
 
 
 def read_tokens(files: DataFrame, folder: str) -> DataFrame:

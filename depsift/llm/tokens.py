@@ -5,11 +5,16 @@ the ids of a piece can be kept: texts repeat their words far more often than the
 bring new ones.  The pieces are found here, with the pattern of the vocabulary, and
 merged by the model of the tokenizers library.  Texts with letters beyond the Latin
 blocks, or with white space on which pattern engines differ, go to the library as a
-whole.  Special tokens that occur in a text are ordinary text.
+whole, as do those that may hold an added token of the vocabulary.  So ids are those of
+the library's ``encode(text, add_special_tokens=False)``.  A vocabulary file that splits
+texts in another way than the two known ones is left to the library altogether.
+
+Defined cases: a null or empty text has no ids.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
@@ -20,6 +25,19 @@ from functools import lru_cache
 #: The patterns of the two vocabularies, for texts of the Latin blocks.
 _WORD_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 _BYTE_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: How the files of the two vocabularies say that they split a text.
+_BYTE_FILE = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}, "end_of_word_suffix": None}
+_WORD_FILE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "end_of_word_suffix": "</w>",
+}
 #: Letters beyond these blocks, numbers that aren't digits, odd white space.
 _UNSURE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\xb2\xb3\xb9\xbc-\xbeɐ-\U0010ffff]")
 #: Pieces that an encoder keeps before it starts over; about 200 bytes each.
@@ -57,20 +75,28 @@ class _Kept(dict):
 
 class Encoder:
     """ids(text) of one vocabulary file; ``cut`` splits a text into the pieces that are
-    merged on their own, or gives None if it isn't sure of them."""
+    merged on their own, or gives None if it isn't sure of them.  It is used if the file
+    splits texts as ``known`` says."""
 
-    def __init__(self, path: str, cut: Callable[[str], list[str] | None], most: int):
+    def __init__(self, path: str, cut: Callable[[str], list[str] | None], known: dict, most: int):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.cut, self.kept, self.most = cut, _Kept(self.tokenizer.model), most
+        with open(path, encoding="utf-8") as file:
+            says = json.load(file)
+        model = says["model"]
+        plain = not (model.get("dropout") or model.get("unk_token") or model.get("continuing_subword_prefix") or model.get("byte_fallback") or model.get("ignore_merges"))
+        as_known = plain and known == {"normalizer": says["normalizer"], "pre_tokenizer": says["pre_tokenizer"], "end_of_word_suffix": model.get("end_of_word_suffix")}
+        # What added tokens begin with, up to their first letter: texts without that hold none.
+        self.marks = {re.match(r"[\W_]*", t["content"])[0] for t in says["added_tokens"]}
+        self.cut = cut if as_known and "" not in self.marks else lambda text: None
+        self.kept, self.most = _Kept(self.tokenizer.model), most
 
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        pieces = self.cut(text)
+        pieces = None if any(m in text for m in self.marks) else self.cut(text)
         if pieces is None:
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if len(self.kept) > self.most:
@@ -95,10 +121,10 @@ def _pieces(text: str) -> list[str] | None:
 def word_bpe(path: str | None = None) -> Encoder:
     """Lower-cased words without white space between them; one encoder a process, so that
     the tasks of a Python worker share its pieces."""
-    return Encoder(path or vocabulary("word_bpe_49k.json"), _words, KEPT_WORDS)
+    return Encoder(path or vocabulary("word_bpe_49k.json"), _words, _WORD_FILE, KEPT_WORDS)
 
 
 @lru_cache(None)
 def byte_bpe(path: str | None = None) -> Encoder:
     """Byte-level ids; a blank belongs to the word after it.  One encoder a process."""
-    return Encoder(path or vocabulary("byte_bpe_50k.json"), _pieces, KEPT_BYTES)
+    return Encoder(path or vocabulary("byte_bpe_50k.json"), _pieces, _BYTE_FILE, KEPT_BYTES)

@@ -329,7 +329,6 @@ def library(name):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -349,6 +348,34 @@ def test_encoders_agree_with_the_library():
             assert np.frombuffer(raw, "<u4").tolist() == ids(t), t
 
 
+def test_special_tokens_in_texts():
+    from depsift.llm.tokens import byte_bpe, word_bpe
+
+    assert np.frombuffer(byte_bpe().ids("<|endoftext|>"), "<u4").tolist() == [50256]
+    assert np.frombuffer(word_bpe().ids("<|startoftext|><|endoftext|>"), "<u4").tolist() == [49406, 49407]
+
+
+def test_a_vocabulary_with_another_pattern(tmp_path):
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from depsift.llm.tokens import byte_bpe, word_bpe
+
+    r = random.Random(11)
+    texts = ["".join(r.choice("ab éC1.,'\n ") for _ in range(40)) for _ in range(200)]
+    for make, name in ((byte_bpe, "byte_bpe_50k.json"), (word_bpe, "word_bpe_49k.json")):
+        with open(public_tokenizers.path(name), encoding="utf-8") as file:
+            other = json.load(file)
+        other["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}
+        path = tmp_path / name
+        path.write_text(json.dumps(other), encoding="utf-8")
+        library_ids = Tokenizer.from_file(str(path))
+        for t in texts:
+            assert np.frombuffer(make(str(path)).ids(t), "<u4").tolist() == library_ids.encode(t, add_special_tokens=False).ids
+
+
 def test_token_files(spark, docs, none, tmp_path, monkeypatch):
     files = token_files.write_tokens(docs, f"file://{tmp_path}/a")
     rows = token_files.read_tokens(files, f"file://{tmp_path}/a").collect()
@@ -421,6 +448,22 @@ def test_packing_in_rounds(spark, monkeypatch):
     assert len(held) <= 1.05 * sum(r["size"] for r in rows) / 2048
 
 
+def test_bins_that_are_passed_on_are_enough(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    # Every bin of a block has room, and one is small; each small one finds a partner.
+    monkeypatch.setattr(packing, "BLOCK", 200)
+    monkeypatch.setattr(packing, "FAN_IN", 2)
+    size = F.when(F.col("id") % 50 == 0, 900).otherwise(1100)
+    items = spark.range(3200).select(F.col("id").alias("item"), size.alias("size"))
+    used = {}
+    for most in (packing.enough, lambda tasks: 10**9):
+        monkeypatch.setattr(packing, "enough", most)
+        used[most] = packing.pack(items).select("sequence_id").distinct().count()
+    assert set(used.values()) == {3200 - 64}
+    assert packing.rounds(1) == 0 and packing.rounds(9) == 4
+
+
 # --- toxicity -----------------------------------------------------------------
 
 
