@@ -15,13 +15,16 @@ below ``spark.sql.autoBroadcastJoinThreshold`` and shuffles otherwise.
 
 Skew: the distinct blocks and pairs come from partially aggregated ``distinct``s,
 and the joins that hand names back are plain sort-merge joins, which adaptive
-execution splits where one block belongs to a third of all rows.
-
-Defined cases: a null text counts as empty; all empty texts are equal.  Rows that
-repeat a doc_id are rows of their own: ``group_size`` counts each, and exactly one
-row of a group stays (of several rows with the largest doc_id, any one).  A null
-doc_id is below every other.  Other columns pass through untouched, whatever
-their names.
+execution splits where one block belongs to a third of all rows.  A group's verdict is
+handed back to rows of a few numbers, by a join that is split likewise; texts and other
+columns meet their verdict by a number of their own.
+
+Defined cases: a null text counts as empty; all empty texts are equal; a text of any
+length is named whole; an empty table gives an empty one.  Rows that repeat, or repeat a
+doc_id, are rows of their own: ``group_size`` counts each, and exactly one row of a group
+stays (of several rows with the largest doc_id, any one).  A null doc_id is below every
+other.  Other columns pass through untouched, whatever their names, but for one named
+``__dedup``, which is replaced.
 """
 
 from __future__ import annotations
@@ -71,11 +74,11 @@ def identify(texts: DataFrame, block_chars: int) -> DataFrame:
 def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 2048, border_chars: int = 32, carry: list[str] | None = None) -> DataFrame:
     """Return the ``carry`` columns (all, if none are named) of every row with
     ``keep_id``, ``group_size``, ``kept`` and ``text_sha256`` in a struct ``__dedup``."""
-    carry = docs.columns if carry is None else carry
+    carry = [c for c in docs.columns if c != "__dedup"] if carry is None else carry
     text = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
     raw = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
-        F.struct(*carry).alias("__row"),
+        F.struct(*(f"`{c}`" for c in carry)).alias("__row"),
         F.col(id_col).alias("__id"),
         text.alias("__text"),
         F.xxhash64(F.octet_length(raw), *(ascii_lower(f(raw, F.lit(border_chars))) for f in (F.left, F.right))).alias(_KEY),
@@ -88,16 +91,13 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     close = keep(rows.join(tied, _KEY, "left_semi").withColumn("__uid", F.monotonically_increasing_id()), "close")
     ident = keep(identify(close.select("__uid", "__text"), block_chars), "ident")
-    named = close.select("__uid", "__row", "__id", sha).join(ident, "__uid")
+    members = close.select("__uid", "__id").join(ident, "__uid")
     # Most texts that may have a copy have none; only real groups are handed back.
-    groups = (
-        close.select("__uid", "__id").join(ident, "__uid")
-        .groupBy("__level", "__name")
-        .agg(F.max(F.struct("__id", "__uid")).alias("__best"), F.count(F.lit(1)).alias("group_size"))
-        .where("group_size > 1")
-    )
+    groups = members.groupBy("__level", "__name").agg(F.max(F.struct("__id", "__uid")).alias("__best"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
+    verdicts = members.join(keep(groups, "groups"), ["__level", "__name"]).select("__uid", "__best", "group_size")
+    named = close.select("__uid", "__row", "__id", sha).join(verdicts, "__uid", "left")
     single = F.col("group_size").isNull()
-    grouped = named.join(groups, ["__level", "__name"], "left").select(
+    grouped = named.select(
         "__row",
         F.struct(
             F.when(single, F.col("__id")).otherwise(F.col("__best.__id")).alias("keep_id"),

@@ -13,8 +13,10 @@ by a sort-merge join that adaptive execution splits.  Texts are read twice and
 shuffled once.
 
 Defined cases: a null text counts as empty; lines without a word neither count nor go;
-documents of fewer than three lines keep all; rows with the same doc_id stand at the
-same places and remove nothing from one another there; a null doc_id is below all others.
+documents of fewer than three lines keep all; lines and texts are read whole, whatever
+their length; rows with the same doc_id, repeated rows among them, stand at the same
+places and remove nothing from one another there; a null doc_id is below all others; an
+empty table gives an empty one.  Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -33,7 +33,9 @@ and once a round for the sets of such nodes.
 
 Defined cases: null text counts as empty; a document without words has no set and
 is its own component; one with fewer words than a shingle has its whole sequence as
-its only shingle.  Rows with the same doc_id are rows of their own.
+its only shingle; a text of any length gives all its shingles.  Rows with the same
+doc_id, repeated rows among them, are rows of their own, and linked as their texts are.
+An empty table gives an empty one.  Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -365,6 +367,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         joined = members.join(roots.withColumnRenamed("node", "__node"), "__node", "left").withColumn("__c", F.coalesce("root", "__node"))
     # Most documents are alone; only components of two rows or more are handed back.
     least = joined.where("__n > 0").groupBy("__c").agg(F.struct(F.min("__row").alias("id")).alias("__least"), F.count(F.lit(1)).alias("__rows")).where("__rows > 1")
+    least = keep(least, "least")  # a join of two tables is split where a component is large
     component = F.when((F.col("__n") > 0) & F.col("__least").isNotNull(), F.col("__least.id")).otherwise(F.col("__row"))
     return joined.join(least, "__c", "left").select("__row", F.struct(F.col("__n").alias("n_shingles"), component.alias("component_id")).alias("__near"))
 

@@ -21,8 +21,10 @@ compared by their 64-bit hash within one document.
 
 Defined cases: null text has no words and fails; null language is a stratum; a
 document with several labels is good if all of them are 1; null labels don't
-count.  Without labels, nothing but the base rules applies.  Rows that repeat are
-judged alike.  Other columns pass through untouched.
+count.  Without labels, nothing but the base rules applies; an empty table gives an
+empty one.  Texts are measured whole, whatever their length.  Repeated rows are judged
+alike.  Of cutoffs that tie, the higher counts.  Other columns pass through untouched,
+whatever their names, but for one named ``__quality``, which is replaced.
 """
 
 from __future__ import annotations
@@ -150,8 +152,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_c
     """The ``carry`` columns (all, if none are named) of every row of ``docs`` with a
     struct ``__quality``: the features, ``base_failed`` and ``kept``.  The carried columns
     are written once with the features, so every text is measured once."""
-    carry = docs.columns if carry is None else carry
-    measured = keep(features(docs, text_col).select(F.struct(*carry).alias("__row"), F.col(id_col).alias("__id"), F.col(stratum_col).alias("__stratum"), "__f"), "features")
+    carry = [c for c in docs.columns if c != "__quality"] if carry is None else carry
+    rows = docs.select(F.struct(*(f"`{c}`" for c in carry)).alias("__row"), F.col(id_col).alias("__id"), F.col(stratum_col).alias("__stratum"), F.col(text_col).alias("__text"))
+    measured = keep(features(rows, "__text").drop("__text"), "features")
     cuts = keep(cutoffs(measured.select("__id", "__stratum", "__f"), labels, risk=risk, error=error), "cutoffs")
     passed = ~base_failed()
     for rule in RULES:

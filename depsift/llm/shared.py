@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import tempfile
 import time
@@ -10,6 +11,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-_own_folder: dict[str, str] = {}
+_folders: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,21 +27,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables.
+    """The folder of this application for intermediate tables, deleted when the driver ends.
 
-    It is what ``spark.checkpoint.dir`` names.  Only a local session may do
+    It lies in what ``spark.checkpoint.dir`` names.  Only a local session may do
     without that setting; it then gets a folder of its own.
     """
-    conf = spark.sparkContext.getConf()
-    if folder := conf.get("spark.checkpoint.dir", None):
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own_folder:
-        _own_folder[app] = holder = tempfile.mkdtemp(prefix="depsift-")
-        atexit.register(__import__("shutil").rmtree, holder, True)
-    return f"file://{_own_folder[app]}"
+    context = spark.sparkContext
+    app = context.applicationId
+    if app not in _folders:
+        top = context.getConf().get("spark.checkpoint.dir", None)
+        if not top and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        _folders[app] = f"{top.rstrip('/')}/depsift-{app}" if top else f"file://{tempfile.mkdtemp(prefix='depsift-')}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(_folders[app])
+        atexit.register(_clear, path.getFileSystem(spark._jsc.hadoopConfiguration()), path)
+    return _folders[app]
+
+
+def _clear(files, path) -> None:
+    with contextlib.suppress(Py4JError, OSError):  # the JVM may have ended first
+        files.delete(path, True)
 
 
 def keep(df: DataFrame, name: str = "t") -> DataFrame:

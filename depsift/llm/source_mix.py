@@ -14,10 +14,12 @@ table of sources is written and read back; Spark broadcasts it only below
 ``spark.sql.autoBroadcastJoinThreshold``.  The shares are found with windows over
 that table, which has one row a source.
 
-Defined cases: a null text has no words; null is a source of its own, after all
-others; a null doc_id stands where an empty text does; a source without words has the target 0.  Rows with the same doc_id stand
-at one place and are taken together.  Documents stay whole, so a source misses its
-target by half of the document at the threshold at most.
+Defined cases: a null text has no words; a text of any length is counted whole; null is
+a source of its own, after all others; a null doc_id stands where an empty text does; a
+source without words has the target 0; an empty table gives an empty one.  Rows with the
+same doc_id, repeated rows among them, stand at one place and are taken together.
+Documents stay whole, so a source misses its target by half of the document at the
+threshold at most.  Other columns pass through untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -58,7 +60,8 @@ def targets(sizes: DataFrame, weights=(5, 2, 1), share=(3, 2), most=2) -> DataFr
         .withColumn("__total", F.sum("__size").over(all_rows))
         .withColumn("__num", rest_num)
         .withColumn("__den", F.lit(down).cast("long") * F.sum("__w").over(fill.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("__full", F.col("__cap") * F.col("__den") <= F.col("__w") * F.col("__num"))
+        # Sizes times sums of weights may be above 64 bits.
+        .withColumn("__full", F.col("__cap").cast("decimal(20,0)") * F.col("__den").cast("decimal(18,0)") <= F.col("__w").cast("decimal(18,0)") * F.col("__num").cast("decimal(20,0)"))
         .withColumn("__open", F.min(F.when(~F.col("__full"), F.struct(F.col("__cap") / F.col("__w"), F.col("__num").alias("n"), F.col("__den").alias("d")))).over(all_rows))
         .select("__source", "__size", F.when(F.col("__full"), F.col("__cap").cast("double")).otherwise((F.col("__w") * F.col("__open.n")).cast("double") / F.col("__open.d")).alias("__target"))
     )
@@ -111,9 +114,9 @@ def copies(place_col):
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
     cuts = thresholds(keep(sized(docs), "sized"), **options).select(F.col("__s"), "__base", "__cut")
-    taken = docs.join(cuts, F.col("source").eqNullSafe(F.col("__s")))
-    times = copies(place("doc_id"))
-    return taken.where(times > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), times))).select(*[docs[c] for c in docs.columns])
+    rows = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("__row"), place("doc_id").alias("__place"), F.col("source").alias("__source"))
+    taken = rows.join(cuts, F.col("__source").eqNullSafe(F.col("__s"))).withColumn("__times", copies(F.col("__place")))
+    return taken.where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).select("__row.*")
 
 
 def query(spark, sf_dir):

@@ -10,20 +10,24 @@ that one class has hardly seen is judged by what both know.  With discount D,
 
 A document's values are the difference of its two log-likelihoods over its number
 of events, and over the root of that number (how far the first is from chance).  A
-logistic curve turns them into a score; it is fitted on training documents that the
-models have not seen, ``FITTED`` at most, the first by a hash of their ids.
+logistic curve turns them into a score.  It is fitted on the values that models of three
+quarters of the training documents give to the others, of which ``FITTED`` are taken at
+most, the first by a hash of their ids.  The models that score then count all training
+documents.
 
-All labelled documents are counted, in the mappers first and then by n-gram, and the
-probabilities are joined as tables.  What scoring needs is the log ratio of each
+Labelled documents are read once and counted in the mappers first, then by n-gram, and
+the probabilities are joined as tables.  What scoring needs is the log ratio of each
 seen n-gram, and of each context for unseen ones; both are kept whole.  Up to
 ``MODEL`` of them are broadcast as sorted keys and ratios, 16 bytes each (64 MB at
 most).  A larger model stays a table: documents become rows of their n-grams with
 counts, which are joined with it and summed by document.
 
-Defined cases: null or blank texts have no events and the values 0; a document with
-several labels is toxic if one of them is; null labels don't count; without
-documents of both classes to train on and to fit, every score is the share of toxic ones (0 without
-any).  Rows that repeat are scored alike.
+Defined cases: null or blank texts have no events and the values 0; a text of any length
+is read whole, by itself if it is longer than ``CHUNK``; a document with several labels
+is toxic if one of them is; null labels don't count; without documents of both classes
+to train on and to fit, every score is the share of toxic ones (0 without any, as with
+empty tables).  Repeated rows are scored alike.  Other columns are not read, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -78,10 +82,18 @@ def _count(batches):
     for batch in batches:
         for part in _chunks(batch):
             gram, doc = events(part.column("__text").to_pylist())
-            toxic = part.column("__toxic").to_numpy()[doc] > 0
+            kind = part.column("__kind").to_numpy()[doc]
             seen, at = np.unique(gram, return_inverse=True)
-            counts = [np.bincount(at, weights, len(seen)).astype(np.int64) for weights in (~toxic, toxic)]
-            yield pa.RecordBatch.from_arrays([pa.array(seen), *map(pa.array, counts)], ["g", "n0", "n1"])
+            counts = [np.bincount(at, kind == k, len(seen)).astype(np.int64) for k in range(4)]
+            yield pa.RecordBatch.from_arrays([pa.array(seen), *map(pa.array, counts)], ["g", "n0", "n1", "n2", "n3"])
+
+
+def count(texts: DataFrame) -> DataFrame:
+    """(``__text``, ``__kind``) -> g, n0 ... n3: the counts of each n-gram in texts of each
+    kind; 0 and 1 are ordinary and toxic texts, 2 and 3 those that fit the curve."""
+    kinds = [f"n{k}" for k in range(4)]
+    found = texts.mapInArrow(_count, "g long, " + ", ".join(f"{k} long" for k in kinds))
+    return keep(found.groupBy("g").agg(*(F.sum(k).alias(k) for k in kinds)), "grams")
 
 
 def _shared(grams: DataFrame, order: int) -> DataFrame:
@@ -103,10 +115,9 @@ def _shared(grams: DataFrame, order: int) -> DataFrame:
     return keep(rows.select("g", ((F.col("n") - DISCOUNT + DISCOUNT * F.col("types") * back) / F.col("all")).alias("q")), f"shared{order}")
 
 
-def train(texts: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """(``__text``, ``__toxic``) -> log ratios (g, ratio) of all n-grams, (h, other) of
-    all contexts, and how many they are."""
-    grams = keep(texts.mapInArrow(_count, "g long, n0 long, n1 long").groupBy("g").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "grams")
+def train(grams: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(g, n0, n1) -> log ratios (g, ratio) of all n-grams, (h, other) of all contexts,
+    and how many they are."""
     contexts = grams.groupBy(F.shiftright("g", 8).alias("h")).agg(
         *(f(c).alias(f"{name}{c[1]}") for c in ("n0", "n1") for f, name in ((F.sum, "all"), (lambda c: F.count_if(F.col(c) > 0), "types")))
     )
@@ -176,16 +187,16 @@ def _joined(rows: DataFrame, ratios: DataFrame, unseen: DataFrame) -> DataFrame:
     return each.select("__row", (F.col("total") / F.col("n")).alias("__mean"), (F.col("total") / F.sqrt("n")).alias("__far"))
 
 
-def valued(texts: DataFrame) -> Callable[[DataFrame], DataFrame] | None:
-    """Trains on ``texts``; what it returns turns (``__row``, ``__text``) into (``__row``,
-    ``__mean``, ``__far``).  None if there is nothing to learn from."""
-    ratios, unseen, size = train(texts)
+def valued(grams: DataFrame) -> Callable[[DataFrame], DataFrame] | None:
+    """Trains on the counts of n-grams; what it returns turns (``__row``, ``__text``) into
+    (``__row``, ``__mean``, ``__far``).  None if there is nothing to learn from."""
+    ratios, unseen, size = train(grams)
     if not size:
         return None
     if size > MODEL:
         ratios, unseen = keep(ratios, "ratios"), keep(unseen, "unseen")
         return lambda rows: _joined(rows, ratios, unseen)
-    model = texts.sparkSession.sparkContext.broadcast((_sorted(ratios), _sorted(unseen)))
+    model = grams.sparkSession.sparkContext.broadcast((_sorted(ratios), _sorted(unseen)))
     return lambda rows: rows.mapInArrow(_values(model), f"__row {rows.schema['__row'].dataType.simpleString()}, __mean double, __far double")
 
 
@@ -216,15 +227,16 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text
     held = F.coalesce(fold("__row"), F.lit(0)) == 0
     # Labels grow with the documents, so they are not for a broadcast at any size.
     training = rows.join(toxic.hint("merge"), "__row").withColumn("__fold", fold("__row")).where("__fold > 0")
-    values_of = valued(training.where("__fold <= 3").select("__text", "__toxic"))
-    curve = None
+    fits = F.col("__fold") == 4
+    grams = count(training.select("__text", (F.col("__toxic") + F.when(fits, 2).otherwise(0)).alias("__kind")))
+    values_of, curve = valued(grams.where("n0 + n1 > 0").select("g", "n0", "n1")), None
     if values_of:
-        values = values_of(rows)
-        tried = values_of(training.where("__fold = 4").select("__row", "__text")).join(toxic, "__row")
+        tried = values_of(training.where(fits).select("__row", "__text")).join(toxic, "__row")
         found = tried.orderBy(F.xxhash64("__row"), "__row").limit(FITTED).select("__mean", "__far", "__toxic").toArrow()
         mean, far, flag = (found.column(c).to_numpy() for c in ("__mean", "__far", "__toxic"))
         if len(set((flag > 0).tolist())) == 2:
             curve = _logistic(np.column_stack([mean, far]), (flag > 0).astype(float))
+            values = valued(grams.select("g", (F.col("n0") + F.col("n2")).alias("n0"), (F.col("n1") + F.col("n3")).alias("n1")))(rows)
     if not curve:
         share = training.agg(F.avg("__toxic")).first()[0] or 0.0
         return rows.select("__row", held.alias("held_out"), F.lit(float(share)).alias("score"))

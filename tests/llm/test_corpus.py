@@ -97,6 +97,8 @@ def test_mix(spark, docs, none):
     assert again == {s: c["__cut"] for s, c in cuts.items()}
     assert source_mix.mix(none).columns == none.columns and source_mix.mix(none).count() == 0
     assert source_mix.mix(docs).columns == docs.columns
+    clash = docs.selectExpr("*", "1 AS __base", "2 AS __s", "3 AS __cut")
+    assert source_mix.mix(clash).columns == clash.columns and source_mix.mix(clash).count() == source_mix.mix(docs).count()
 
 
 # --- exact dedup --------------------------------------------------------------
@@ -162,6 +164,49 @@ def test_quality_cutoffs_hold_the_risk(spark):
         assert r["p"] == pytest.approx(exact if r["x"] <= 0.02 * r["n"] else 1.0, rel=1e-9)
 
 
+def test_quality_cutoffs_of_every_stratum_are_those_of_the_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    r = random.Random(12)
+    pool = ["w%d" % i for i in range(500)]
+
+    def text(kind):
+        w = r.sample(pool, 60)
+        if kind == "symbols":
+            w = [x + "#" * r.choice([0, 1, 1]) for x in w]
+        elif kind == "repeats":
+            w[30:42] = w[:12]
+        elif kind == "length":
+            w = [x * r.choice([2, 3]) for x in w]
+        lines = [" ".join(w[i : i + 10]) for i in range(0, 60, 10)]
+        return "\n".join(lines + lines[:2] if kind == "lines" else lines)
+
+    docs, labels = [], []
+    for lang in ("en", "de", "fr", None):
+        for i in range(2600):
+            good = i >= 400
+            # A few good documents break rules, fewer than the risk allows in two strata.
+            kind = ["symbols", "repeats", "length", "lines"][i % 4] if not good or i % (400 if lang in ("en", None) else 100) == 0 else "plain"
+            docs.append((len(docs), text(kind), lang, "x", -1))
+            labels.append((docs[-1][0], int(good)))
+    table = spark.createDataFrame(docs, "doc_id long, text string, lang string, __f string, __words int")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int")
+    found = quality_rules.quality_rules(table, marks)
+    rows = {x["doc_id"]: x["__quality"]["kept"] for x in found.collect()}
+    assert found.columns == [*table.columns, "__quality"] and found.where("__f = 'x' AND __words = -1").count() == len(docs)
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(docs, columns=["doc_id", "text", "lang", "f", "w"]).drop(columns=["f", "w"]))
+    con.register("labels", pd.DataFrame(labels, columns=["doc_id", "quality"]))
+    assert rows == dict(con.execute(quality_rules.SQL).df()[["doc_id", "kept"]].itertuples(index=False))
+    measured = quality_rules.features(table.drop("__f", "__words")).selectExpr("doc_id AS __id", "lang AS __stratum", "__f")
+    cuts = {x["__s"]: [x[f"__cut_{rule}"] for rule in quality_rules.RULES] for x in quality_rules.cutoffs(measured, marks, risk=0.02, error=0.05).collect()}
+    assert set(cuts) == {"en", "de", "fr", None}
+    assert all(any(c is not None for c in cuts[s]) for s in ("en", None)) and len({tuple(v) for v in cuts.values()}) > 1
+    lost = Counter(docs[d][2] for d, k in rows.items() if not k and labels[d][1])
+    assert all(n <= 0.02 * 2200 for n in lost.values()) and sum(not k for k in rows.values()) > 400
+
+
 # --- near copies --------------------------------------------------------------
 
 
@@ -501,17 +546,60 @@ def test_toxicity_gives_every_row_a_score(docs, spark):
     assert len(rows) == len(awkward()) and all(0 <= r["score"] <= 1 for r in rows)
 
 
+def brute_kneser_ney(texts):
+    """Log ratios of all 4-grams and contexts, class by class, from the definition; every
+    second text is toxic."""
+    import math
+
+    seen = (Counter(), Counter())
+    for i, t in enumerate(texts):
+        for word in t.lower().encode().split():
+            padded = b"   " + word + b"   "
+            for p in range(3, len(word) + 4):  # the bytes of the word and its end
+                seen[i % 2][padded[p - 3 : p + 1]] += 1
+    d, q, longer = 0.75, {b"": 1 / 256}, set(seen[0]) | set(seen[1])
+    endings = {4: longer}
+    for order in (3, 2, 1):
+        endings[order] = {g[1:] for g in endings[order + 1]}
+    for order in (1, 2, 3):
+        n = Counter(g[1:] for g in endings[order + 1])
+        total, types = Counter(), Counter()
+        for g, k in n.items():
+            total[g[:-1]] += k
+            types[g[:-1]] += 1
+        q |= {g: (k - d + d * types[g[:-1]] * q[g[1:]]) / total[g[:-1]] for g, k in n.items()}
+    total, types = (Counter(), Counter()), (Counter(), Counter())
+    for c in (0, 1):
+        for g, k in seen[c].items():
+            total[c][g[:-1]] += k
+            types[c][g[:-1]] += 1
+
+    def left(c, h):
+        return d * types[c][h] / total[c][h] if total[c][h] else 1.0
+
+    def p(c, g):
+        h = g[:-1]
+        return (max(seen[c][g] - d, 0) / total[c][h] if total[c][h] else 0.0) + left(c, h) * q[g[1:]]
+
+    number = lambda g: int.from_bytes(g, "big")
+    return {number(g): math.log(p(1, g) / p(0, g)) for g in longer}, {number(h): math.log(left(1, h) / left(0, h)) for h in {g[:-1] for g in longer}}
+
+
 def test_toxicity_keeps_every_ratio(spark, monkeypatch):
     r = random.Random(8)
     texts = [" ".join("".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(5)) for _ in range(400)) for _ in range(330)]
     table = spark.createDataFrame([(i, t, i % 2) for i, t in enumerate(texts)], "doc_id long, text string, toxic int").repartition(4)
     rows = table.selectExpr("doc_id AS __row", "text AS __text").unionByName(spark.createDataFrame([(None, None), (0, "another text"), (-1, " ")], "__row long, __text string"))
-    training = table.selectExpr("text AS __text", "toxic AS __toxic")
-    ratios, unseen, size = toxicity.train(training)
+    counted = toxicity.count(table.selectExpr("text AS __text", "toxic AS __kind")).select("g", "n0", "n1")
+    ratios, unseen, size = toxicity.train(counted)
     grams = set(np.concatenate([np.unique(toxicity.events([t])[0]) for t in texts]).tolist())
     of, other = {x["g"]: x["ratio"] for x in ratios.collect()}, {x["h"]: x["other"] for x in unseen.collect()}
     assert len(grams) > 500_000 and set(of) == grams and set(other) == {g >> 8 for g in grams} and size == len(of) + len(other)
 
+    kneser_ney, other_kn = brute_kneser_ney(texts)
+    assert of.keys() == kneser_ney.keys() and max(abs(of[g] - x) for g, x in kneser_ney.items()) < 1e-9
+    assert other.keys() == other_kn.keys() and max(abs(other[h] - x) for h, x in other_kn.items()) < 1e-9
+
     def value(text):
         g = toxicity.events([text])[0].tolist()
         return sum(of.get(x, other.get(x >> 8, 0.0)) for x in g) / max(len(g), 1)
@@ -519,7 +607,7 @@ def test_toxicity_keeps_every_ratio(spark, monkeypatch):
     expected = sorted((repr(x["__row"]), value(x["__text"])) for x in rows.collect())
     for most in (size, size - 1):  # broadcast, joined
         monkeypatch.setattr(toxicity, "MODEL", most)
-        found = sorted((repr(x["__row"]), x["__mean"]) for x in toxicity.valued(training)(rows).collect())
+        found = sorted((repr(x["__row"]), x["__mean"]) for x in toxicity.valued(counted)(rows).collect())
         assert [i for i, _ in found] == [i for i, _ in expected]
         assert [v for _, v in found] == pytest.approx([v for _, v in expected], abs=1e-9)
 
