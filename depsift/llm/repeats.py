@@ -15,16 +15,23 @@ common prefixes reach ``SPAN`` are one string each, and the smallest doc_id of t
 is where the string comes first.  What a segment's first document has to drop are the
 strings that come from even earlier ones.
 
-Skew: a key or segment that a third of all documents have is one short row for each
-of them, and one text.  Only rows of one key need to be together, and a document has
-hundreds of keys, so no key has more than a sliver of the rows.  A shard is sorted a
-chunk of ``CHUNK`` bytes at a time, cut between keys; a key with more different texts
-than fit has a chunk of its own.  Texts are shuffled twice: to cut segments out of
-them, and to remove what was found.
-
-Defined cases: a null text counts as empty; texts under ``SPAN`` bytes keep all; rows
-with the same doc_id are looked at each and remove nothing from one another; a null
-doc_id is below all others.
+Names tell apart what is the same and what may differ: the sort sees one text of each
+different segment of a key, and segments that are the same as a whole need no order.
+
+Skew: a task that has a segment of several documents keeps one row for the key, that of
+the least doc_id; the others are known to have an earlier document, go to any task and
+meet nothing.  So a passage that a third of all documents have is a row a task and
+``HELD`` rows.  A shard is sorted a chunk of ``CHUNK`` bytes at a time, cut between keys.
+A key with more than ``MOST`` different segments (one string of ``GRAM`` bytes in very
+many surroundings) is not for one task: the strings of its segments become rows, and the
+least doc_id of each is found by an aggregate and a join over the strings themselves.
+Texts are shuffled twice: to cut segments out of them, and to remove what was found.
+
+Defined cases: a null text counts as empty; texts under ``SPAN`` bytes keep all; a text
+of any length is read whole, by itself if it is longer than ``READ``; rows with the same
+doc_id, repeated rows among them, are looked at each and remove nothing from one
+another; a null doc_id is below all others; an empty table gives an empty one.  Other
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -43,7 +50,12 @@ SPAN, GRAM = 50, 20
 WINDOW = SPAN - GRAM + 1
 #: Bytes of text that are read, and sorted, at once (one document or key at least).
 READ, CHUNK = 1 << 18, 1 << 21
+#: Rows of segments that a task looks at before it hands them on; different segments of a
+#: key that are sorted together at most.
+HELD, MOST = 1 << 18, 1 << 13
 NULL_ID = -(1 << 63)
+#: Keys are not negative; numbers below 0 take their place in rows that meet nothing.
+KEY_BITS = (1 << 63) - 1
 _U = np.uint64
 
 
@@ -98,7 +110,7 @@ def segments(raws: list[bytes]) -> tuple[np.ndarray, ...]:
     name = (name ^ (name >> _U(29))) * _U(0xBF58476D1CE4E5B9) + (b - a).astype(_U)
     name ^= name >> _U(32)
     starts = at - np.concatenate([[0], ends[:-1]])[doc[at]]
-    return doc[at], starts, stop - at, key[at].view(np.int64), name.view(np.int64)
+    return doc[at], starts, stop - at, key[at].view(np.int64) & KEY_BITS, name.view(np.int64)
 
 
 def _read(batch: pa.RecordBatch, column: str):
@@ -116,15 +128,33 @@ def _read(batch: pa.RecordBatch, column: str):
 
 
 def _keys(batches):
+    """A row for each segment and document of some texts; of a segment that several have,
+    all but that with the least id get a number below 0 for their key."""
+    held: list[tuple] = []
+
+    def hand_on():
+        key, name, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        order = np.lexsort((ids, name, key))
+        key, name, ids = key[order], name[order], ids[order]
+        same = np.zeros(len(key), bool)
+        same[1:] = (key[1:] == key[:-1]) & (name[1:] == name[:-1])
+        new = ~same
+        new[1:] |= ids[1:] != ids[:-1]
+        key = np.where(same, (name ^ ids * np.int64(0x5851F42D4C957F2D)) | np.int64(-1 << 63), key)
+        return pa.RecordBatch.from_arrays([pa.array(x[new]) for x in (key, name, ids)], ["key", "name", "__id"])
+
+    rows = 0
     for batch in batches:
         for part, raws in _read(batch, "__text"):
             doc, _, _, key, name = segments(raws)
-            ids = part.column("__id").to_numpy()[doc]
-            order = np.lexsort((ids, name, key))
-            key, name, ids = key[order], name[order], ids[order]
-            first = np.ones(len(key), bool)
-            first[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1]) | (ids[1:] != ids[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(x[first]) for x in (key, name, ids)], ["key", "name", "__id"])
+            held.append((key, name, part.column("__id").to_numpy()[doc]))
+            rows += len(key)
+            if rows >= HELD:
+                yield hand_on()
+                rows = 0
+    if held:
+        yield hand_on()
 
 
 def _shared(batches):
@@ -133,6 +163,9 @@ def _shared(batches):
     last, several, held = None, False, None  # the last row's key, name and first id; its key's state
     for batch in batches:
         key, name, ids = (batch.column(c).to_numpy() for c in ("key", "name", "__id"))
+        if known := int(np.searchsorted(key, 0)):
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[:known]) for x in (key, name, ids)), pa.array(np.zeros(known, bool))], ["key", "name", "__id", "sort"])
+        key, name, ids = key[known:], name[known:], ids[known:]
         n = len(key)
         if not n:
             continue
@@ -166,8 +199,8 @@ def _shared(batches):
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(m), pa.array(i), pa.array(sort)], ["key", "name", "__id", "sort"])
 
 
-def _cut(batches):
-    """The texts of segments that are to be sorted."""
+def _wanted(batches):
+    """key, name, text and id of the segments whose names are asked for, once a slice."""
     for batch in batches:
         for part, raws in _read(batch, "__text"):
             doc, start, strings, key, name = segments(raws)
@@ -180,11 +213,33 @@ def _cut(batches):
                 a, b = bounds[i], bounds[i + 1]
                 hit = np.flatnonzero(np.isin(name[a:b], values[offsets[i] : offsets[i + 1]])) + a
                 for m, k, p, n in zip(name[hit].tolist(), key[hit].tolist(), start[hit].tolist(), strings[hit].tolist(), strict=True):
-                    rows[m] = (k, raw[p : p + n + SPAN - 1], ids[i])
-            keys, texts, firsts = zip(*rows.values(), strict=True) if rows else ((),) * 3
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(rows, pa.int64()), pa.array(texts, pa.binary()), pa.array(firsts, pa.int64())], ["key", "name", "segment", "first"]
-            )
+                    rows[m] = (k, m, raw[p : p + n + SPAN - 1], ids[i])
+            yield list(rows.values())
+
+
+def _cut(batches):
+    """The texts of segments that are to be sorted."""
+    for rows in _wanted(batches):
+        keys, names, texts, firsts = zip(*rows, strict=True) if rows else ((),) * 4
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(names, pa.int64()), pa.array(texts, pa.binary()), pa.array(firsts, pa.int64())], ["key", "name", "segment", "first"])
+
+
+def _strings(batches):
+    """The strings of segments that are too many to be sorted together."""
+    for rows in _wanted(batches):
+        for _, name, text, first in rows:
+            n = len(text) - SPAN + 1
+            columns = [pa.array([text[p : p + SPAN] for p in range(n)], pa.binary()), pa.array([name] * n, pa.int64()), pa.array([first] * n, pa.int64()), pa.array(range(n), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["string", "name", "__id", "at"])
+
+
+def _of_hot_keys(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """What ``_sort`` finds, for the segments of ``names``, string by string."""
+    cut = texts.join(names.hint("merge"), "__id").select("__id", "__text", "__names")
+    strings = keep(cut.mapInArrow(_strings, "string binary, name long, __id long, at long"), "strings")
+    least = keep(strings.groupBy("string").agg(F.min("__id").alias("least"), F.max("__id").alias("most")).where("least < most"), "least")
+    old = strings.join(least, "string").where("__id > least")
+    return old.groupBy("name", "__id").agg(F.flatten(F.collect_list(F.array("at", F.lit(1).cast("long")))).alias("runs"))
 
 
 def earlier(texts: list[bytes], first: np.ndarray) -> list[list[int]]:
@@ -193,7 +248,7 @@ def earlier(texts: list[bytes], first: np.ndarray) -> list[list[int]]:
     sizes = np.array([len(t) for t in texts])
     whole = np.frombuffer(b"\xff".join(texts) + b"\xff\xfe", np.uint8)
     s = whole + np.uint8(2)  # UTF-8 has neither ff nor fe: ends become 1, the last byte 0
-    order = suffix_array(s, 2 * SPAN)
+    order = suffix_array(s)
     prefix = permuted_common(s, order, SPAN)
     begin = np.concatenate([[0], np.cumsum(sizes + 1)])
     of = np.repeat(np.arange(len(texts) + 1), [*(sizes + 1), 1])
@@ -289,10 +344,16 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     del keys
     settle(spark)
 
-    names = shared.where("sort").groupBy("__id").agg(F.collect_list("name").alias("__names"))
+    sort = shared.where("sort").select("key", "name", "__id")
+    hot = keep(sort.groupBy("key").agg(F.count_distinct("name").alias("n")).where(F.col("n") > MOST).select("key"), "hot")
+    some_hot = not hot.isEmpty()
+    names = (sort.join(hot, "key", "left_anti") if some_hot else sort).groupBy("__id").agg(F.collect_list("name").alias("__names"))
     cut = texts.join(names.hint("merge"), "__id").select("__id", "__text", "__names").mapInArrow(_cut, "key long, name long, segment binary, first long")
     ordered = cut.repartition("key").sortWithinPartitions("key", "name")
     some = keep(ordered.mapInArrow(_sort, "name long, __id long, runs array<long>"), "some")
+    if some_hot:
+        hot_names = sort.join(hot, "key", "left_semi").groupBy("__id").agg(F.collect_list("name").alias("__names"))
+        some = some.unionByName(keep(_of_hot_keys(texts, hot_names), "some-hot"))
     del names, cut, ordered
     settle(spark)
 

@@ -8,11 +8,13 @@ itself, so the work is a few array operations for each bucket and each step of
 its longest run of equal bytes.
 
 The LMS suffixes are ordered the same way at first, by their substrings up to the
-next LMS position; substrings get names in that order, and the text of names,
-which is at most half as long, is sorted in turn.  Its alphabet is about as large
-as itself, so there the recursion takes pairs of names, pairs of pairs and so on,
-until all names differ or reach over ``depth`` bytes: suffixes that agree that far
-stay in any order.
+next LMS position; substrings get names in that order, and the string of names, which
+is at most half as long, is sorted in turn, and so on until all names differ.  Strings of
+names have about as many letters as places, so their buckets hold a suffix or two.  There
+the suffixes of one type are induced all at once: a suffix is ordered by its first
+letter and the next suffix, down to one of the other type, whose order is known.  These
+chains are short; where they tie, the next suffix of the next suffix decides, twice as
+far each time.
 """
 
 from __future__ import annotations
@@ -103,8 +105,80 @@ def common(w: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray | int)
     return np.minimum(out, most)
 
 
-def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of ``s`` (bytes, the last one 0 and no other) by at least ``depth`` bytes."""
+def _group(key: np.ndarray) -> np.ndarray:
+    """For each value, how many are smaller."""
+    order = np.argsort(key)
+    new = np.append(True, key[order[1:]] != key[order[:-1]])
+    out = np.empty(len(key), np.int64)
+    out[order] = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+    return out
+
+
+def _follow(rank: np.ndarray, members: np.ndarray, after: np.ndarray) -> None:
+    """Break ties of ``members`` (positions) in ``rank`` by the rank of what comes ``after``
+    them; positions that come after themselves are in their final order."""
+    n = len(rank) + 1
+    live = members
+    while len(live):
+        far = after[live]
+        last = bool((after[far] == far).all())
+        key = rank[live] * n + rank[far]
+        order = np.argsort(key)
+        live, key = live[order], key[order]
+        group = rank[live]
+        at = np.arange(len(live))
+        new = np.append(True, key[1:] != key[:-1])
+        starts = np.maximum.accumulate(np.where(new, at, 0))
+        firsts = np.maximum.accumulate(np.where(np.append(True, group[1:] != group[:-1]), at, 0))
+        rank[live] = group + starts - firsts
+        sizes = np.diff(np.flatnonzero(new), append=len(live))
+        live = live[np.repeat(sizes > 1, sizes)]
+        if last:
+            return
+        after[members] = after[after[members]]
+
+
+def induced_ranks(t: np.ndarray, smaller: np.ndarray, lms: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Ranks of all suffixes, induced from the order ``key`` of the LMS suffixes; ties in
+    it stay ties."""
+    n = len(t)
+    letter = t * 2 + smaller
+    places = np.arange(n)
+    falling = np.flatnonzero(~smaller)
+    # Those that are larger than the next one, by what follows them down to an LMS suffix.
+    rank = np.zeros(n, np.int64)
+    both = np.concatenate([falling, lms])
+    rank[both] = _group(letter[both] * (n + 1) + np.concatenate([np.zeros(len(falling), np.int64), key]))
+    after = places.copy()
+    after[falling] += 1
+    _follow(rank, falling, after)
+    # The others, by what follows them up to one of these; the last one stays first.
+    rising = np.flatnonzero(smaller)[:-1]
+    second = np.where(smaller, 0, rank)
+    rank = _group(letter * (n + 1) + second)
+    after = places.copy()
+    after[rising] += 1
+    _follow(rank, rising, after)
+    return rank
+
+
+def sort_names(t: np.ndarray) -> np.ndarray:
+    """The suffix array of a string of numbers 0, 1, ..., the last of which is 0 and no other."""
+    if int(t.max()) + 1 == len(t):
+        order = np.empty(len(t), np.int64)
+        order[t] = np.arange(len(t))
+        return order
+    smaller = types(t)
+    lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
+    rough = induced_ranks(t, smaller, lms, np.zeros(len(lms), np.int64))[lms]
+    names = np.unique(rough, return_inverse=True)[1].astype(np.int64)
+    key = np.empty(len(lms), np.int64)
+    key[sort_names(names)] = np.arange(len(lms))
+    return np.argsort(induced_ranks(t, smaller, lms, key))
+
+
+def suffix_array(s: np.ndarray) -> np.ndarray:
+    """Suffixes of ``s`` (bytes, the last one 0 and no other) in order."""
     if len(s) == 1:
         return np.zeros(1, np.int32)
     smaller = types(s)
@@ -120,20 +194,28 @@ def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
     equal[equal] = common(words(s), lms[a[equal]], lms[b[equal]], length[a[equal]]) == length[a[equal]]
     names = np.empty(len(lms), np.int64)
     names[ranked] = np.concatenate([[0], np.cumsum(~equal)])
-    reach = 1
-    while names.max() + 1 < len(lms) and reach < depth:  # a name covers a byte at least
-        after = np.zeros(len(lms), np.int64)
-        after[:-reach] = names[reach:] + 1
-        names = np.unique(names * (len(lms) + 1) + after, return_inverse=True)[1]
-        reach *= 2
-    return induce(s, smaller, lms[np.argsort(names, kind="stable")])
+    return induce(s, smaller, lms[sort_names(names)])
 
 
 def permuted_common(s: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
     """For each position, the bytes that its suffix has in common with the one before it
-    in ``order``, up to ``most`` (0 for the first)."""
-    before = np.empty(len(s), np.int32)
-    before[order[1:]], before[order[0]] = order[:-1], len(s) - 1
-    out = common(words(s), np.arange(len(s)), before, most)
+    in ``order``, up to ``most`` (0 for the first).
+
+    In the order of the text, that number falls by one a place at most.  So what a place
+    has tells what the places after it have at least: every 64th place is compared from
+    its first byte on, and those halfway between known ones from there on, again and again.
+    """
+    w, n = words(s), len(s)
+    before = np.empty(n, np.int64)
+    before[order[1:]], before[order[0]] = order[:-1], n - 1
+    out, step = np.zeros(n, np.int64), 64
+    at = np.arange(0, n, step)
+    out[at] = common(w, at, before[at], most)
     out[order[0]] = 0
+    while step > 1:
+        step //= 2
+        at = np.arange(step, n, 2 * step)
+        known = np.maximum(out[at - step] - step, 0)
+        out[at] = known + common(w, at + known, before[at] + known, most - known)
+        out[order[0]] = 0
     return out

@@ -305,6 +305,29 @@ def brute_repeats(rows):
     return sorted(out)
 
 
+def near_passages():
+    """A string of 20 bytes that wins every window, in many surroundings, some of which come
+    again; and a passage that a third of all documents share."""
+    r = random.Random(15)
+    text = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    hot, passage = "-" * 24, text(300)
+    around = [(text(40), text(40)) for _ in range(12)]
+    rows = []
+    for i in range(90):
+        a, b = r.choice(around) if i % 2 else (text(40), text(40))
+        rows.append((i, f"{text(30)}{a[r.randrange(30):]}{hot}{b[:r.randrange(10, 40)]}{text(30)}" + (passage if i % 3 == 0 else "")))
+    return rows
+
+
+@pytest.mark.parametrize("most, held", [(1 << 13, 1 << 18), (3, 1 << 18), (3, 50), (1, 1 << 18)])
+def test_repeats_of_hot_keys(spark, monkeypatch, most, held):
+    monkeypatch.setattr(repeats, "MOST", most)
+    monkeypatch.setattr(repeats, "HELD", held)
+    given = near_passages()
+    rows = repeats.remove_repeats(spark.createDataFrame(given, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((repr(r["__row"]), r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in rows) == brute_repeats(given)
+
+
 def test_repeats(spark, docs, none):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
     try:
@@ -316,11 +339,25 @@ def test_repeats(spark, docs, none):
     assert repeats.remove_repeats(none).count() == 0
 
 
+def test_suffix_array_of_long_repeats():
+    r = random.Random(6)
+    base = bytes(r.choice(b"abcd") for _ in range(400))
+    for raw in (b"a" * 3000, b"ab" * 1500, base * 8, base * 4 + base[::-1] * 4, b"abcabd" * 300 + b"abc" * 300, bytes(r.randrange(1, 256) for _ in range(5000))):
+        s = np.frombuffer(raw + b"\0", np.uint8)
+        order = suffix_array(s)
+        raw = bytes(s)
+        assert order.tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
+        prefix = permuted_common(s, order, 50)
+        for a, b in zip(order[:-1].tolist(), order[1:].tolist()):
+            x, y = raw[a : a + 50], raw[b : b + 50]
+            assert prefix[b] == next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+
+
 def test_suffix_array():
     r = random.Random(5)
     for _ in range(200):
         s = np.array([r.randint(1, r.choice([1, 2, 3, 200])) for _ in range(r.randint(0, 80))] + [0], np.uint8)
-        order = suffix_array(s, 100)
+        order = suffix_array(s)
         raw = bytes(s)
         assert order.tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
         prefix = permuted_common(s, order, 50)
