@@ -20,11 +20,15 @@ bucket of hashes, telling whether it holds an odd number of elements.  Sets diff
 at least as many elements as their sketches differ in bits, so a pair whose sketches
 differ in more than k bits is no link.  Sketches are compared within a signature's
 group, in blocks of ``BLOCK`` sets, and what passes is checked on the whole sets, in
-two rounds.  The first round checks each set with the first one in its group that
-passes, a link a set and group at most; this joins nearly all that belongs together.
-The second checks all passing pairs whose sets are still in different components.  So
-a large group of near copies gives no square of pairs, and no link between different
-components is missed.
+three rounds.  The first compares each block within itself and with the group's first
+``LEADERS`` sets, in all n * (BLOCK + LEADERS) sketches for a group of n sets; each set
+is checked with the first one that passes.  This joins nearly all that belongs together.
+The second does so between the blocks of groups that still have several components,
+the third checks all passing pairs whose sets are still in different ones.  In both, a
+set meets only blocks that hold another component than its own; so a group of near
+copies and m other sets costs about n * m sketches instead of n * n / 2, and no link
+between different components is missed.  Only a group whose sets stay apart although
+they share a signature is compared as a whole.
 
 Shuffles: signature rows (hash, node, size) once; one map task emits each set once,
 however many copies it has read; then rows of shared signatures with sketches.  Whole sets move for nodes
@@ -57,6 +61,8 @@ WORDS, NUM, DEN = 4, 85, 100
 SPARE = 1
 #: Sets of a signature's group that are compared at once.
 BLOCK = 4096
+#: Sets of a group that all others of it are compared with first.
+LEADERS = 64
 #: Bytes of text that a task holds as words at once (one document at least).
 CHUNK = 1 << 20
 _U = np.uint64
@@ -305,29 +311,54 @@ def similar(pairs: DataFrame, sets: DataFrame, num: int = NUM, den: int = DEN) -
     return pairs.join(left, "a").join(right, "b").where(den * both >= num * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
+def _seats(rows: DataFrame) -> DataFrame:
+    """Rows of groups with several components -> a row for each block they meet.  Ranks
+    run along components, so most blocks of a large component hold nothing else, and a
+    row stays away from the blocks that are wholly of its own component."""
+    group = Window.partitionBy("sig")
+    rows = rows.withColumn("rank", F.dense_rank().over(group.orderBy("c", "node")))
+    own = Window.partitionBy("sig", "c")
+    rows = rows.withColumns({"r0": F.min("rank").over(own), "r1": F.max("rank").over(own)})
+    end = F.floor((F.col("last") - 1) / BLOCK).cast("int")
+    first = F.ceil((F.col("r0") - 1) / BLOCK).cast("int")
+    final = F.greatest(F.when(F.col("r1") == F.col("last"), end).otherwise(F.floor(F.col("r1") / BLOCK).cast("int") - 1), first - 1)
+    none = F.array().cast("array<int>")
+    before = F.when(first > 0, F.sequence(F.lit(0), first - 1)).otherwise(none)
+    after = F.when(final < end, F.sequence(final + 1, end)).otherwise(none)
+    rows = rows.withColumn("block", F.floor((F.col("rank") - 1) / BLOCK).cast("int")).withColumn("other", F.explode(F.concat(before, after)))
+    return rows.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+
+
 def links(groups: DataFrame, sketches: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int = NUM, den: int = DEN) -> DataFrame | None:
     """(sig, rank, node, n) of all signatures that two sets or more share -> (node,
     root) of linked sets, None if there are none.  ``sets_of`` gets the sets of a table
     of nodes."""
     roots = checked = found = None
-    for every in (False, True):
+    for step in ("leaders", "blocks", "every"):
         rows = groups.withColumn("c", F.col("node"))
         if roots is not None:
             rows = groups.join(roots, "node", "left").withColumn("c", F.coalesce("root", "node")).drop("root")
         size = rows.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.max("rank").alias("last"))
-        rows = rows.join(size.where("c0 <> c1").select("sig", "last"), "sig")
-        block = F.floor((F.col("rank") - 1) / BLOCK).cast("int")
-        rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.floor((F.col("last") - 1) / BLOCK).cast("int"))))
-        # Block meets block, and itself.
-        rows = rows.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+        size = size.where("c0 <> c1" if step != "blocks" else f"c0 <> c1 and last > {BLOCK}")
+        rows = rows.join(size.select("sig", "last"), "sig")
+        if step == "leaders":
+            # A block is compared within itself and with the first sets of the group.
+            block, end = (F.floor((F.col(x) - 1) / BLOCK).cast("int") for x in ("rank", "last"))
+            rows = rows.withColumn("block", F.explode(F.when(F.col("rank") <= LEADERS, F.sequence(F.lit(0), end)).otherwise(F.array(block))))
+            rows = rows.withColumns({"lo": F.col("block"), "hi": F.col("block")})
+        else:
+            rows = _seats(rows)
         rows = rows.join(sketches, "node").select("sig", "lo", "hi", "block", "node", "n", "c", "sketch")
         rows = rows.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi")
-        pairs = rows.mapInArrow(_pair_batches(every, num, den), "a long, b long").distinct()
+        pairs = rows.mapInArrow(_pair_batches(step == "every", num, den), "a long, b long").distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        checked = keep(pairs, "pairs")
-        sets = sets_of(checked.select(F.col("a").alias("node")).union(checked.select("b")).distinct())
-        new = keep(similar(checked, sets, num, den), "linked")
+        pairs = keep(pairs, "pairs")
+        checked = pairs if checked is None else checked.unionByName(pairs)
+        if pairs.isEmpty():
+            continue
+        sets = sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+        new = keep(similar(pairs, sets, num, den), "linked")
         found = new if found is None else found.unionByName(new)
         if not new.isEmpty():
             roots = keep(components(found), "roots")

@@ -244,6 +244,56 @@ def test_near_duplicates(docs, none, monkeypatch, block):
     assert ngram_join.near_duplicates(none).count() == 0
 
 
+@pytest.mark.parametrize("leaders", [0, 2])
+def test_near_duplicates_of_a_hot_group_in_blocks(spark, monkeypatch, leaders):
+    """One passage with changing words, so that chains of links cross blocks, beside other families."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 5)
+    monkeypatch.setattr(ngram_join, "LEADERS", leaders)
+    rng, rows = random.Random(11), []
+    for family, copies in enumerate((90, 30, 7, 1, 1)):
+        words = [f"f{family}w{i}" for i in range(120)]
+        for _ in range(copies):
+            if rng.random() < 0.5:
+                words[rng.randrange(120)] = f"x{rng.random()}"
+            other = list(words)
+            for _ in range(rng.randrange(3)):
+                other[rng.randrange(120)] = f"y{rng.random()}"
+            rows.append((len(rows), " ".join(other)))
+    rng.shuffle(rows)
+    sets = {d: set(ngram_join.shingles(t).tolist()) for d, t in rows}
+    least = {d: d for d in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]) and least[a] != least[b]:
+                low, high = sorted((least[a], least[b]))
+                least = {d: low if x == high else x for d, x in least.items()}
+    found = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["__row"]: r["__near"]["component_id"] for r in found} == least
+    assert 5 < len(set(least.values())) < 60
+
+
+def test_seats_bring_components_together(spark, monkeypatch):
+    """Every two sets of different components meet in exactly one place, whatever the sizes."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    rng, rows = random.Random(5), []
+    for sig in range(12):
+        nodes = rng.sample(range(1000), rng.randrange(2, 40))
+        rows += [(sig, node, 10, rng.choice([1, 1, 1, 1, 2, 3]) if sig % 2 else 1 + (node == min(nodes)), len(nodes)) for node in nodes]
+    frame = spark.createDataFrame(rows, "sig long, node long, n int, c long, last long")
+    meet = {}
+    for r in ngram_join._seats(frame).collect():
+        meet.setdefault((r["sig"], r["lo"], r["hi"]), []).append((r["block"], r["node"], r["c"]))
+    met = Counter()
+    for (sig, lo, hi), seats in meet.items():
+        for x, (bx, nx, cx) in enumerate(seats):
+            for by, ny, cy in seats[:x]:
+                if cx != cy and (lo == hi or bx != by):
+                    met[sig, *sorted((nx, ny))] += 1
+    apart = {(s, *sorted((a, b))) for s, a, _, c, _ in rows for t, b, _, d, _ in rows if s == t and c != d}
+    assert met == dict.fromkeys(apart, 1)
+    assert max(Counter((r[0], r[1]) for r in rows).values()) == 1
+
+
 def test_near_duplicates_of_many_sizes(spark):
     r = random.Random(3)
     rows = []
