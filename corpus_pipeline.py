@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depsift.llm import exact_dedup, ngram_join, packing, quality_rules, source_mix
-from depsift.llm.shared import keep, table
+from depsift.llm.shared import keep, settle, table
 
 
 #: Words of a shingle of the near-duplicate stage; its similarity as a fraction.
 NEAR_WORDS, NEAR_SIMILARITY = 5, (80, 100)
+#: Parts in which it shuffles and compares signatures, so that they fit beside the stages' tables.
+NEAR_PARTS = 2
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +34,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies (five words, 0.8), the row with the smallest doc_id; of rows that
     repeat that doc_id, the one written first."""
+    settle(spark)
     rows = keep(docs.select(F.struct(*docs.columns).alias("__row"), F.struct("doc_id", F.monotonically_increasing_id().alias("__uid")).alias("__id")), "rows")
-    found = ngram_join.near_duplicates(rows, id_col="__id", text_col="__row.text", words=NEAR_WORDS, similarity=NEAR_SIMILARITY)
+    found = ngram_join.near_duplicates(rows, id_col="__id", text_col="__row.text", words=NEAR_WORDS, similarity=NEAR_SIMILARITY, parts=NEAR_PARTS)
     dropped = keep(found.where(~F.col("__row").eqNullSafe(F.col("__near.component_id"))).select(F.col("__row.__uid").alias("__uid")), "dropped")
     return rows.withColumn("__uid", F.col("__id.__uid")).join(dropped, "__uid", "left_anti").select("__row.*")
 

@@ -30,7 +30,7 @@ copies and m other sets costs about n * m sketches instead of n * n / 2, and no
 between different components is missed.  Only a group whose sets stay apart although
 they share a signature is compared as a whole.
 
-Shuffles: signature rows (hash, node, size) once; one map task emits each set once,
+Shuffles: signature rows (hash, node, size) once, in parts if the caller says so; one map task emits each set once,
 however many copies it has read; then rows of shared signatures with sketches.  Whole sets move for nodes
 that are in a passing pair only.  Texts are read once for sets, once for signatures
 and once a round for the sets of such nodes.
@@ -54,7 +54,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from depsift.llm.components import components
-from depsift.llm.shared import keep, ship
+from depsift.llm.shared import keep, settle, ship
 
 #: Words of a shingle; similarity as a fraction (op 10's query).
 WORDS, NUM, DEN = 4, 85, 100
@@ -177,21 +177,25 @@ def _node_batches(words: int):
     return run
 
 
-def _signature_batches(words: int, num: int, den: int):
+def _signature_batches(words: int, num: int, den: int, part: int, parts: int):
+    """The signatures whose remainder by ``parts`` is ``part``."""
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
-            for part in _chunks(batch, "__text"):
+            for piece in _chunks(batch, "__text"):
                 if len(seen) > 1_000_000:
                     seen.clear()  # sets emitted again are told apart from others later
                 fresh = {}
-                for text in part.column("__text").to_pylist():
+                for text in piece.column("__text").to_pylist():
                     s = shingles(text, words)
                     if len(s) and (node := node_of(s)) not in seen:
                         seen.add(node)
                         fresh[node] = s
                 nodes, sets = np.fromiter(fresh, np.int64, len(fresh)), list(fresh.values())
                 sig, of = signatures(sets, num, den)
+                if parts > 1:
+                    mine = sig % _U(parts) == _U(part)
+                    sig, of = sig[mine], of[mine]
                 sizes = np.array([len(s) for s in sets], np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(nodes[of]), pa.array(sizes[of])], ["sig", "node", "n"])
 
@@ -329,12 +333,12 @@ def _seats(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
 
 
-def links(groups: DataFrame, sketches: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int = NUM, den: int = DEN) -> DataFrame | None:
-    """(sig, rank, node, n) of all signatures that two sets or more share -> (node,
-    root) of linked sets, None if there are none.  ``sets_of`` gets the sets of a table
-    of nodes."""
-    roots = checked = found = None
-    for step in ("leaders", "blocks", "every"):
+def links(parts: list[DataFrame], sketches: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int = NUM, den: int = DEN) -> DataFrame | None:
+    """(sig, rank, node, n) of all signatures that two sets or more share, as tables of
+    disjoint signatures -> (node, root) of linked sets, None if there are none.
+    ``sets_of`` gets the sets of a table of nodes."""
+
+    def passing(groups: DataFrame, step: str, roots: DataFrame | None) -> DataFrame:
         rows = groups.withColumn("c", F.col("node"))
         if roots is not None:
             rows = groups.join(roots, "node", "left").withColumn("c", F.coalesce("root", "node")).drop("root")
@@ -350,7 +354,16 @@ def links(groups: DataFrame, sketches: DataFrame, sets_of: Callable[[DataFrame],
             rows = _seats(rows)
         rows = rows.join(sketches, "node").select("sig", "lo", "hi", "block", "node", "n", "c", "sketch")
         rows = rows.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi")
-        pairs = rows.mapInArrow(_pair_batches(step == "every", num, den), "a long, b long").distinct()
+        return rows.mapInArrow(_pair_batches(step == "every", num, den), "a long, b long").distinct()
+
+    roots = checked = found = None
+    for step in ("leaders", "blocks", "every"):
+        pairs = None
+        for groups in parts:
+            new = keep(passing(groups, step, roots), "passing")
+            settle(groups.sparkSession)
+            pairs = new if pairs is None else pairs.unionByName(new)
+        pairs = pairs.distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
         pairs = keep(pairs, "pairs")
@@ -365,11 +378,13 @@ def links(groups: DataFrame, sketches: DataFrame, sets_of: Callable[[DataFrame],
     return roots
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: tuple[int, int] = (NUM, DEN)) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: tuple[int, int] = (NUM, DEN), parts: int = 1) -> DataFrame:
     """A row for every row of ``docs``: its id as ``__row`` and a struct ``__near`` of
     n_shingles and component_id, the least id that links reach.  The id may be of any
     type that has an order.  Links are sets of ``words``-word shingles whose Jaccard
-    similarity is the fraction ``similarity`` or more."""
+    similarity is the fraction ``similarity`` or more.  With ``parts`` above 1, signatures
+    are shuffled and compared in that many parts, one after the other: the same rows with
+    that much less on disk at once, for one more reading of the texts a part."""
     num, den = similarity
     ship(docs.sparkSession)
     texts = docs.select(F.col(text_col).alias("__text"))
@@ -377,10 +392,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     id_type = docs.schema[id_col].dataType.simpleString()
     members = keep(rows.mapInArrow(_node_batches(words), f"__row {id_type}, __n long, __node long, __sketch binary"), "members")
 
-    emitted = texts.mapInArrow(_signature_batches(words, num, den), "sig long, node long, n int")
     group = Window.partitionBy("sig")
-    shared = emitted.withColumns({"lo": F.min("node").over(group), "hi": F.max("node").over(group)}).where("lo < hi")
-    groups = keep(shared.select("sig", F.dense_rank().over(group.orderBy("node")).alias("rank"), "node", "n").distinct(), "groups")
+
+    def groups(part: int) -> DataFrame:
+        emitted = texts.mapInArrow(_signature_batches(words, num, den, part, parts), "sig long, node long, n int")
+        shared = emitted.withColumns({"lo": F.min("node").over(group), "hi": F.max("node").over(group)}).where("lo < hi")
+        out = keep(shared.select("sig", F.dense_rank().over(group.orderBy("node")).alias("rank"), "node", "n").distinct(), "groups")
+        settle(docs.sparkSession)
+        return out
+
+    shared = [groups(part) for part in range(parts)]
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         """One document for each node is read again."""
@@ -391,7 +412,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         return keep(some.select("__text").mapInArrow(_set_batches(words), "node long, shingles array<long>").dropDuplicates(["node"]).join(nodes, "node", "left_semi"), "sets")
 
     sketches = keep(members.select(F.col("__node").alias("node"), F.col("__sketch").alias("sketch")).dropDuplicates(["node"]), "sketches")
-    roots = links(groups, sketches, sets_of, num, den)
+    roots = links(shared, sketches, sets_of, num, den)
     if roots is None:
         joined = members.withColumn("__c", F.col("__node"))
     else:

@@ -241,6 +241,8 @@ def test_near_duplicates(docs, none, monkeypatch, block):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
     rows = ngram_join.near_duplicates(docs).collect()
     assert sorted((repr(r["__row"]), r["__near"]["n_shingles"], repr(r["__near"]["component_id"])) for r in rows) == brute_components(awkward())
+    assert sorted(ngram_join.near_duplicates(docs, parts=2).collect(), key=repr) == sorted(rows, key=repr)
+    assert ngram_join.near_duplicates(none, parts=2).count() == 0
     assert ngram_join.near_duplicates(none).count() == 0
 
 
@@ -294,7 +296,8 @@ def test_seats_bring_components_together(spark, monkeypatch):
     assert max(Counter((r[0], r[1]) for r in rows).values()) == 1
 
 
-def test_near_duplicates_of_many_sizes(spark):
+@pytest.mark.parametrize("parts", [1, 3])
+def test_near_duplicates_of_many_sizes(spark, parts):
     r = random.Random(3)
     rows = []
     for g in range(60):
@@ -305,7 +308,7 @@ def test_near_duplicates_of_many_sizes(spark):
                 w[r.randrange(len(w))] = str(r.randrange(400))
             rows.append((r.randrange(100000), " ".join(w[: len(w) - r.choice([0, 0, 0, 1, 2])])))
     rows = list({d: (d, t) for d, t in rows}.values())
-    found = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), parts=parts).collect()
     assert sorted((repr(x["__row"]), x["__near"]["n_shingles"], repr(x["__near"]["component_id"])) for x in found) == brute_components(rows)
 
 
