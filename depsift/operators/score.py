@@ -43,7 +43,8 @@ def estimated(patterns: DataFrame, s: Settings) -> DataFrame:
 def core_scores(patterns: DataFrame, marginals: DataFrame, meta: DataFrame, rows: int, s: Settings) -> DataFrame:
     """(cand, lhs, n, eff, entropy, top1, non_null_ratio) of all candidates, the
     marginals of right sides and the candidates' facts -> a row a candidate that passes
-    the early tests, with model, empirical and fused scores."""
+    the early tests, with model, empirical and fused scores.  ``times``, if there, is how many
+    patterns a row stands for; it then has no lhs, and a cap on patterns is not possible."""
     m = marginals.select(F.col("column").alias("rhs_column"), "vocabulary", F.col("entropy").alias("m_entropy"), F.col("top1").alias("m_top1"))
     facts = meta.join(m, "rhs_column")
     floor = F.when(F.col("high_card"), max(s.min_effective_support_count, s.high_card_min_effective_support_count)).otherwise(s.min_effective_support_count)
@@ -56,6 +57,8 @@ def core_scores(patterns: DataFrame, marginals: DataFrame, meta: DataFrame, rows
     if s.max_support_rows:
         each = budget(each.withColumn("priority", priority(s)), ["lhs"], s, by=["cand"])
     each = estimated(each, s)
+    times = F.col("times") if "times" in patterns.columns else F.lit(1)
+    n = F.col("n") * times
     vocabulary = F.col("vocabulary") + 4
     strengths = {
         "model_s_ent": entropy_strength(F.col("model_entropy"), F.col("m_entropy"), vocabulary),
@@ -72,8 +75,8 @@ def core_scores(patterns: DataFrame, marginals: DataFrame, meta: DataFrame, rows
     total = (
         each.groupBy("cand")
         .agg(
-            F.count(F.lit(1)).alias("support_rows"), F.count_if(F.col("eff") > 0).alias("effective_support_rows"), (F.sum("n") / rows).alias("retained_mass"), (F.sum("eff") / rows).alias("effective_retained_mass"),
-            *((F.sum(F.col("n") * v) / F.sum("n")).alias(c) for c, v in strengths.items()),
+            F.sum(times).cast("long").alias("support_rows"), F.sum(F.when(F.col("eff") > 0, times).otherwise(0)).cast("long").alias("effective_support_rows"), (F.sum(n) / rows).alias("retained_mass"), (F.sum(F.col("eff") * times) / rows).alias("effective_retained_mass"),
+            *((F.sum(n * v) / F.sum(n)).alias(c) for c, v in strengths.items()),
             *(F.first(c).alias(c) for c in fixed),
         )
         .where((F.col("retained_mass") >= s.min_retained_mass) & (F.col("effective_retained_mass") >= s.min_effective_retained_mass))

@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 from depsift.functions import canonical, cleaning
 from depsift.functions.scores import accuracy_strength, coverage_factor, entropy_strength, identifier_value
 from depsift.operators import counts, estimate, masking, profile, tokens
+from depsift.operators.kept import drop_kept
 from depsift.operators.score import candidate_meta, core_scores, reverse_margins
+from depsift.operators.shapes import pattern_shapes, shape_marginals, shape_stats
 from depsift.plans.search import search
 from depsift.settings import Settings
 from depsift.sources.rules import evaluate
-from depsift.sources.tables import SALES, SALES_FAMILIES, SALES_KEY, complete_rows, first_rows, sales
+from depsift.sources.tables import SALES, SALES_FAMILIES, SALES_KEY, complete_rows, first_rows, kept_sales, sales
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -397,19 +399,31 @@ def _scores_sql(wanted, keeps: str = "true", before: str = "") -> str:
 _LEVEL1 = _scores_sql(PAIRS)
 
 
-def pair_scores(spark, sf_dir, wanted=PAIRS, settings: Settings = EMPIRICAL, facts: dict | None = None) -> DataFrame:
+def pair_scores(spark, sf_dir, wanted=PAIRS, settings: Settings = EMPIRICAL, facts: dict | None = None, shapes: tuple[int, DataFrame] | None = None) -> DataFrame:
     """Scores of candidates over all rows of the sales table.  ``facts`` has the profile's
-    row of each column; without it, no column counts as an identifier or as high-card."""
-    w = counts.hashed(sales(spark, sf_dir), sorted({c for lhs, rhs in wanted for c in (*lhs, rhs)}))
+    row of each column; without it, no column counts as an identifier or as high-card.
+    ``shapes`` has what ``pair_shapes`` gives, if it is there already."""
     meta = []
     for i, (lhs, rhs) in enumerate(wanted):
         signal = sum(identifier_value(facts[c]["role"], facts[c]["unique_ratio"], settings) for c in lhs) / len(lhs) if facts else 0.0
         sparse = any(facts[c]["unique_ratio"] > settings.high_card_lhs_unique_ratio for c in lhs) if facts else False
         meta.append((i, list(lhs), rhs, signal, facts[rhs]["unique_ratio"] if facts else 0.5, facts[rhs]["unique_count"] if facts else 100, sparse, 1.0))
+    if wanted is PAIRS and not settings.max_support_rows:
+        rows, found = shapes or pair_shapes(spark, sf_dir)
+        return core_scores(shape_stats(found), shape_marginals(found, PAIRS, rows), candidate_meta(spark, meta), rows, settings)
+    w = counts.hashed(sales(spark, sf_dir), sorted({c for lhs, rhs in wanted for c in (*lhs, rhs)}))
     patterns = counts.pattern_stats(counts.contingencies(w, wanted), ["cand", "lhs"])
     return core_scores(patterns, counts.marginal_stats(w, w.columns), candidate_meta(spark, meta), w.count(), settings)
 
 
+def pair_shapes(spark, sf_dir) -> tuple[int, DataFrame]:
+    """The number of rows of the sales table, and the shapes of the patterns of all pairs."""
+    w = kept_sales(spark, sf_dir, lambda df: counts.hashed(df, SALES))
+    out = pattern_shapes(w, PAIRS)
+    drop_kept(w)
+    return out
+
+
 def _sides() -> list:
     """Names for both sides of a candidate."""
     return [F.concat_ws(",", "lhs_columns").alias("lhs"), F.col("rhs_column").alias("rhs")]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from depsift import cli, registry
 from depsift.functions import canonical, cleaning, scores
-from depsift.operators import counts, estimate, masking, profile, tokens
+from depsift.operators import counts, estimate, masking, profile, shapes, tokens
 from depsift.plans.search import Search, search
 from depsift.settings import Settings
 from depsift.sources import rules, tables
@@ -349,3 +349,61 @@ def test_entry_points():
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert set(registry.QUERIES) <= set(__spark_entry__.queries())
+
+
+def _keyed_rows(spark):
+    """Keys of many values, columns of few, one of each with a value in a third of the rows
+    and with nulls, as hashes."""
+    rows = spark.range(30_000, numPartitions=5).selectExpr(
+        "id", "id div 3 AS pair", "IF(id % 3 = 0, 7, IF(id % 11 = 0, NULL, id div 2)) AS holed", "id % 5 AS few", "IF(id % 4 = 0, NULL, (id div 3) % 9) AS gaps", "(id * id) % 1009 AS some"
+    )
+    return counts.hashed(rows, rows.columns)
+
+
+def test_shapes_are_those_of_the_patterns(spark, monkeypatch):
+    """Whichever values are dealt and whichever are known."""
+    w = _keyed_rows(spark)
+    wanted = [((a,), b) for a in w.columns for b in w.columns if a != b and (a, b) != ("few", "id")]
+    counted = counts.contingencies(w, wanted).groupBy("cand", "lhs").agg(F.sum("k").alias("n"), F.sum(F.when(F.col("rhs").isNotNull(), F.col("k")).otherwise(0)).alias("eff"), F.coalesce(F.max(F.when(F.col("rhs").isNotNull(), F.col("k"))), F.lit(0)).alias("mx"), F.coalesce(F.sum(F.when(F.col("rhs").isNotNull(), F.col("k") * F.log("k"))), F.lit(0.0)).alias("kl"))
+    by = ["cand", "n", "eff", "mx", F.round("kl", 6).alias("kl")]
+    want = sorted(map(tuple, counted.groupBy(*by).agg(F.count(F.lit(1))).collect()))
+    for low, cells in ((4096, 1 << 24), (100, 1 << 24), (4096, 40), (0, 1 << 24)):
+        monkeypatch.setattr(shapes, "LOW", low)
+        monkeypatch.setattr(shapes, "CELLS", cells)
+        rows, found = shapes.pattern_shapes(w, wanted)
+        assert rows == 30_000
+        assert sorted(map(tuple, found.groupBy(*by).agg(F.sum("times")).collect())) == want
+        told = {r["column"]: r for r in shapes.shape_marginals(found, wanted, rows).collect()}
+        for r in counts.marginal_stats(w, w.columns).collect():
+            assert [told[r["column"]][c] for c in ("total", "valid", "vocabulary")] == [r["total"], r["valid"], r["vocabulary"]]
+            assert abs(told[r["column"]]["entropy"] - r["entropy"]) < 1e-9 and abs(told[r["column"]]["top1"] - r["top1"]) < 1e-12
+
+
+def test_shapes_shuffle_rows_and_not_counts(spark):
+    """Fewer bytes than the counts of keys against each column take, which filled the disk."""
+    w = _keyed_rows(spark).selectExpr("*", *(f"xxhash64(id % {n}) AS c{n}" for n in range(20, 40))).localCheckpoint()
+    wanted = [((a,), b) for a in w.columns for b in w.columns if a != b]
+
+    def written():
+        return spark.sparkContext._jsc.sc().statusStore().executorList(False).head().totalShuffleWrite()
+
+    start = written()
+    shapes.pattern_shapes(w, wanted)[1].count()
+    middle = written()
+    counts.pattern_stats(counts.contingencies(w, wanted), ["cand", "lhs"]).groupBy("cand").count().collect()
+    assert 0 < middle - start < (written() - middle) / 4
+
+
+def test_sales_in_slices_are_all_sales(spark):
+    one, two = (tables.kept_sales(spark, DATA, small=n) for n in (10**9, 0))
+    assert one.count() == two.count() and one.exceptAll(two).isEmpty()
+
+
+@pytest.mark.parametrize("name", ["fd_level1_scores"])
+def test_all_pairs_shuffle_no_counts(name, spark, monkeypatch):
+    """No query over all pairs goes back to a shuffle of counts."""
+    def refused(*_):
+        raise AssertionError("counts of pairs are shuffled")
+
+    monkeypatch.setattr(counts, "contingencies", refused)
+    assert registry.QUERIES[name](spark, DATA).count() > 0
