@@ -448,9 +448,8 @@ def fd_backoff_scores(spark, sf_dir):
 
 @query(f"WITH {_LEVEL1} SELECT lhs, rhs, round(1 - sum(mx) / sum(n), 6) AS g3 FROM (SELECT lhs, rhs, x, max(k) AS mx, sum(k) AS n FROM c GROUP BY ALL) GROUP BY ALL")
 def fd_g3_error(spark, sf_dir):
-    w = counts.hashed(sales(spark, sf_dir), SALES)
-    each = counts.pattern_stats(counts.contingencies(w, PAIRS), ["cand", "lhs"])
-    g = each.groupBy("cand").agg((1 - F.sum(F.round(F.col("top1") * F.col("eff"))) / F.sum("eff")).alias("g3"))
+    _, found = pair_shapes(spark, sf_dir)
+    g = found.groupBy("cand").agg((1 - F.sum(F.col("mx") * F.col("times")) / F.sum(F.col("eff") * F.col("times"))).alias("g3"))
     return rounded(g.join(_named(spark), "cand").select("lhs", "rhs", "g3"))
 
 
