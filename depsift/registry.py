@@ -605,8 +605,12 @@ _EXACT = "e AS (SELECT lhs, rhs FROM (SELECT cand, lhs, rhs, x, count(*) AS n FR
 @query(f"WITH {SALES_SQL}, {_counts_sql(PAIRS)}, {_EXACT} SELECT lhs, rhs FROM e")
 def fd_exact_rules(spark, sf_dir):
     """Pairs that hold without exception: no left side with two right sides."""
-    each = counts.contingencies(counts.hashed(sales(spark, sf_dir), SALES), PAIRS).groupBy("cand", "lhs").agg(F.count(F.lit(1)).alias("n"))
-    return each.groupBy("cand").agg(F.max("n").alias("most")).where("most = 1").join(_named(spark), "cand").select("lhs", "rhs")
+    return _exact_rules(spark, pair_shapes(spark, sf_dir)[1])
+
+
+def _exact_rules(spark, shapes: DataFrame) -> DataFrame:
+    pure = (F.col("eff") == 0) | (F.col("mx") == F.col("n"))
+    return shapes.groupBy("cand").agg(F.bool_and(pure).alias("exact")).where("exact").join(_named(spark), "cand").select("lhs", "rhs")
 
 
 @query(f"""WITH {_LEVEL1}, {_EXACT}, f AS (SELECT lhs, rhs FROM y WHERE .6 * s_ent + .4 * s_acc >= .3), t AS (SELECT (SELECT count(*) FROM f SEMI JOIN e USING (lhs, rhs)) AS hits, (SELECT count(*) FROM f) AS found, (SELECT count(*) FROM e) AS truth)
