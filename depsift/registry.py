@@ -618,8 +618,9 @@ def _exact_rules(spark, shapes: DataFrame) -> DataFrame:
 def fd_evaluate(spark, sf_dir):
     """How well a low bar on the plain strengths finds the exact rules."""
     strength = 0.6 * F.col("empirical_s_ent") + 0.4 * F.col("empirical_s_acc")
-    found = pair_scores(spark, sf_dir).where(strength >= 0.3).select(F.col("lhs_columns").alias("lhs"), F.col("rhs_column").alias("rhs"))
-    return evaluate(found, fd_exact_rules(spark, sf_dir).select(F.array("lhs").alias("lhs"), "rhs"))
+    shapes = pair_shapes(spark, sf_dir)
+    found = pair_scores(spark, sf_dir, shapes=shapes).where(strength >= 0.3).select(F.col("lhs_columns").alias("lhs"), F.col("rhs_column").alias("rhs"))
+    return evaluate(found, _exact_rules(spark, shapes[1]).select(F.array("lhs").alias("lhs"), "rhs"))
 
 
 _FEW = ["l_returnflag", "l_linestatus", "o_orderstatus", "o_orderpriority", "c_nationkey", "n_name", "r_name", "p_brand"]

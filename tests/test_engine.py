@@ -399,7 +399,7 @@ def test_sales_in_slices_are_all_sales(spark):
     assert one.count() == two.count() and one.exceptAll(two).isEmpty()
 
 
-@pytest.mark.parametrize("name", ["fd_level1_scores", "fd_exact_rules", "fd_g3_error", "fd_reverse_margin", "fd_coverage_factor", "fd_backoff_scores"])
+@pytest.mark.parametrize("name", ["fd_level1_scores", "fd_evaluate", "fd_exact_rules", "fd_g3_error", "fd_reverse_margin", "fd_coverage_factor", "fd_backoff_scores"])
 def test_all_pairs_shuffle_no_counts(name, spark, monkeypatch):
     """No query over all pairs goes back to a shuffle of counts."""
     def refused(*_):
