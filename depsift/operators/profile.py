@@ -159,10 +159,11 @@ def searchability(frame: DataFrame) -> DataFrame:
     return frame.select("column", say("lhs_policy", "lhs").alias("lhs_search"), say("rhs_policy", "rhs").alias("rhs_search"))
 
 
-def profile(df: DataFrame, *, columns: list[str] | None = None, overrides: dict[str, str] | None = None, mode: str = "balanced", target: str | None = None) -> DataFrame:
-    """Statistics, family, role, model type and flags of every column."""
+def profile(df: DataFrame, *, columns: list[str] | None = None, overrides: dict[str, str] | None = None, mode: str = "balanced", target: str | None = None, stats: DataFrame | None = None) -> DataFrame:
+    """Statistics, family, role, model type and flags of every column.  With ``stats``, as
+    ``column_stats`` gives them, no row is read."""
     df = df.select(*columns) if columns else df
-    stats = with_families(column_stats(df), families(df, overrides))
+    stats = with_families(column_stats(df) if stats is None else stats, families(df, overrides))
     return search_flags(model_type(roles(stats)), mode, target)
 
 

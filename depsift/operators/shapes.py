@@ -291,3 +291,13 @@ def shape_marginals(shapes: DataFrame, wanted: Sequence[tuple[Sequence[str], str
         "column", F.lit(rows).cast("long").alias("total"), "valid", "vocabulary",
         F.when(known, F.log(F.col("valid").cast("double")) - F.col("kl") / F.col("valid")).otherwise(0.0).alias("entropy"), F.when(known, F.col("mx") / F.col("valid")).otherwise(0.0).alias("top1"),
     )
+
+
+def marginal_profile(marginals: DataFrame) -> DataFrame:
+    """``profile.column_stats`` from marginals: null is one value."""
+    nulls = F.col("total") - F.col("valid")
+    unique = F.col("vocabulary") + F.when(nulls > 0, 1).otherwise(0)
+    return marginals.select(
+        "column", F.col("total").alias("rows"), unique.alias("unique_count"), (unique / F.col("total")).alias("unique_ratio"),
+        (F.greatest(F.round(F.col("top1") * F.col("valid")), nulls.cast("double")) / F.col("total")).alias("marginal_top1"),
+    )

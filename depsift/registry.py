@@ -17,7 +17,7 @@ from depsift.functions.scores import accuracy_strength, coverage_factor, entropy
 from depsift.operators import counts, estimate, masking, profile, tokens
 from depsift.operators.kept import drop_kept
 from depsift.operators.score import candidate_meta, core_scores, reverse_margins
-from depsift.operators.shapes import pattern_shapes, shape_marginals, shape_stats
+from depsift.operators.shapes import marginal_profile, pattern_shapes, shape_marginals, shape_stats
 from depsift.plans.search import search
 from depsift.settings import Settings
 from depsift.sources.rules import evaluate
@@ -485,8 +485,10 @@ _PROFILE = f"{_CELLS}, {_STATS}, {_ROLES}".replace("c AS (", "cells AS (", 1).re
   SELECT lhs, rhs, round(wt, 6) AS empirical_bonus_weight, round(s_ent, 6) AS s_ent, round(s_acc, 6) AS s_acc, round(greatest(0, least(1, (.6 * s_ent + .4 * s_acc) * cov)), 6) AS score FROM k""")
 def fd_fused_scores(spark, sf_dir):
     """Every pair as the search scores it, with the roles and ratios of the profile."""
-    facts = {r["column"]: r for r in profile.profile(sales(spark, sf_dir)).collect()}
-    found = pair_scores(spark, sf_dir, settings=Settings(), facts=facts)
+    shapes = pair_shapes(spark, sf_dir)
+    stats = marginal_profile(shape_marginals(shapes[1], PAIRS, shapes[0]))
+    facts = {r["column"]: r for r in profile.profile(sales(spark, sf_dir), stats=stats).collect()}
+    found = pair_scores(spark, sf_dir, settings=Settings(), facts=facts, shapes=shapes)
     return rounded(found.select(*_sides(), "empirical_bonus_weight", "s_ent", "s_acc", "score"))
 
 

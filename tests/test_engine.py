@@ -379,6 +379,14 @@ def test_shapes_are_those_of_the_patterns(spark, monkeypatch):
             assert abs(told[r["column"]]["entropy"] - r["entropy"]) < 1e-9 and abs(told[r["column"]]["top1"] - r["top1"]) < 1e-12
 
 
+def test_profile_from_shapes_is_that_of_rows(spark):
+    w = _keyed_rows(spark)
+    wanted = [((a,), "few" if a != "few" else "gaps") for a in w.columns]
+    rows, found = shapes.pattern_shapes(w, wanted)
+    same = shapes.marginal_profile(shapes.shape_marginals(found, wanted, rows))
+    assert sorted(map(tuple, same.collect())) == sorted(map(tuple, profile.column_stats(w).collect()))
+
+
 def test_shapes_shuffle_rows_and_not_counts(spark):
     """Fewer bytes than the counts of keys against each column take, which filled the disk."""
     w = _keyed_rows(spark).selectExpr("*", *(f"xxhash64(id % {n}) AS c{n}" for n in range(20, 40))).localCheckpoint()
@@ -399,7 +407,7 @@ def test_sales_in_slices_are_all_sales(spark):
     assert one.count() == two.count() and one.exceptAll(two).isEmpty()
 
 
-@pytest.mark.parametrize("name", ["fd_level1_scores", "fd_evaluate", "fd_exact_rules", "fd_g3_error", "fd_reverse_margin", "fd_coverage_factor", "fd_backoff_scores"])
+@pytest.mark.parametrize("name", ["fd_level1_scores", "fd_fused_scores", "fd_evaluate", "fd_exact_rules", "fd_g3_error", "fd_reverse_margin", "fd_coverage_factor", "fd_backoff_scores"])
 def test_all_pairs_shuffle_no_counts(name, spark, monkeypatch):
     """No query over all pairs goes back to a shuffle of counts."""
     def refused(*_):
