@@ -18,7 +18,7 @@ from depsift.operators import counts, estimate, masking, profile, tokens
 from depsift.operators.kept import drop_kept
 from depsift.operators.score import candidate_meta, core_scores, reverse_margins
 from depsift.operators.shapes import marginal_profile, pattern_shapes, shape_marginals, shape_stats
-from depsift.plans.search import search
+from depsift.plans.search import Search
 from depsift.settings import Settings
 from depsift.sources.rules import evaluate
 from depsift.sources.tables import SALES, SALES_FAMILIES, SALES_KEY, complete_rows, first_rows, kept_sales, sales
@@ -647,7 +647,13 @@ def minimal_rules(candidates: DataFrame, floor: float = 0.08) -> DataFrame:
 
 def _search_rows(spark, sf_dir, columns=SALES, **options):
     families = {c: f for c, f in SALES_FAMILIES.items() if c in columns}
-    result = search(sales(spark, sf_dir).select(*columns), Settings(**options), key_columns=[c for c in SALES_KEY if c in columns], overrides=families, cache_input=True)
+    w = kept_sales(spark, sf_dir, lambda df: df.select(*columns))
+    job = Search(w, Settings(**options), key_columns=[c for c in SALES_KEY if c in columns], overrides=families)
+    drop_kept(w)  # the search has its tokens
+    try:
+        result = job.run()
+    finally:
+        job.close()
     rows = [(",".join(c.lhs), c.rhs, float(c.score), float(c.s_ent), float(c.s_acc), c.bidirectional) for c in result.candidates]
     return spark.createDataFrame(rows, "lhs string, rhs string, score double, s_ent double, s_acc double, bidirectional boolean")
 

@@ -415,3 +415,18 @@ def test_all_pairs_shuffle_no_counts(name, spark, monkeypatch):
 
     monkeypatch.setattr(counts, "contingencies", refused)
     assert registry.QUERIES[name](spark, DATA).count() > 0
+
+
+def test_search_counts_singles_by_shapes(spark, monkeypatch):
+    """A level of single columns shuffles no counts, and holdouts go in batches of few rows."""
+    from depsift.plans import search as plan
+
+    def refused(*_):
+        raise AssertionError("counts of pairs are shuffled")
+
+    monkeypatch.setattr(plan, "contingencies", refused)
+    whole = search(planted(spark), Settings(max_lhs_size=1), screen=False)
+    monkeypatch.setattr(plan, "ROUNDS", 1e-9)
+    small = search(planted(spark), Settings(max_lhs_size=1), screen=False)
+    assert (("a",), "b") in whole.dependencies and small.dependencies == whole.dependencies
+    assert [c.holdout for c in small.candidates] == [c.holdout for c in whole.candidates]
