@@ -216,6 +216,13 @@ def hashed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*(key([c]).alias(c) for c in columns))
 
 
+def exact(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``hashed``, but whole numbers stay as they are: they need less room."""
+    whole = {"tinyint", "smallint", "int", "bigint"}
+    kinds = dict(df.dtypes)
+    return df.select(*((F.col(c).cast("long") if kinds[c] in whole else key([c])).alias(c) for c in columns))
+
+
 def distinct_sketches(table: DataFrame, columns: Sequence[str], pairs: Sequence[tuple[str, str]], per_job: int = 100) -> tuple[dict, dict]:
     """Approximate numbers of distinct values and pairs, from sketches that are merged in
     the mappers: nothing but sketches is shuffled.  Collected, a number each."""

@@ -13,6 +13,8 @@ from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 _folders: dict[str, str] = {}
+#: Whether a query's shuffle files go when it ends, instead of when the driver collects its garbage.
+_ENDS = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch(spark: SparkSession) -> str:
@@ -40,10 +42,15 @@ def _clear(files, path) -> None:
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and read it back."""
+    """Write ``df`` once and read it back; its shuffles end with the write."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_ENDS, "false")
+    spark.conf.set(_ENDS, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_ENDS, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

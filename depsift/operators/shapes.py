@@ -12,8 +12,9 @@ cell of an array in the mappers.  A count with a dealt value is made where that
 for a known value on the other side it is a part of its pattern, and parts are added up.
 Which values are known only decides where they are counted.
 
-The dealt rows are packed as columns, a binary a chunk and task: 8 bytes for a dealt value
-and one or two for a code.  The shuffle of one column goes before that of the next comes.
+The dealt rows are packed as columns, a binary a chunk and task: a dealt value as its distance
+from the least of the chunk, in as few bytes as that needs, and one or two bytes for a code.
+The shuffle of one column goes before that of the next comes.
 """
 
 from __future__ import annotations
@@ -167,40 +168,63 @@ def _dealt_parts(table: DataFrame, known: list[Column], lead: int, others: list[
     chunks, code, logs, records = _chunks(CHUNK), _coder(known), _logs(), _records()
     sizes, high = [len(c.values) for c in known], [c.high for c in known]
     kinds = [np.dtype(np.uint8 if n + 1 < 256 else np.uint16) for n in sizes]
-    layout = [("lead", np.dtype(np.int64))]
+    # A kind of None: the blob's head has the least of its numbers, and the bytes of each.
+    layout = [(~lead, None)]
     for at, *_ in others:
-        layout += [(at, kinds[at]), *([(~at, np.dtype(np.int64))] if high[at] else [])]
-    width = sum(kind.itemsize for _, kind in layout)
+        layout += [(at, kinds[at]), *([(~at, None)] if high[at] else [])]
+    offsets = [np.dtype(x) for x in (np.uint8, np.uint16, np.uint32, np.uint64)]
 
     def numbers(chunk, at):
         return pc.fill_null(chunk.column(at), 0).to_numpy()
 
+    def narrow(x):
+        least = x.min()
+        away = x.view(np.uint64) - least.view(np.uint64)
+        most = int(away.max())
+        return int(least), away.astype(next(kind for kind in offsets if most < 1 << 8 * kind.itemsize))
+
     def deal(batches):
         for chunk in chunks(batches):
             rows = np.flatnonzero(code(chunk, lead) > sizes[lead])
             if not len(rows):
                 continue
             lead_values = numbers(chunk, lead)[rows]
-            part = (lead_values.view(np.uint64) % np.uint64(tasks)).astype(np.uint16 if tasks < 65536 else np.uint32)
+            # Mixed, as whole numbers may have steps.
+            mixed = lead_values.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
+            part = (mixed % np.uint64(tasks)).astype(np.uint16 if tasks < 65536 else np.uint32)
             order = np.argsort(part, kind="stable")
             rows, part = rows[order], part[order]
-            columns = [lead_values[order]] + [(code(chunk, name) if name >= 0 else numbers(chunk, ~name))[rows] for name, _ in layout[1:]]
+            head, columns = [], []
+            for name, kind in layout:
+                if kind is None:
+                    least, column = narrow(numbers(chunk, ~name)[rows])
+                    head += [least, column.itemsize]
+                else:
+                    column = code(chunk, name)[rows]
+                columns.append(column)
             begin = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
             ends = np.append(begin[1:], len(part))
-            blobs = [b"".join(c[x:y].tobytes() for c in columns) for x, y in zip(begin, ends, strict=True)]
+            blobs = [np.array([y - x, *head], np.int64).tobytes() + b"".join(c[x:y].tobytes() for c in columns) for x, y in zip(begin, ends, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(part[begin].astype(np.int32)), pa.array(blobs, pa.binary())], ["part", "rows"])
 
     def count(batches):
         parts: dict = {name: [] for name, _ in layout}
         for batch in batches:
             for blob in batch.column(1).to_pylist():
-                n, at = len(blob) // width, 0
+                at = 8 * (1 + 2 * sum(kind is None for _, kind in layout))
+                n, *head = np.frombuffer(blob, np.int64, at // 8).tolist()
                 for name, kind in layout:
-                    parts[name].append(np.frombuffer(blob, kind, n, at))
-                    at += n * kind.itemsize
-        if not parts["lead"]:
+                    if kind is None:
+                        least, wide = head[:2]
+                        column = np.frombuffer(blob, offsets[wide.bit_length() - 1], n, at)
+                        parts[name].append((column.astype(np.uint64) + np.int64(least).view(np.uint64)).view(np.int64))
+                        at, head = at + n * wide, head[2:]
+                    else:
+                        parts[name].append(np.frombuffer(blob, kind, n, at))
+                        at += n * kind.itemsize
+        if not parts[~lead]:
             return
-        values = np.concatenate(parts.pop("lead"))
+        values = np.concatenate(parts.pop(~lead))
         order = np.argsort(values)
         values = values[order]
         first = np.flatnonzero(np.append(True, values[1:] != values[:-1]))

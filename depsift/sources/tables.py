@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from functools import reduce
+from types import MappingProxyType
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,29 +50,45 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def kept_sales(spark: SparkSession, sf_dir: str, form: Callable[[DataFrame], DataFrame] = lambda df: df, *, small: int = 4_000_000, slices: int = 2) -> DataFrame:
+#: Line items that are joined at once, and rows of a table that is sent to all executors.
+SLICE, SENT = 9_000_000, 200_000
+
+
+def kept_sales(spark: SparkSession, sf_dir: str, form: Callable[[DataFrame], DataFrame] = lambda df: df, *, small: int = 4_000_000) -> DataFrame:
     """The joined table, each row brought to a form, written once.  If it isn't small, it is
     joined and written in slices of orders: the shuffles of one go before those of the next."""
-    slices = slices if spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() > small else 1
+    n = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet").count() for t in ("lineitem", "supplier", "part")}
+    slices = max(2, -(-n["lineitem"] // SLICE)) if n["lineitem"] > small else 1
+    hints = {}
+    if slices > 1:
+        # Hashed, the short side of a join is sorted no more than the long one; a task's share must be small.
+        fits = {"part": n["part"], "orders": n["lineitem"] // slices}
+        hints = {t: "shuffle_hash" for t, k in fits.items() if k <= SENT * int(spark.conf.get("spark.sql.shuffle.partitions"))}
+        hints |= {"supplier": "broadcast"} if n["supplier"] <= SENT else {}
     parts = []
     for i in range(slices):
-        rows = sales(spark, sf_dir)
+        rows = sales(spark, sf_dir, hints)
         parts.append(keep(form(rows if slices == 1 else rows.where(F.pmod(F.xxhash64("l_orderkey"), F.lit(slices)) == i)), "sales"))
         del rows
         settle(spark)
     return reduce(DataFrame.unionByName, parts)
 
 
-def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sales(spark: SparkSession, sf_dir: str, hints: Mapping[str, str] = MappingProxyType({})) -> DataFrame:
     """lineitem with its order, customer, nation, region, part and supplier.  Orders get their
-    customers first: they are fewer and narrower than the joined rows, which are shuffled least so."""
+    customers first: they are fewer and narrower than the joined rows, which are shuffled least so.
+    ``hints`` has how supplier, part and orders are joined, if Spark isn't to choose."""
+
+    def hinted(df: DataFrame, name: str) -> DataFrame:
+        return df.hint(hints[name]) if name in hints else df
+
     t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("lineitem", "orders", "customer", "nation", "region", "part", "supplier")}
     places = t["nation"].join(t["region"], F.col("n_regionkey") == F.col("r_regionkey"))
     orders = t["orders"].join(t["customer"].join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey")), F.col("o_custkey") == F.col("c_custkey"))
     return (
         spread(t["lineitem"])
-        .join(t["supplier"], F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(t["part"], F.col("l_partkey") == F.col("p_partkey"))
-        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(hinted(t["supplier"], "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(hinted(t["part"], "part"), F.col("l_partkey") == F.col("p_partkey"))
+        .join(hinted(orders, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .select(*SALES)
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from depsift import cli, registry
 from depsift.functions import canonical, cleaning, scores
-from depsift.operators import counts, estimate, masking, profile, shapes, tokens
+from depsift.operators import counts, estimate, kept, masking, profile, shapes, tokens
 from depsift.plans.search import Search, search
 from depsift.settings import Settings
 from depsift.sources import rules, tables
@@ -430,3 +430,55 @@ def test_search_counts_singles_by_shapes(spark, monkeypatch):
     small = search(planted(spark), Settings(max_lhs_size=1), screen=False)
     assert (("a",), "b") in whole.dependencies and small.dependencies == whole.dependencies
     assert [c.holdout for c in small.candidates] == [c.holdout for c in whole.candidates]
+
+
+def _shuffle_bytes(spark, run):
+    def written():
+        return spark.sparkContext._jsc.sc().statusStore().executorList(False).head().totalShuffleWrite()
+
+    start = written()
+    run()
+    return written() - start
+
+
+def test_shuffles_of_a_kept_table_end_with_its_write(spark):
+    """They filled the disk until the driver happened to collect its garbage."""
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {str(found.apply(i)).rpartition("/")[2] for i in range(found.size())}
+
+    before = files()
+    kept.keep(spark.range(20_000).groupBy((F.col("id") % 7000).alias("k")).count(), "counts")
+    assert not [f for f in files() - before if f.startswith("shuffle_")]
+
+
+def test_dealt_numbers_take_the_bytes_they_need(spark):
+    """Whole numbers are dealt as distances from the least, whatever their size and steps."""
+    near = spark.range(60_000, numPartitions=4).selectExpr("id % 20000 * 128 AS a", "pmod(xxhash64(id), 15000) * 64 AS b", "pmod(xxhash64(id, 1), 9000) AS c")
+    far = near.selectExpr("xxhash64(a) AS a", "xxhash64(b) AS b", "IF(c = 0, -9223372036854775808, IF(c = 1, 9223372036854775807, xxhash64(c))) AS c")
+    near, far = near.localCheckpoint(), far.localCheckpoint()
+    wanted = [((a,), b) for a in near.columns for b in near.columns if a != b]
+    told, sizes = [], []
+    for table in (near, far):
+        by = shapes.pattern_shapes(table, wanted)[1].groupBy("cand", "n", "eff", "mx", F.round("kl", 6))
+        told.append(sorted(map(tuple, by.agg(F.sum("times")).collect())))
+        sizes.append(_shuffle_bytes(spark, lambda table=table: shapes.pattern_shapes(table, wanted)))
+    assert told[0] == told[1]
+    assert sizes[0] < 0.7 * sizes[1]
+
+
+def test_exact_numbers_tell_values_apart(spark):
+    rows = spark.sql("SELECT * FROM VALUES (1, 2L, 'x', 1.5D), (1, 3L, 'y', 1.5D), (NULL, NULL, NULL, NULL) AS t(i, l, s, d)")
+    told = sorted(map(tuple, counts.exact(rows, ["i", "l", "s", "d"]).collect()), key=str)
+    hashes = sorted(map(tuple, counts.hashed(rows, ["i", "l", "s", "d"]).collect()), key=str)
+    assert {r[:2] for r in told} == {(1, 2), (1, 3), (None, None)} and {r[2:] for r in told} == {r[2:] for r in hashes}
+
+
+def test_sales_in_many_slices_are_all_sales(spark, monkeypatch):
+    """A slice has so many line items, not a half of them."""
+    names = []
+    monkeypatch.setattr(tables, "keep", lambda df, name: names.append(name) or df)
+    monkeypatch.setattr(tables, "SLICE", 1500)
+    many = tables.kept_sales(spark, DATA, small=0)
+    whole = tables.sales(spark, DATA)
+    assert len(names) == 4 and many.count() == whole.count() and many.exceptAll(whole).isEmpty()
