@@ -52,7 +52,7 @@ def core_scores(patterns: DataFrame, marginals: DataFrame, meta: DataFrame, rows
     counts = (F.col("n") >= s.min_support_count) | (F.col("eff") >= floor) | ((F.col("top1") >= s.min_row_purity) & (F.col("eff") >= pure))
     if s.min_non_null_ratio > 0:
         counts = counts & (F.col("non_null_ratio") >= s.min_non_null_ratio)
-    # A short row a candidate, of which a job has ``plans.search.PER_JOB`` at most.
+    # A short row a candidate: ``plans.search.PER_JOB`` at most, or all wider ones of a level whose rows are dealt.
     each = patterns.join(F.broadcast(facts), "cand").where(counts)
     if s.max_support_rows:
         each = budget(each.withColumn("priority", priority(s)), ["lhs"], s, by=["cand"])

@@ -162,15 +162,15 @@ def _known_parts(table: DataFrame, known: list[Column], pairs: list[tuple[int, i
     return table.mapInArrow(count, "pair int, cells binary").repartitionById(tasks, F.col("pair") % tasks).mapInArrow(total, _PARTS)
 
 
-def _dealt_parts(table: DataFrame, known: list[Column], lead: int, others: list[tuple[int, int, int]], tasks: int) -> DataFrame:
-    """Shapes of the dealt values of a column, and parts of the patterns of known values on
-    the other side.  Of the others: (column, number of lead -> it, number of it -> lead)."""
-    chunks, code, logs, records = _chunks(CHUNK), _coder(known), _logs(), _records()
+def _dealing(known: list[Column], lead: int, others: Sequence[int], tasks: int, every: bool) -> tuple[Callable, Callable]:
+    """Functions that pack rows for the tasks of a column's values, and that unpack them there
+    as the columns' numbers, by the column's.  ``every`` has known values dealt too."""
+    chunks, code = _chunks(CHUNK), _coder(known)
     sizes, high = [len(c.values) for c in known], [c.high for c in known]
     kinds = [np.dtype(np.uint8 if n + 1 < 256 else np.uint16) for n in sizes]
     # A kind of None: the blob's head has the least of its numbers, and the bytes of each.
     layout = [(~lead, None)]
-    for at, *_ in others:
+    for at in others:
         layout += [(at, kinds[at]), *([(~at, None)] if high[at] else [])]
     offsets = [np.dtype(x) for x in (np.uint8, np.uint16, np.uint32, np.uint64)]
 
@@ -185,7 +185,8 @@ def _dealt_parts(table: DataFrame, known: list[Column], lead: int, others: list[
 
     def deal(batches):
         for chunk in chunks(batches):
-            rows = np.flatnonzero(code(chunk, lead) > sizes[lead])
+            leads = code(chunk, lead)
+            rows = np.flatnonzero(leads != sizes[lead] if every else leads > sizes[lead])
             if not len(rows):
                 continue
             lead_values = numbers(chunk, lead)[rows]
@@ -207,7 +208,7 @@ def _dealt_parts(table: DataFrame, known: list[Column], lead: int, others: list[
             blobs = [np.array([y - x, *head], np.int64).tobytes() + b"".join(c[x:y].tobytes() for c in columns) for x, y in zip(begin, ends, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(part[begin].astype(np.int32)), pa.array(blobs, pa.binary())], ["part", "rows"])
 
-    def count(batches):
+    def unpack(batches):
         parts: dict = {name: [] for name, _ in layout}
         for batch in batches:
             for blob in batch.column(1).to_pylist():
@@ -222,6 +223,63 @@ def _dealt_parts(table: DataFrame, known: list[Column], lead: int, others: list[
                     else:
                         parts[name].append(np.frombuffer(blob, kind, n, at))
                         at += n * kind.itemsize
+        return parts
+
+    return deal, unpack
+
+
+def _right_side(sizes: list[int], high: list[bool]) -> Callable:
+    """Numbers of a dealt column's values: known ones by code, then null, then others; and how
+    many there are."""
+
+    def run(parts: dict, at: int, order: np.ndarray) -> tuple[np.ndarray, int]:
+        right, span = np.concatenate(parts.pop(at))[order].astype(np.int64), sizes[at] + 1
+        if high[at]:
+            hashes, beyond = np.concatenate(parts.pop(~at))[order], right > sizes[at]
+            distinct, which = np.unique(hashes[beyond], return_inverse=True)
+            right[beyond] = which + sizes[at] + 1
+            span += len(distinct)
+        return right, span
+
+    return run
+
+
+def _shapes_of() -> Callable:
+    """Shapes and how many patterns have each, from patterns' rows and their counts of a right
+    side: places of patterns that rise from 0, counts, and counts without null."""
+    logs = _logs()
+
+    def run(n, a, k_valid):
+        begin = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+        # Rounded, so that equal counts in another order have one shape.
+        eff, mx, sums = np.add.reduceat(k_valid, begin), np.maximum.reduceat(k_valid, begin), np.round(np.add.reduceat(logs(k_valid), begin), 10)
+        mark = n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ eff.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) ^ mx.astype(np.uint64) * np.uint64(0x165667B19E3779F9) ^ sums.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        _, some, times = np.unique(mark, return_index=True, return_counts=True)
+        return np.full(len(some), -1), n[some], eff[some], mx[some], sums[some], times
+
+    return run
+
+
+def _counted() -> Callable:
+    """Places of patterns, right sides and counts, from a row's pattern and right side."""
+
+    def run(place, right, span):
+        cells = np.sort(place * span + right)
+        new = np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))
+        return *np.divmod(cells[new], span), np.diff(np.append(new, len(cells)))
+
+    return run
+
+
+def _dealt_parts(table: DataFrame, known: list[Column], lead: int, others: list[tuple[int, int, int]], tasks: int) -> DataFrame:
+    """Shapes of the dealt values of a column, and parts of the patterns of known values on
+    the other side.  Of the others: (column, number of lead -> it, number of it -> lead)."""
+    sizes = [len(c.values) for c in known]
+    logs, records, counted, shapes_of, right_side = _logs(), _records(), _counted(), _shapes_of(), _right_side(sizes, [c.high for c in known])
+    deal, unpack = _dealing(known, lead, [at for at, *_ in others], tasks, False)
+
+    def count(batches):
+        parts = unpack(batches)
         if not parts[~lead]:
             return
         values = np.concatenate(parts.pop(~lead))
@@ -231,35 +289,79 @@ def _dealt_parts(table: DataFrame, known: list[Column], lead: int, others: list[
         n = np.diff(np.append(first, len(values)))
         place = np.repeat(np.arange(len(first)), n)
         for at, forward, back in others:
-            right, span = np.concatenate(parts.pop(at))[order].astype(np.int64), sizes[at] + 1
-            if high[at]:
-                hashes, beyond = np.concatenate(parts.pop(~at))[order], right > sizes[at]
-                distinct, which = np.unique(hashes[beyond], return_inverse=True)
-                right[beyond] = which + sizes[at] + 1
-                span += len(distinct)
-            cells = np.sort(place * span + right)
-            new = np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))
-            k, (a, b) = np.diff(np.append(new, len(cells))), np.divmod(cells[new], span)
-            k_valid = np.where(b == sizes[at], 0, k)
-            kl = logs(k_valid)
+            right, span = right_side(parts, at, order)
+            a, b, k = counted(place, right, span)
             if forward >= 0:
-                begin = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
-                # Rounded, so that equal counts in another order have one shape.
-                eff, mx, sums = np.add.reduceat(k_valid, begin), np.maximum.reduceat(k_valid, begin), np.round(np.add.reduceat(kl, begin), 10)
-                mark = n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ eff.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) ^ mx.astype(np.uint64) * np.uint64(0x165667B19E3779F9) ^ sums.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-                _, some, times = np.unique(mark, return_index=True, return_counts=True)
-                yield records(forward, np.full(len(some), -1), n[some], eff[some], mx[some], sums[some], times)
+                yield records(forward, *shapes_of(n, a, np.where(b == sizes[at], 0, k)))
             if back >= 0 and sizes[at]:
                 coded = b < sizes[at]
-                b, k, kl = b[coded], k[coded], kl[coded]
+                b, k = b[coded], k[coded]
                 total, mx = np.bincount(b, k, sizes[at]), np.zeros(sizes[at], np.int64)
                 np.maximum.at(mx, b, k)
                 lhs = np.flatnonzero(total)
-                yield records(back, lhs, total[lhs], total[lhs], mx[lhs], np.bincount(b, kl, sizes[at])[lhs], np.ones(len(lhs)))
+                yield records(back, lhs, total[lhs], total[lhs], mx[lhs], np.bincount(b, logs(k), sizes[at])[lhs], np.ones(len(lhs)))
+
+    return table.mapInArrow(deal, "part int, rows binary").repartitionById(tasks, F.col("part")).mapInArrow(count, _PARTS)
+
+
+def _wide_parts(table: DataFrame, known: list[Column], lead: int, sides: list[tuple[list[int], list[tuple[int, int]]]], tasks: int) -> DataFrame:
+    """Shapes of left sides that have a column in common, whose rows are dealt by it once.
+    Of the sides: the other columns on the left, and (number, column) of the right sides."""
+    sizes = [len(c.values) for c in known]
+    records, counted, shapes_of, right_side = _records(), _counted(), _shapes_of(), _right_side(sizes, [c.high for c in known])
+    used = sorted({x for more, rights in sides for x in (*more, *(at for _, at in rights))})
+    deal, unpack = _dealing(known, lead, used, tasks, True)
+
+    def count(batches):
+        parts = unpack(batches)
+        if not parts[~lead]:
+            return
+        _, lead_at = np.unique(np.concatenate(parts.pop(~lead)), return_inverse=True)
+        coded = {at: right_side(parts, at, slice(None)) for at in used}
+        for more, rights in sides:
+            left, whole = lead_at, None
+            for at in more:
+                # Numbered anew, as the product of all spans may be beyond 64 bits.
+                if left is not lead_at:
+                    _, left = np.unique(left, return_inverse=True)
+                left = left * coded[at][1] + coded[at][0]
+                known_here = coded[at][0] != sizes[at]
+                whole = known_here if whole is None else whole & known_here
+            rows = np.flatnonzero(whole)
+            if not len(rows):
+                continue
+            rows = rows[np.argsort(left[rows])]
+            left = left[rows]
+            first = np.flatnonzero(np.append(True, left[1:] != left[:-1]))
+            n = np.diff(np.append(first, len(left)))
+            place = np.repeat(np.arange(len(first)), n)
+            for number, at in rights:
+                right, span = coded[at]
+                a, b, k = counted(place, right[rows], span)
+                yield records(number, *shapes_of(n, a, np.where(b == sizes[at], 0, k)))
 
     return table.mapInArrow(deal, "part int, rows binary").repartitionById(tasks, F.col("part")).mapInArrow(count, _PARTS)
 
 
+def wide_shapes(table: DataFrame, wanted: Sequence[tuple[Sequence[str], str]], leads: Sequence[str]) -> DataFrame:
+    """``pattern_shapes`` of left sides of several columns; each has the first of ``leads`` that
+    it contains dealt, so that should be a column without very frequent values."""
+    rows, facts = survey(table)
+    names = list(facts)
+    known, at = [facts[c] for c in names], {c: i for i, c in enumerate(names)}
+    spark = table.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // DEALT))
+    groups: dict[str, dict[tuple, list]] = {}
+    for i, (lhs, rhs) in enumerate(wanted):
+        lead = next(c for c in leads if c in lhs)
+        groups.setdefault(lead, {}).setdefault(tuple(at[c] for c in lhs if c != lead), []).append((i, at[rhs]))
+    found = None
+    for lead, sides in groups.items():
+        part = keep(_wide_parts(table, known, at[lead], [(list(more), rights) for more, rights in sides.items()], tasks), "parts")
+        found = part if found is None else found.unionByName(part)
+    return found.drop("lhs")
+
+
 def pattern_shapes(table: DataFrame, wanted: Sequence[tuple[Sequence[str], str]]) -> tuple[int, DataFrame]:
     """The number of rows, and cand, n, eff, mx, kl, times of all (lhs column, rhs) over a
     table of hashed columns that is read several times: how many patterns of a candidate,

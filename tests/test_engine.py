@@ -482,3 +482,39 @@ def test_sales_in_many_slices_are_all_sales(spark, monkeypatch):
     many = tables.kept_sales(spark, DATA, small=0)
     whole = tables.sales(spark, DATA)
     assert len(names) == 4 and many.count() == whole.count() and many.exceptAll(whole).isEmpty()
+
+
+def test_wide_shapes_are_those_of_the_patterns(spark, monkeypatch):
+    """Left sides of several columns, of known and dealt values, with nulls on both sides."""
+    w = _keyed_rows(spark)
+    names = w.columns
+    wanted = [((*names[:i], *names[i + 1 : 3]), r) for i in range(3) for r in names if r not in (*names[:i], *names[i + 1 : 3])]
+    wanted += [(tuple(names[:3]), r) for r in names[3:]]
+    counted = counts.pattern_stats(counts.contingencies(w, wanted), ["cand", "lhs"])
+    by = ["cand", "n", "eff", F.round("entropy", 6).alias("entropy"), F.round("top1", 6).alias("top1")]
+    want = sorted(map(tuple, counted.groupBy(*by).agg(F.count(F.lit(1))).collect()))
+    for low in (4096, 0):
+        monkeypatch.setattr(shapes, "LOW", low)
+        found = shapes.shape_stats(shapes.wide_shapes(w, wanted, names))
+        assert sorted(map(tuple, found.groupBy(*by).agg(F.sum("times")).collect())) == want
+
+
+def test_search_counts_wide_sides_of_many_values_by_shapes(spark, monkeypatch):
+    """The same rules and scores as from counts, of which none is shuffled."""
+    from depsift.plans import search as plan
+
+    rows = spark.range(3000).selectExpr("id % 60 AS a", "pmod(xxhash64(id), 50) AS b", "pmod(xxhash64(id, 2), 40) AS c").selectExpr("*", "pmod(xxhash64(a, b), 30) AS d").localCheckpoint()
+    options = {"overrides": dict.fromkeys(rows.columns, "categorical"), "tune": False, "screen": False}
+    settings = Settings(max_lhs_size=2, estimator="empirical")
+    monkeypatch.setattr(plan, "LEAD", 0.0)
+    before = search(rows, settings, **options)
+    monkeypatch.setattr(plan, "LEAD", 0.2)
+    monkeypatch.setattr(plan, "FEW", 10**9)
+
+    def refused(*_):
+        raise AssertionError("counts are shuffled")
+
+    monkeypatch.setattr(plan, "contingencies", refused)
+    after = search(rows, settings, **options)
+    assert after.dependencies == before.dependencies and after.counted == before.counted > 12
+    assert [(c.lhs, c.rhs, round(c.score, 9)) for c in after.candidates] == [(c.lhs, c.rhs, round(c.score, 9)) for c in before.candidates]
