@@ -14,7 +14,8 @@ Which values are known only decides where they are counted.
 
 The dealt rows are packed as columns, a binary a chunk and task: a dealt value as its distance
 from the least of the chunk, in as few bytes as that needs, and one or two bytes for a code.
-The shuffle of one column goes before that of the next comes.
+Of a table of many rows a shuffle has a few of the other columns, so that it holds a part of
+a row's bytes; it goes before the next comes.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ from depsift.operators.kept import keep, settle
 #: Most values of a column that has a code for each, most cells of all such pairs of columns,
 #: the share of a chunk that makes a value known, and rows that a task counts at once.
 LOW, CELLS, SHARE, DEALT = 4096, 1 << 24, 64, 400_000
+#: Rows up to which a column's rows are dealt whole, and bytes of a longer table's row dealt at once.
+WHOLE, WIDE = 4_000_000, 20
 _PARTS = "cand int, lhs int, n long, eff long, mx long, kl double, times long"
 
 
@@ -304,6 +307,17 @@ def _dealt_parts(table: DataFrame, known: list[Column], lead: int, others: list[
     return table.mapInArrow(deal, "part int, rows binary").repartitionById(tasks, F.col("part")).mapInArrow(count, _PARTS)
 
 
+def _groups(known: list[Column], others: list[tuple[int, int, int]], rows: int) -> list[list[tuple[int, int, int]]]:
+    """The other columns of a dealt one, in groups of about as many bytes that are dealt one by one."""
+    if rows <= WHOLE:
+        return [others]
+    width = {at: 1 + (len(known[at].values) >= 255) + 8 * known[at].high for at, *_ in others}
+    groups: list[list[tuple[int, int, int]]] = [[] for _ in range(min(len(others), -(-sum(width.values()) // WIDE)))]
+    for other in sorted(others, key=lambda x: -width[x[0]]):
+        min(groups, key=lambda group: sum(width[at] for at, *_ in group)).append(other)
+    return groups
+
+
 def _wide_parts(table: DataFrame, known: list[Column], lead: int, sides: list[tuple[list[int], list[tuple[int, int]]]], tasks: int) -> DataFrame:
     """Shapes of left sides that have a column in common, whose rows are dealt by it once.
     Of the sides: the other columns on the left, and (number, column) of the right sides."""
@@ -379,8 +393,11 @@ def pattern_shapes(table: DataFrame, wanted: Sequence[tuple[Sequence[str], str]]
     for lead in (i for i, c in enumerate(known) if c.high):
         others = [(j, number.get((lead, j), -1), number.get((j, lead), -1) if len(known[j].values) else -1) for j in range(len(known))]
         if others := [x for x in others if x[0] != lead and max(x[1:]) >= 0]:
-            parts.append(keep(_dealt_parts(table, known, lead, others, tasks), "parts"))
-            settle(spark)
+            for group in _groups(known, others, rows):
+                used = [lead, *(j for j, *_ in group)]
+                some = table.select(*("`" + names[j].replace("`", "``") + "`" for j in used))
+                parts.append(keep(_dealt_parts(some, [known[j] for j in used], 0, [(i, *x[1:]) for i, x in enumerate(group, 1)], tasks), "parts"))
+                settle(spark)
     if not parts:
         return rows, spark.createDataFrame([], _PARTS).drop("lhs")
     found = parts[0]

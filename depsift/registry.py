@@ -418,7 +418,7 @@ def pair_scores(spark, sf_dir, wanted=PAIRS, settings: Settings = EMPIRICAL, fac
 
 def pair_shapes(spark, sf_dir) -> tuple[int, DataFrame]:
     """The number of rows of the sales table, and the shapes of the patterns of all pairs."""
-    w = kept_sales(spark, sf_dir, lambda df: counts.exact(df, SALES))
+    w = kept_sales(spark, sf_dir, lambda df: counts.exact(df, SALES), cells=counts.exact)
     out = pattern_shapes(w, PAIRS)
     drop_kept(w)
     return out

@@ -50,45 +50,50 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-#: Line items that are joined at once, and rows of a table that is sent to all executors.
-SLICE, SENT = 9_000_000, 200_000
+#: Line items that are joined at once if that makes no more than so many slices, as each reads all
+#: line items; rows of a table, and of one of numbers only, that is sent to all executors.
+SLICE, SLICES, SENT, NUMBERS = 6_000_000, 12, 200_000, 1_500_000
 
 
-def kept_sales(spark: SparkSession, sf_dir: str, form: Callable[[DataFrame], DataFrame] = lambda df: df, *, small: int = 4_000_000) -> DataFrame:
+def kept_sales(
+    spark: SparkSession, sf_dir: str, form: Callable[[DataFrame], DataFrame] = lambda df: df, *, cells: Callable[[DataFrame, list[str]], DataFrame] | None = None, small: int = 4_000_000
+) -> DataFrame:
     """The joined table, each row brought to a form, written once.  If it isn't small, it is
-    joined and written in slices of orders: the shuffles of one go before those of the next."""
+    joined and written in slices of orders: the shuffles of one go before those of the next.
+    ``cells``, if the form needs no more of a value, makes columns whole numbers, which stay as
+    they are; parts are then sent to all executors, so that line items are shuffled once."""
     n = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet").count() for t in ("lineitem", "supplier", "part")}
-    slices = max(2, -(-n["lineitem"] // SLICE)) if n["lineitem"] > small else 1
+    slices = min(SLICES, max(2, -(-n["lineitem"] // SLICE))) if n["lineitem"] > small else 1
     hints = {}
     if slices > 1:
         # Hashed, the short side of a join is sorted no more than the long one; a task's share must be small.
         fits = {"part": n["part"], "orders": n["lineitem"] // slices}
         hints = {t: "shuffle_hash" for t, k in fits.items() if k <= SENT * int(spark.conf.get("spark.sql.shuffle.partitions"))}
         hints |= {"supplier": "broadcast"} if n["supplier"] <= SENT else {}
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    if slices > 1 and cells and n["part"] <= NUMBERS and dict(part.dtypes)["p_partkey"] in ("int", "bigint"):
+        hints["part"], part = "broadcast", cells(part, [c for c in part.columns if c in SALES or c == "p_partkey"])
     parts = []
     for i in range(slices):
-        rows = sales(spark, sf_dir, hints)
+        rows = sales(spark, sf_dir, hints, part)
         parts.append(keep(form(rows if slices == 1 else rows.where(F.pmod(F.xxhash64("l_orderkey"), F.lit(slices)) == i)), "sales"))
         del rows
         settle(spark)
     return reduce(DataFrame.unionByName, parts)
 
 
-def sales(spark: SparkSession, sf_dir: str, hints: Mapping[str, str] = MappingProxyType({})) -> DataFrame:
+def sales(spark: SparkSession, sf_dir: str, hints: Mapping[str, str] = MappingProxyType({}), part: DataFrame | None = None) -> DataFrame:
     """lineitem with its order, customer, nation, region, part and supplier.  Orders get their
     customers first: they are fewer and narrower than the joined rows, which are shuffled least so.
-    ``hints`` has how supplier, part and orders are joined, if Spark isn't to choose."""
-
-    def hinted(df: DataFrame, name: str) -> DataFrame:
-        return df.hint(hints[name]) if name in hints else df
-
-    t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("lineitem", "orders", "customer", "nation", "region", "part", "supplier")}
+    ``hints`` has how supplier, part and orders are joined, if Spark isn't to choose; those that are
+    sent come last, after the shuffles.  ``part`` is in place of the table of that name."""
+    t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("lineitem", "orders", "customer", "nation", "region", "supplier")}
+    t["part"] = spark.read.parquet(f"{sf_dir}/part.parquet") if part is None else part
     places = t["nation"].join(t["region"], F.col("n_regionkey") == F.col("r_regionkey"))
-    orders = t["orders"].join(t["customer"].join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey")), F.col("o_custkey") == F.col("c_custkey"))
-    return (
-        spread(t["lineitem"])
-        .join(hinted(t["supplier"], "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(hinted(t["part"], "part"), F.col("l_partkey") == F.col("p_partkey"))
-        .join(hinted(orders, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .select(*SALES)
-    )
+    t["orders"] = t["orders"].join(t["customer"].join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey")), F.col("o_custkey") == F.col("c_custkey"))
+    keys = {"supplier": ("l_suppkey", "s_suppkey"), "part": ("l_partkey", "p_partkey"), "orders": ("l_orderkey", "o_orderkey")}
+    rows = spread(t["lineitem"])
+    for name in sorted(keys, key=lambda name: hints.get(name) == "broadcast"):
+        left, right = keys[name]
+        rows = rows.join(t[name].hint(hints[name]) if name in hints else t[name], F.col(left) == F.col(right))
+    return rows.select(*SALES)

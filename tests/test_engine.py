@@ -518,3 +518,53 @@ def test_search_counts_wide_sides_of_many_values_by_shapes(spark, monkeypatch):
     after = search(rows, settings, **options)
     assert after.dependencies == before.dependencies and after.counted == before.counted > 12
     assert [(c.lhs, c.rhs, round(c.score, 9)) for c in after.candidates] == [(c.lhs, c.rhs, round(c.score, 9)) for c in before.candidates]
+
+
+def test_a_shuffle_of_dealt_rows_has_a_few_of_the_columns(spark, monkeypatch):
+    """The shapes are the same, and no shuffle is as large as that of all columns at once."""
+    w = _keyed_rows(spark).selectExpr("*", *(f"xxhash64(id % {n}) AS c{n}" for n in range(20, 40))).localCheckpoint()
+    wanted = [((a,), b) for a in w.columns for b in w.columns if a != b]
+    by, told, largest = ["cand", "n", "eff", "mx", F.round("kl", 6)], [], []
+    real, sizes = shapes.keep, []
+
+    def noted(df, name):
+        out = []
+        sizes.append(_shuffle_bytes(spark, lambda: out.append(real(df, name))))
+        return out[0]
+
+    monkeypatch.setattr(shapes, "keep", noted)
+    for whole in (10**9, 0):
+        monkeypatch.setattr(shapes, "WHOLE", whole)
+        found = shapes.pattern_shapes(w, wanted)[1]
+        told.append(sorted(map(tuple, found.groupBy(*by).agg(F.sum("times")).collect())))
+        largest.append(max(sizes[2:]))  # after the survey and the known values
+        sizes.clear()
+    assert told[0] == told[1]
+    assert largest[1] < 0.7 * largest[0]
+
+
+def test_line_items_are_shuffled_once(spark, monkeypatch):
+    """Parts and suppliers are sent, after the only shuffle; the rows are those of the whole join."""
+    plans, real = [], tables.keep
+
+    def noted(df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return real(df, name)
+
+    def slices(**options):
+        sizes = []
+        sizes.append(_shuffle_bytes(spark, lambda: sizes.append(tables.kept_sales(spark, DATA, lambda df: counts.exact(df, tables.SALES), small=0, **options))))
+        return sizes
+
+    monkeypatch.setattr(tables, "keep", noted)
+    monkeypatch.setattr(tables, "SLICE", 1000)
+    monkeypatch.setattr(tables, "SLICES", 3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        many, fewer = slices(cells=counts.exact)
+        more = slices()[1]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    whole = counts.exact(tables.sales(spark, DATA), tables.SALES)
+    assert len(plans) == 6 and many.count() == whole.count() and many.exceptAll(whole).isEmpty()
+    assert fewer < 0.75 * more
