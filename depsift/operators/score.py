@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from depsift.functions.scores import accuracy_strength, clip, coverage_factor, empirical_blend, entropy_strength, low_card, ramp
 from depsift.operators.counts import budget, priority
+from depsift.operators.sides import SUMS
 from depsift.settings import Settings
 
 META = "cand int, lhs_columns array<string>, rhs_column string, identifier double, rhs_unique_ratio double, rhs_unique long, high_card boolean, group_factor double"
@@ -79,10 +80,25 @@ def core_scores(patterns: DataFrame, marginals: DataFrame, meta: DataFrame, rows
             *((F.sum(n * v) / F.sum(n)).alias(c) for c, v in strengths.items()),
             *(F.first(c).alias(c) for c in fixed),
         )
-        .where((F.col("retained_mass") >= s.min_retained_mass) & (F.col("effective_retained_mass") >= s.min_effective_retained_mass))
-        .where((F.col("weighted_non_null_ratio") >= s.min_weighted_non_null_ratio) & (F.col("group_factor") > 0))
     )
-    return fused(total, s)
+    return fused(_early(total, s), s)
+
+
+def summed_scores(sums: DataFrame, marginals: DataFrame, meta: DataFrame, rows: int, s: Settings) -> DataFrame:
+    """``core_scores`` from cand and the sums of its patterns, as ``sides.SUMS`` names them."""
+    m = marginals.select(F.col("column").alias("rhs_column"), "vocabulary", F.col("entropy").alias("m_entropy"), F.col("top1").alias("m_top1"))
+    at = {c: F.col("sums")[i] for i, c in enumerate(SUMS)}
+    total = sums.join(meta.join(F.broadcast(m), "rhs_column"), "cand").select(
+        "cand", at["support_rows"].cast("long").alias("support_rows"), at["effective_support_rows"].cast("long").alias("effective_support_rows"),
+        (at["n"] / rows).alias("retained_mass"), (at["eff"] / rows).alias("effective_retained_mass"), *((at[c] / at["n"]).alias(c) for c in SUMS[4:]),
+        *(c for c in meta.columns if c != "cand"), "vocabulary", "m_entropy", "m_top1",
+    )
+    return fused(_early(total, s), s)
+
+
+def _early(total: DataFrame, s: Settings) -> DataFrame:
+    kept = total.where((F.col("retained_mass") >= s.min_retained_mass) & (F.col("effective_retained_mass") >= s.min_effective_retained_mass))
+    return kept.where((F.col("weighted_non_null_ratio") >= s.min_weighted_non_null_ratio) & (F.col("group_factor") > 0))
 
 
 def fused(core: DataFrame, s: Settings) -> DataFrame:

@@ -376,12 +376,13 @@ def wide_shapes(table: DataFrame, wanted: Sequence[tuple[Sequence[str], str]], l
     return found.drop("lhs")
 
 
-def pattern_shapes(table: DataFrame, wanted: Sequence[tuple[Sequence[str], str]]) -> tuple[int, DataFrame]:
+def pattern_shapes(table: DataFrame, wanted: Sequence[tuple[Sequence[str], str]], surveyed: tuple[int, dict[str, Column]] | None = None) -> tuple[int, DataFrame]:
     """The number of rows, and cand, n, eff, mx, kl, times of all (lhs column, rhs) over a
     table of hashed columns that is read several times: how many patterns of a candidate,
     numbered by its place, have how many rows, rows with a right side, rows with the
-    commonest one, and sum of k ln k over counts.  Rows with a null on the left are left out."""
-    rows, facts = survey(table)
+    commonest one, and sum of k ln k over counts.  Rows with a null on the left are left out.
+    ``surveyed`` is the table's ``survey``, if it is known, or that of a table that has its rows."""
+    rows, facts = surveyed or survey(table)
     names = list(facts)
     known, at = [facts[c] for c in names], {c: i for i, c in enumerate(names)}
     number = {(at[lhs[0]], at[rhs]): i for i, (lhs, rhs) in enumerate(wanted)}

@@ -520,6 +520,38 @@ def test_search_counts_wide_sides_of_many_values_by_shapes(spark, monkeypatch):
     assert [(c.lhs, c.rhs, round(c.score, 9)) for c in after.candidates] == [(c.lhs, c.rhs, round(c.score, 9)) for c in before.candidates]
 
 
+def test_wider_sides_are_scored_where_rows_are_dealt(spark, monkeypatch):
+    """Scores and holdouts are those of counts, none of which is shuffled: of sides that others determine,
+    of few and of many values, with nulls and without."""
+    from depsift.plans import search as plan
+
+    rows = spark.range(6000).selectExpr("id % 900 AS a", "pmod(xxhash64(id), 400) AS b", "pmod(xxhash64(id, 2), 4) AS c", "pmod(xxhash64(id, 3), 3) AS d", "nullif(pmod(xxhash64(id, 4), 40), 7) AS e")
+    rows = rows.selectExpr("*", "a % 30 AS f", "29 - a % 30 AS g", "pmod(xxhash64(c, d, b % 50 = 0), 5) AS h").localCheckpoint()
+    names = rows.columns
+    pairs = [((x, y), r) for i, x in enumerate(names) for y in names[i + 1 :] for r in names if r not in (x, y)]
+    job = Search(rows, Settings(max_lhs_size=2), overrides=dict.fromkeys(names, "categorical"), tune=False, screen=False)
+    job.score([((x,), r) for x in names for r in names if x != r], floor=0.0)
+    pairs = [w for w in pairs if job.allowed(*w)]
+    job._count(pairs)
+    want = {w: job.scored.pop(w) for w in pairs}
+    with monkeypatch.context() as m:
+        m.setattr(plan, "contingencies", lambda *_: pytest.fail("counts are shuffled"))
+        job.score(pairs, floor=0.0)
+    assert len(pairs) > 100
+    for w in pairs:
+        one, other = (x and x.facts for x in (want[w], job.scored[w]))
+        assert (one is None) == (other is None)
+        assert one is None or all(abs(x - other[k]) < 1e-9 if isinstance(x, float) else x == other[k] for k, x in one.items() if k != "cand")
+    some = [w for w in pairs if "a" in w[0] or "b" in w[0]] + [(("a",), "e"), (("b",), "c")]
+    monkeypatch.setattr(plan, "FEW", 0)
+    held = job.holdout_stats(some)
+    monkeypatch.setattr(plan, "FEW", 10**9)
+    with monkeypatch.context() as m:
+        m.setattr(plan, "batched_contingency", lambda *_: pytest.fail("counts are shuffled"))
+        assert job.holdout_stats(some) == held
+    job.close()
+
+
 def test_a_shuffle_of_dealt_rows_has_a_few_of_the_columns(spark, monkeypatch):
     """The shapes are the same, and no shuffle is as large as that of all columns at once."""
     w = _keyed_rows(spark).selectExpr("*", *(f"xxhash64(id % {n}) AS c{n}" for n in range(20, 40))).localCheckpoint()
