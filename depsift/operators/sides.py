@@ -19,6 +19,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -135,32 +136,42 @@ def _sides(known: Sequence[Column]) -> Callable:
     return run
 
 
-def _placed(code: np.ndarray, space: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of numbers that rise from 0, and how many rows each has."""
-    if space <= 4 * len(code) + 65536:
-        n = np.bincount(code, minlength=1)
-        place = np.cumsum(n > 0) - 1
-        return place[code], n[n > 0]
-    _, place, n = np.unique(code, return_inverse=True, return_counts=True)
-    return place, n
+def _tools() -> SimpleNamespace:
+    """What tasks use; made here, it is sent to them and need not be installed there."""
 
+    def placed(code: np.ndarray, space: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of numbers that rise from 0, and how many rows each has."""
+        if space <= 4 * len(code) + 65536:
+            n = np.bincount(code, minlength=1)
+            place = np.cumsum(n > 0) - 1
+            return place[code], n[n > 0]
+        _, place, n = np.unique(code, return_inverse=True, return_counts=True)
+        return place, n
 
-def _counted(place: np.ndarray, right: np.ndarray, patterns: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of patterns, right sides and counts, by both."""
-    both = place * span + right
-    if patterns * span <= 4 * len(both) + 65536:
-        k = np.bincount(both, minlength=1)
-        cells = np.flatnonzero(k)
-        return *np.divmod(cells, span), k[cells]
-    both.sort()
-    new = np.flatnonzero(np.append(True, both[1:] != both[:-1])) if len(both) else np.zeros(0, np.int64)
-    return *np.divmod(both[new], span), np.diff(np.append(new, len(both)))
+    def counted(place: np.ndarray, right: np.ndarray, patterns: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of patterns, right sides and counts, by both."""
+        both = place * span + right
+        if patterns * span <= 4 * len(both) + 65536:
+            k = np.bincount(both, minlength=1)
+            cells = np.flatnonzero(k)
+            return *np.divmod(cells, span), k[cells]
+        both.sort()
+        new = np.flatnonzero(np.append(True, both[1:] != both[:-1])) if len(both) else np.zeros(0, np.int64)
+        return *np.divmod(both[new], span), np.diff(np.append(new, len(both)))
 
+    def logs(k: np.ndarray) -> np.ndarray:
+        """k ln k, 0 for 0."""
+        k = k.astype(np.float64)
+        return k * np.log(np.maximum(k, 1.0))
 
-def _logs(k: np.ndarray) -> np.ndarray:
-    """k ln k, 0 for 0."""
-    k = k.astype(np.float64)
-    return k * np.log(np.maximum(k, 1.0))
+    def batch(out: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        units, ways, blobs = zip(*out, strict=True) if out else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(units, pa.int32()), pa.array(ways, pa.int32()), pa.array(blobs, pa.binary())], ["unit", "way", "rows"])
+
+    def sums(unit: int, sums: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([unit], pa.int32()), pa.array([sums.tolist()], pa.list_(pa.float64()))], ["unit", "sums"])
+
+    return SimpleNamespace(placed=placed, counted=counted, logs=logs, batch=batch, sums=sums)
 
 
 def _summing(s: Settings) -> Callable:
@@ -206,7 +217,7 @@ def _summing(s: Settings) -> Callable:
 
 def unit_sums(table: DataFrame, known: Sequence[Column], units: Sequence[Unit], dealing: Dealing, settings: Settings, tasks: int) -> DataFrame:
     """unit and the ``SUMS`` of its patterns as an array, of a dealing's units; ``known`` has the table's columns in order."""
-    lead, units = dealing.lead, list(units)
+    lead, units, do = dealing.lead, [SimpleNamespace(**vars(u)) for u in units], _tools()
     summed, number, side = _summing(settings), _numbers(known), _sides(known)
     sizes, nulls = [len(c.values) for c in known], [c.nulls for c in known]
     by_left: dict[int, dict[tuple, list[int]]] = {way: {} for way in dealing.ways}
@@ -216,12 +227,13 @@ def unit_sums(table: DataFrame, known: Sequence[Column], units: Sequence[Unit],
     used = sorted({x for some in dealing.ways.values() for i in some for x in (*units[i].left, units[i].right)} - {lead})
     # A lead with nulls has left sides only that have it.
     deal, unpack = _dealing(list(known), lead, used, tasks, True)
+    told = any(lead in (*units[i].left, units[i].right) for way in (_ADDED, _CELLS) for i in dealing.ways[way])
     spaces = {i: int(np.prod([sizes[c] + 1 for c in units[i].left])) for way in (_ADDED, _CELLS) for i in dealing.ways[way]}
 
     def whole(coded, left, some):
         code, space, ok = side(coded, left)
         rows = None if ok is None or ok.all() else np.flatnonzero(ok)
-        place, n = _placed(code if rows is None else code[rows], space)
+        place, n = do.placed(code if rows is None else code[rows], space)
         if not len(n):
             return
         alike, times = np.unique(n, return_counts=True)
@@ -233,21 +245,21 @@ def unit_sums(table: DataFrame, known: Sequence[Column], units: Sequence[Unit],
         for i in some:
             u = units[i]
             if u.pure:
-                yield i, summed(u, alike, alike, alike, _logs(alike), times)
+                yield i, summed(u, alike, alike, alike, do.logs(alike), times)
                 continue
             right, span, _ = coded[u.right]
             if nulls[u.right]:
                 own, own_n = right if rows is None else right[rows], n
-                a, b, k = _counted(place, own, len(n), span)
+                a, b, k = do.counted(place, own, len(n), span)
                 k = np.where(b == sizes[u.right], 0, k)
                 begin = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
-                yield i, summed(u, own_n, np.add.reduceat(k, begin), np.maximum.reduceat(k, begin), np.add.reduceat(_logs(k), begin))
+                yield i, summed(u, own_n, np.add.reduceat(k, begin), np.maximum.reduceat(k, begin), np.add.reduceat(do.logs(k), begin))
                 continue
             total = summed(u, one, one, one, np.zeros(1), alone) if alone[0] else 0.0
             if len(n_again):
-                a, b, k = _counted(again, right[at_rows], len(n_again), span)
+                a, b, k = do.counted(again, right[at_rows], len(n_again), span)
                 begin = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
-                total = total + summed(u, n_again, n_again, np.maximum.reduceat(k, begin), np.add.reduceat(_logs(k), begin))
+                total = total + summed(u, n_again, n_again, np.maximum.reduceat(k, begin), np.add.reduceat(do.logs(k), begin))
             yield i, total
 
     def count(batches):
@@ -258,7 +270,7 @@ def unit_sums(table: DataFrame, known: Sequence[Column], units: Sequence[Unit],
         distinct, lead_at = np.unique(values, return_inverse=True)
         coded = {at: number(parts, at) for at in used}
         # Known values of a lead keep their numbers, which cells of other tasks have too.
-        if any(lead in (*units[i].left, units[i].right) for way in (_ADDED, _CELLS) for i in dealing.ways[way]):
+        if told:
             place = np.searchsorted(known[lead].values, distinct)
             inside = place < sizes[lead]
             inside[inside] = known[lead].values[place[inside]] == distinct[inside]
@@ -281,18 +293,18 @@ def unit_sums(table: DataFrame, known: Sequence[Column], units: Sequence[Unit],
                     if way == _CELLS:
                         blob = np.bincount(code * span + right, minlength=space * span).tobytes()
                     else:
-                        a, b, k = _counted(code, right, space, span)
+                        a, b, k = do.counted(code, right, space, span)
                         a, k = a[b != null], k[b != null]
                         begin = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else np.zeros(0, np.int64)
                         mx = np.zeros(space, np.int64)
                         mx[a[begin]] = np.maximum.reduceat(k, begin) if len(a) else 0
                         eff = np.bincount(a, k, space).astype(np.int64)
-                        blob = b"".join(x.tobytes() for x in (n, eff, mx, np.bincount(a, _logs(k), space)))
+                        blob = b"".join(x.tobytes() for x in (n, eff, mx, np.bincount(a, do.logs(k), space)))
                     out.append((i, way, zlib.compress(blob, 1)))
             if sum(len(x[2]) for x in out) > 1 << 24:
-                yield _batch(out)
+                yield do.batch(out)
                 out = []
-        yield _batch(out)
+        yield do.batch(out)
 
     def total(batches):
         now, way, held = -1, _WHOLE, None
@@ -306,7 +318,7 @@ def unit_sums(table: DataFrame, known: Sequence[Column], units: Sequence[Unit],
                 n = k.sum(1)
                 k = k[n > 0]
                 k[:, sizes[u.right]] = 0
-                return summed(u, n[n > 0], k.sum(1), k.max(1), _logs(k).sum(1))
+                return summed(u, n[n > 0], k.sum(1), k.max(1), do.logs(k).sum(1))
             n, eff, mx, kl = held
             return summed(u, *(x[n > 0] for x in (n, eff, mx, kl)))
 
@@ -314,7 +326,7 @@ def unit_sums(table: DataFrame, known: Sequence[Column], units: Sequence[Unit],
             for i, kind, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if i != now:
                     if held is not None:
-                        yield _sums(now, done())
+                        yield do.sums(now, done())
                     now, way, held = i, kind, None
                 if kind == _WHOLE:
                     got = np.frombuffer(blob, np.float64)
@@ -328,26 +340,17 @@ def unit_sums(table: DataFrame, known: Sequence[Column], units: Sequence[Unit],
                     kl = np.frombuffer(data, np.float64, spaces[i], 3 * size)
                     held = (n, eff, mx, kl) if held is None else (held[0] + n, held[1] + eff, np.maximum(held[2], mx), held[3] + kl)
         if held is not None:
-            yield _sums(now, done())
+            yield do.sums(now, done())
 
     dealt = table.mapInArrow(deal, "part int, rows binary").repartitionById(tasks, F.col("part")).mapInArrow(count, "unit int, way int, rows binary")
     return dealt.repartitionById(tasks, F.col("unit") % tasks).sortWithinPartitions("unit").mapInArrow(total, "unit int, sums array<double>")
 
 
-def _batch(out: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    units, ways, blobs = zip(*out, strict=True) if out else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(units, pa.int32()), pa.array(ways, pa.int32()), pa.array(blobs, pa.binary())], ["unit", "way", "rows"])
-
-
-def _sums(unit: int, sums: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([unit], pa.int32()), pa.array([sums.tolist()], pa.list_(pa.float64()))], ["unit", "sums"])
-
-
 def held_out(table: DataFrame, known: Sequence[Column], lead: int, split: int, wanted: Sequence[tuple[int, Sequence[int], int]], tasks: int) -> DataFrame:
     """cand, all, n, ok of (number, left, right) that all have ``lead`` on the left: rows with a
     right side that the column ``split`` puts at 1, those whose pattern is among the rows at 0, and
     those that have its commonest right side there; ties go to the smaller value."""
-    wanted, number, side = [(i, tuple(left), right) for i, left, right in wanted], _numbers(known), _sides(known)
+    wanted, number, side, do = [(i, tuple(left), right) for i, left, right in wanted], _numbers(known), _sides(known), _tools()
     used = sorted({split, *(x for _, left, right in wanted for x in (*left, right))} - {lead})
     deal, unpack = _dealing(list(known), lead, used, tasks, True)
     sizes = [len(c.values) for c in known]
@@ -368,11 +371,11 @@ def held_out(table: DataFrame, known: Sequence[Column], lead: int, split: int, w
             rows = np.flatnonzero(here)
             if not len(rows):
                 continue
-            place, n = _placed(code[rows], space)
+            place, n = do.placed(code[rows], space)
             own, first = rank[right[rows]], train[rows]
             common = np.full(len(n), -1)
             if first.any():
-                a, b, k = _counted(place[first], own[first], len(n), span)
+                a, b, k = do.counted(place[first], own[first], len(n), span)
                 begin = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
                 most = np.repeat(np.maximum.reduceat(k, begin), np.diff(np.append(begin, len(k))))
                 a, b = a[k == most], b[k == most]
